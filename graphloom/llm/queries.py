@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup, token_store
+from . import decontaminate, line_dedup, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup, token_store
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,40 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
+ORACLES["op2_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, w, len(w) AS n FROM (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)
+),
+i AS (
+  SELECT item_id, w, len(w) AS size, least(5, len(w)) AS k FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark)
+  WHERE len(w) > 0
+),
+s AS (SELECT item_id, size, k, q, array_to_string(w[q + 1:q + k], ' ') AS s FROM (SELECT *, unnest(range(0, size - k + 1)) AS q FROM i)),
+t AS (SELECT doc_id, n, k, p, array_to_string(w[p + 1:p + k], ' ') AS s FROM (SELECT *, unnest(range(0, n - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM i))),
+a AS (SELECT DISTINCT doc_id, item_id, k, least(size, n) AS n_words, greatest(0, least(p - q, n - size)) AS start FROM t JOIN s USING (k, s)),
+v AS (
+  SELECT doc_id, item_id, start, n_words, x AS s, count(*) AS c
+  FROM (SELECT a.*, t.s AS x FROM a JOIN t ON t.doc_id = a.doc_id AND t.k = a.k AND t.p BETWEEN a.start AND a.start + a.n_words - a.k) GROUP BY ALL
+),
+u AS (SELECT item_id, s, count(*) AS c FROM s GROUP BY ALL),
+z AS (SELECT item_id, sum(c) AS total FROM u GROUP BY ALL),
+m AS (
+  SELECT doc_id, item_id, start, n_words, sum(least(v.c, coalesce(u.c, 0))) AS common, sum(v.c) AS own FROM v LEFT JOIN u USING (item_id, s) GROUP BY ALL
+),
+j AS (SELECT doc_id, item_id, start, n_words, common / (own + total - common) AS similarity FROM m JOIN z USING (item_id)),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS rank FROM j WHERE similarity >= 0.8)
+SELECT doc_id, item_id, start::BIGINT AS start, n_words::BIGINT AS n_words, round(similarity, 6) AS similarity FROM b WHERE rank = 1
+"""
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
