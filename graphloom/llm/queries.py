@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup, token_store
+from . import decontaminate, katz_lm, line_dedup, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash_dedup, suffix_dedup, token_store
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,13 @@ def piece_bpe() -> str:
 @query
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_table(table(spark, sf_dir, "documents"), piece_bpe())
+
+
+@query
+def op6_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.score_table(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
