@@ -30,8 +30,21 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Lets a query's shuffle files go when it ends; nothing can need them once its result is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it again: lineage ends there, lost executors cost nothing, and
+    the shuffles behind it are deleted."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, what)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if was is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
