@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut as cut
+from ..scratch import scratch as scratch
+
 #: White space as all contracts here have it: space and the five controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -29,33 +28,6 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder: ``spark.checkpoint.dir``; a fresh one only for local sessions that set none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    was = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if was.isDefined():
-        return was.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = tempfile.mkdtemp(prefix="graphloom-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there, and lost executors cost nothing."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
     """``f(value)`` with ``value`` computed once a row, however often ``f`` uses it or inside which lambda."""
     return F.transform(F.array(value), f)[0]

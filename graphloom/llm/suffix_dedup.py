@@ -241,12 +241,12 @@ def dedup(docs: DataFrame, per_task: int = 100_000) -> DataFrame:
     with_id = rows.where("doc_id IS NOT NULL")
     at = _anchor_rows(with_id)
     shared = cut(at.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "suffix-grams")
-    own = at.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
+    own = cut(at.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h")).alias("at")), "suffix-anchors")
     contexts = cut(_contexts(with_id, own), "suffix-occurrences")
-    found = contexts.join(_decided(contexts, per_task), ["h", "ctx"])
+    found = contexts.join(cut(_decided(contexts, per_task), "suffix-decided"), ["h", "ctx"])
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.length("ctx")).alias("b")))
     spans = F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.transform("early", lambda i: F.struct((F.col("start") + i).alias("a"), (F.col("start") + i + SPAN).alias("b"))))
-    spans = found.select("doc_id", "text_key", spans.alias("spans")).where(F.size("spans") > 0).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    spans = cut(found.select("doc_id", "text_key", spans.alias("spans")).where(F.size("spans") > 0).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("spans")).alias("spans")), "suffix-spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
