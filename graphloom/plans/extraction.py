@@ -51,12 +51,11 @@ def _(spark, d):
     return extract.nodes(extract.rows(sources(spark, d))).select("path", "type", "id")
 
 
-@query("ast_edges", f"""WITH {SUP}, s AS (SELECT s_suppkey AS k, s_suppkey - 1 AS p FROM sup), e AS (
+@query("ast_edges", f"""WITH {SUP}, s AS (SELECT s_suppkey AS k, s_suppkey - 1 AS p FROM sup WHERE s_suppkey > (SELECT min(s_suppkey) FROM sup))
 SELECT 'pkg/m' || k || '.py' AS source, 'pkg/m' || p || '.py' AS target, 'IMPORTS' AS type, 1 AS line FROM s
 UNION ALL SELECT 'C' || k, 'C' || p, 'EXTENDS', 4 FROM s
 UNION ALL SELECT 'C' || k || '::run', 'helper_' || p, 'CALLS', 8 FROM s
-UNION ALL SELECT 'helper_' || k, 'helper_' || p, 'CALLS', 12 FROM s)
-SELECT source, target, type, line FROM e, (SELECT min(s_suppkey) AS least FROM sup) WHERE NOT ends_with(replace(target, '.py', ''), (least - 1)::VARCHAR) OR least < 0""")
+UNION ALL SELECT 'helper_' || k, 'helper_' || p, 'CALLS', 12 FROM s""")
 def _(spark, d):
     parsed = extract.rows(sources(spark, d))
     return valid_edges(extract.edges(parsed), extract.nodes(parsed)).select("source", "target", "type", "line")
