@@ -33,6 +33,7 @@ def upsert(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     if "ord" in new.columns:
         rest = [c for c in new.columns if c not in (*keys, "ord")]
         new = new.groupBy(*keys).agg(F.max(F.struct("ord", *rest)).alias("n")).select(*keys, "n.*")
+        new = new if "ord" in base.columns else new.drop("ord")
     return base.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 

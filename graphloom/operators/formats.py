@@ -49,7 +49,9 @@ def render(nodes: DataFrame, kind: str = "markdown", max_chars: int | None = Non
         out = "\n".join(["## Relevant Code Context\n", *parts])
     else:
         parts = [r.text for r in {"xml": xml_items, "plain": plain_items, "json": json_items}[kind](nodes).orderBy("ord").collect()]
-        out = {"xml": "\n".join(["<code_context>", *parts, "</code_context>"]), "plain": "\n".join(parts), "json": json.dumps({"context": [json.loads(p) for p in parts]}, indent=2)}[kind]
+        out = "\n".join({"xml": ["<code_context>", *parts, "</code_context>"]}.get(kind, parts))
+        if kind == "json":
+            out = json.dumps({"context": [json.loads(p) for p in parts]}, indent=2)
     return out if max_chars is None or len(out) <= max_chars else out[: max(0, max_chars - 3)] + "..."
 
 

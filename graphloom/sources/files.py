@@ -43,13 +43,27 @@ def ignore_patterns(config: list[str], ignore_file: str | None = None) -> list[s
     return [*[f"{d}/" for d in SKIPPED_DIRS], *config, *own]
 
 
+def _empty_files(spark: SparkSession, root: str, extensions: tuple[str, ...]) -> list[str]:
+    """Paths of files without a byte, from the file system's listing."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    it, out = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while it.hasNext():
+        f = it.next()
+        if f.getLen() == 0 and f.getPath().getName().rpartition(".")[2] in extensions:
+            out.append(f.getPath().toString())
+    return out
+
+
 def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, extensions: tuple[str, ...] = ("py",)) -> DataFrame:
     """path (relative), content, length of the files under ``root``, without those that ``patterns`` ignore."""
     glob = "*." + (extensions[0] if len(extensions) == 1 else "{" + ",".join(extensions) + "}")
     raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(root)
-    base = re.escape(re.sub(r"^\w+:/+", "/", root).rstrip("/"))
-    path = F.regexp_replace("path", rf"^(?:\w+:)?/*(?={base[1:] if base.startswith('/') else base}).*?{base.lstrip('/')}/", "")
-    df = raw.select(path.alias("path"), "content", "length")
+    plain = lambda p: re.sub(r"^\w+:/*(?=/)", "", str(p)).rstrip("/")
+    cut = len(plain(root)) + 2
+    strip = lambda c: F.expr(f"substr(regexp_replace({c}, '^[a-z]+:/*(?=/)', ''), {cut})")
+    df = raw.select(strip("path").alias("path"), "content", "length")
+    if empty := _empty_files(spark, root, extensions):  # Spark's readers leave these out
+        df = df.union(spark.createDataFrame([(p, b"", 0) for p in empty], "path string, content binary, length long").select(strip("path"), "content", "length"))
     return df.where(~ignored(F.col("path"), ignore_patterns([]) if patterns is None else patterns))
 
 
