@@ -49,9 +49,13 @@ def grams(docs: DataFrame, order: int) -> DataFrame:
 
 
 def discounts(counts: DataFrame) -> dict[int, float]:
-    """Good-Turing: r -> what a count of r is multiplied by, for r up to K."""
     of = {r.c: r.n for r in counts.where(F.col("c") <= K + 1).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    n = [0, *(of.get(r, 0) for r in range(1, K + 2))]
+    return good_turing([of.get(r, 0) for r in range(1, K + 2)])
+
+
+def good_turing(counts_of_counts: list[int]) -> dict[int, float]:
+    """r -> what a count of r is multiplied by, for r up to K, from how many n-grams have counts 1 to K + 1."""
+    n = [0, *counts_of_counts]
     out = {}
     for r in range(1, K + 1):
         d = -1.0
@@ -119,7 +123,11 @@ def log_probabilities(tokens: DataFrame, m: Model, order: int) -> DataFrame:
 
 
 def score_table(docs: DataFrame, order: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Bigram models go by blocks."""
+    if order == 2:
+        from .katz_bigrams import score_bigrams
+
+        return score_bigrams(docs)
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), held_out(F.col("doc_id")).alias("held_out"))
     tokens = grams(rows, order)
     m = train(tokens.where("NOT held_out"), order)
