@@ -5,7 +5,8 @@ corpus would move each text fifty times, so the suffix arrays are built only whe
 
 1. Anchors. In each window of 50 bytes the 20-byte grams with the least hash are anchors (winnowing). Equal
    windows have equal anchors, so a string that two documents share puts the same gram into both.
-2. Grams that occur in one document only are dropped: a partially aggregated group-by.
+2. Grams that occur in one text only are dropped: a partially aggregated group-by. Whole copies of a text need no
+   grams: all but the first go.
 3. Contexts. Around each remaining anchor the up to 80 bytes that a window over it can reach are cut out; equal
    contexts collapse to one with its least doc_id, so thousands of copies cost one context.
 4. Grams with one context are decided. For the others, contexts are dealt out by gram and each task builds the
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,27 +163,47 @@ def earlier(contexts: list[bytes], least: np.ndarray) -> list[list[int]]:
     return out
 
 
+def _lots(batch: pa.RecordBatch, most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of text; a longer text is a slice of its own."""
+    sizes = np.asarray(pc.binary_length(batch.column("text"))).astype(np.int64)
+    first = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and size + n > most:
+            yield batch.slice(first, i - first)
+            first, size = i, 0
+        size += n
+    if len(sizes):
+        yield batch.slice(first)
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_key"), text.cast("binary").alias("text"))
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """doc_id, text_key, n: rows whose whole text, of a string's length at least, is that of a smaller doc_id."""
+    keys = rows.select("doc_id", "text_key", F.xxhash64(F.lit(1), "text").alias("other"), F.length("text").alias("n")).where(F.col("n") >= SPAN)
+    first = keys.groupBy("text_key", "other").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return keys.join(first, ["text_key", "other"]).where("doc_id > first").select("doc_id", "text_key", "n").distinct()
+
+
 def _anchor_rows(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for part in _lots(batch):
                 data, ends = _laid_out(part.column("text").to_pylist())
                 at, h = anchors(data, ends)
                 doc = np.searchsorted(ends, at, side="right")
-                ids = np.asarray(part.column("doc_id"))
                 pos = at - np.concatenate([[0], ends])[doc]
-                yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "doc_id": pa.array(ids[doc]), "pos": pa.array(pos.astype(np.int32))})
+                own = {c: pa.array(np.asarray(part.column(c))[doc]) for c in ("doc_id", "text_key")}
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), **own, "pos": pa.array(pos.astype(np.int32))})
 
-    return rows.select("doc_id", "text").mapInArrow(run, "h long, doc_id long, pos int")
+    return rows.select("doc_id", "text_key", "text").mapInArrow(run, "h long, doc_id long, text_key long, pos int")
 
 
 def _contexts(rows: DataFrame, shared: DataFrame) -> DataFrame:
-    """h, ctx, doc_id, text_key, start: around each anchor of ``shared`` (doc_id, at: array of pos and h)."""
+    """h, ctx, doc_id, text_key, start: around each anchor of ``shared`` (doc_id, text_key, at: array of pos and h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +216,7 @@ def _contexts(rows: DataFrame, shared: DataFrame) -> DataFrame:
                 n = len(ctx)
                 yield pa.RecordBatch.from_pydict({"h": h, "ctx": pa.array(ctx, pa.binary()), "doc_id": pa.array([batch.column("doc_id")[i].as_py()] * n, pa.int64()), "text_key": pa.array([batch.column("text_key")[i].as_py()] * n, pa.int64()), "start": pa.array(starts, pa.int32())})
 
-    return rows.join(shared, "doc_id").mapInArrow(run, "h long, ctx binary, doc_id long, text_key long, start int")
+    return rows.join(shared, ["doc_id", "text_key"]).mapInArrow(run, "h long, ctx binary, doc_id long, text_key long, start int")
 
 
 def _decided(contexts: DataFrame, per_task: int) -> DataFrame:
@@ -234,19 +256,23 @@ def _cut_out(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, str]:
     return int(gone.sum()), runs, hashlib.sha256(np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()).hexdigest()
 
 
-def dedup(docs: DataFrame, per_task: int = 100_000) -> DataFrame:
+def dedup(docs: DataFrame, per_task: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     importable(docs.sparkSession)
     rows = _rows(docs)
     with_id = rows.where("doc_id IS NOT NULL")
     at = _anchor_rows(with_id)
-    shared = cut(at.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"), "suffix-grams")
-    own = cut(at.join(shared, "h").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "h")).alias("at")), "suffix-anchors")
+    shared = cut(at.groupBy("h").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a < b").select("h"), "suffix-grams")
+    copies = cut(_copies(with_id), "suffix-copies")
+    own = at.join(shared, "h").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
+    own = cut(own.join(copies, ["doc_id", "text_key"], "left_anti"), "suffix-anchors")
     contexts = cut(_contexts(with_id, own), "suffix-occurrences")
     found = contexts.join(cut(_decided(contexts, per_task), "suffix-decided"), ["h", "ctx"])
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.length("ctx")).alias("b")))
     spans = F.when(F.col("doc_id") > F.col("least"), whole).otherwise(F.transform("early", lambda i: F.struct((F.col("start") + i).alias("a"), (F.col("start") + i + SPAN).alias("b"))))
-    spans = cut(found.select("doc_id", "text_key", spans.alias("spans")).where(F.size("spans") > 0).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("spans")).alias("spans")), "suffix-spans")
+    all_of_it = copies.select("doc_id", "text_key", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("spans"))
+    spans = found.select("doc_id", "text_key", spans.alias("spans")).where(F.size("spans") > 0).union(all_of_it)
+    spans = cut(spans.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("spans")).alias("spans")), "suffix-spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.llm import katz_bigrams
 from graphloom.llm import katz_lm as lm
 
 
@@ -65,6 +66,14 @@ class Brute:
         return sum(math.log10(self.p(t[i], tuple(t[i - self.order + 1 : i]))) for i in range(self.order - 1, len(t)))
 
 
+@pytest.mark.parametrize(("chunk", "bucket", "hot"), [(20, 5, 1), (10**9, 3, 10**9)])
+def test_bigrams_by_chunks_and_buckets(spark, monkeypatch, chunk, bucket, hot):
+    monkeypatch.setattr(katz_bigrams, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(katz_bigrams, "BUCKET_TOKENS", bucket)
+    monkeypatch.setattr(katz_bigrams, "HOT", hot)
+    test_scores(spark, 2)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores(spark, order):
     texts = ["a b a b a c", "a b", "b c a b", "", None, "c c c d", "The the THE end", "x y z", "a b a b a b"] * 2
