@@ -83,7 +83,12 @@ def tree(edges: DataFrame, root: str, max_depth: int = 3) -> str:
     return "\n".join(out)
 
 
-def pr_comment(impact: DataFrame) -> DataFrame:
-    """One row, ``comment``, of (risk, n_impacted, n_direct, n_tests)."""
+def comment_text() -> Column:
+    """The comment on a change, of columns risk, n_impacted, n_direct, n_tests."""
     icon = F.create_map(*map(F.lit, ["low", "🟢", "medium", "🟡", "high", "🔴"]))
-    return impact.select(F.concat_ws("\n", F.lit("## Impact"), F.concat(icon[F.col("risk")], F.lit(" risk: "), "risk"), F.concat(F.lit("- impacted files: "), F.col("n_impacted").cast("string"), F.lit(" ("), F.col("n_direct").cast("string"), F.lit(" direct)")), F.concat(F.lit("- tests to run: "), F.col("n_tests").cast("string"))).alias("comment"))
+    return F.concat_ws("\n", F.lit("## Impact"), F.concat(icon[F.col("risk")], F.lit(" risk: "), "risk"), F.concat(F.lit("- impacted files: "), F.col("n_impacted").cast("string"), F.lit(" ("), F.col("n_direct").cast("string"), F.lit(" direct)")), F.concat(F.lit("- tests to run: "), F.col("n_tests").cast("string")))
+
+
+def pr_comment(impact: DataFrame) -> DataFrame:
+    """One row, ``comment``."""
+    return impact.select(comment_text().alias("comment"))
