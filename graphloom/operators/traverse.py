@@ -23,6 +23,7 @@ def arcs(edges: DataFrame, direction: str = "outgoing", types: list[str] | None
 
 def reach(steps: DataFrame, start: DataFrame, max_depth: int | None = None, most: int = 10_000) -> DataFrame:
     """id, depth: the least number of steps (a, b) from any ``start`` (id); up to ``max_depth``, or until nothing is new."""
+    steps = cut(steps.select("a", "b"), "steps")  # worked out once, not in each round
     seen = cut(start.select("id").distinct().withColumn("depth", F.lit(0)), "reach")
     frontier, depth = seen, 0
     while depth < (most if max_depth is None else max_depth):
@@ -54,6 +55,7 @@ def decayed(found: DataFrame, rate: float = DECAY) -> DataFrame:
 def path_lengths(edges: DataFrame, start: str, max_depth: int, types: list[str] | None = None, reverse: bool = False) -> DataFrame:
     """id, distance: each length at which a path without a repeated edge ends in a node; a node has a row for each."""
     e = (edges.where(F.col("type").isin(types)) if types else edges).select((F.col("target") if reverse else F.col("source")).alias("a"), (F.col("source") if reverse else F.col("target")).alias("b"), F.col("ord").alias("e"))
+    e = cut(e, "steps")
     level = cut(e.where(F.col("a") == start).select(F.col("b").alias("id"), F.array("e").alias("used")), "paths")
     out = level.select("id").distinct().withColumn("distance", F.lit(1))
     for k in range(2, max_depth + 1):
@@ -66,6 +68,7 @@ def weighted(edges: DataFrame, start: str, threshold: float = WEIGHT_THRESHOLD,
     """id, weight: the greatest product of edge weights on a path from ``start``, while at least ``threshold``."""
     w = F.create_map(*[F.lit(x) for kv in (weights or EDGE_WEIGHTS).items() for x in kv])
     steps = edges.select(F.col("source").alias("id"), F.col("target").alias("b"), w[F.col("type")].alias("w")).where("w IS NOT NULL").groupBy("id", "b").agg(F.max("w").alias("w"))
+    steps = cut(steps, "steps")
     best = cut(edges.sparkSession.createDataFrame([(start, 1.0)], "id string, weight double"), "weighted")
     frontier = best
     for _ in range(most):
@@ -80,10 +83,10 @@ def weighted(edges: DataFrame, start: str, threshold: float = WEIGHT_THRESHOLD,
 
 def shortest_path(edges: DataFrame, source: str, target: str, most: int = 10_000) -> list[str] | None:
     """Nodes of a shortest undirected path, the smallest parent at each step; None if there is none."""
-    steps = arcs(edges, "both")
     spark = edges.sparkSession
     if source == target:
         return [source]
+    steps = cut(arcs(edges, "both"), "steps")
     seen = cut(spark.createDataFrame([(source, None)], "id string, parent string"), "path")
     frontier, levels = seen, [seen]
     for _ in range(most):
