@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, importable
 from .katz_lm import K, discounts, good_turing, held_out
 
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 16_000_000
 BUCKET_TOKENS = 4_000_000
 HOT = 2_000
 START, END = 0, 1
