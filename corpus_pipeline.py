@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages, each written as Parquet and read again as the next one's input.
 
-SQL can't express SimHash or SentencePiece, so ``ORACLE_SQL`` is None; tests/llm/test_pipeline.py runs
+SQL can't express MinHash or SentencePiece, so ``ORACLE_SQL`` is None; tests/llm/test_pipeline.py runs
 ``run`` against plain Python.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, line_dedup, quality_rules, sentencepiece_codec, simhash_dedup
+from graphloom.llm import decontaminate, line_dedup, near_copies as near, quality_rules, sentencepiece_codec
 from graphloom.llm.common import cut, table
 from graphloom.llm.queries import piece_bpe
 
@@ -24,8 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
-    return simhash_dedup.dedup(docs)
+    """Of each group of texts at five-word Jaccard similarity 0.8 or more the smallest doc_id stays."""
+    return near.dedup(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_table(docs, piece_bpe())
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("SimHash near-dedup", near_copies), ("benchmark decontamination", benchmark), ("SentencePiece", encoding)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("MinHash near-dedup", near_copies), ("benchmark decontamination", benchmark), ("SentencePiece", encoding)]
 ORACLE_SQL = None
 
 
