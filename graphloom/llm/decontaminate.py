@@ -4,8 +4,8 @@ A document is contaminated by an item if some window of as many words as the ite
 ``similarity`` weighted-shingle similarity with it: over ``width``-word shingles, the sum of the smaller counts by the
 sum of the larger counts. Texts are lower-cased (A to Z) and cut at white space.
 
-Windows: a window can only be similar if it shares a shingle with the item, so exactly the alignments that put
-a shared shingle in place are looked at; no others are generated. Candidates: windows and items of equal size
+Windows: a similar window has a least number of places whose shingle is one of the item's; every window with so many
+is looked at, and no others are generated. Candidates: windows and items of equal size
 get 64-bit SimHashes of their words, cut into ``radius`` + 1 blocks; two fingerprints within ``radius`` bits agree in
 at least one block, so the join on (size, block, value) finds all of them. Verification: the exact similarity.
 
@@ -77,8 +77,24 @@ def _similarity(a: Column, b: Column) -> Column:
     return let(common, lambda n: n / (F.size(a) + F.size(b) - n))
 
 
+def _starts(at: Column, n: Column, size: Column, k: int, similarity: float) -> Column:
+    """Starts of all windows that can be similar: ``at`` has the places, in order, of the document's shingles that the item has."""
+    own, item = F.least(n, size) - (k - 1), size - (k - 1)
+    need = F.greatest(F.lit(1), F.ceil(F.lit(similarity) * (own + item) / (1 + similarity) - 1e-9).cast("int"))
+    last = n - F.least(n, size)
+    first = F.slice(at, 1, F.greatest(F.lit(0), F.size(at) - need + 1))
+
+    def run(p: Column, i: Column) -> Column:
+        """Windows that begin after the place before ``p`` and hold ``p`` and the next ``need`` - 1 places."""
+        low = F.greatest(F.lit(0), F.element_at(at, i + need) - own + 1, F.when(i > 0, F.element_at(at, F.greatest(i, F.lit(1))) + 1).otherwise(0))
+        high = F.least(p, last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(first, run))
+
+
 def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 16) -> DataFrame:
-    """doc_id, text_key, item_id, start (word), n_words, distance (bits), similarity: each pair's best window, the first among equals."""
+    """doc_id, text_key, item_id, start (word), n_words, distance (bits), similarity: each pair's best window; among equals those that put a shared shingle in place, then the first."""
     d = keyed(docs)
     it = items.select("item_id", _tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
     it = cut(it.select("item_id", "w", F.size("w").alias("size"), F.least(F.size("w"), F.lit(width)).alias("k"), _simhash(F.col("w")).alias("item_fp")), "bench-items")
@@ -90,30 +106,25 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: i
         if own.count() <= BROADCAST_SHINGLES:
             own = F.broadcast(own)
         rows = _shingle_rows(tokens.withColumn("n", F.size("w")), ["doc_id", "text_key", "n"], k)
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("q"), F.col("n") - F.col("size")))
-        part = rows.join(own, "h").select("doc_id", "text_key", "size", start.alias("start"), F.lit(k).alias("k"))
+        aligned = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("q"), F.col("n") - F.col("size")))
+        part = rows.join(own, "h").groupBy("doc_id", "text_key", "n", "item_id", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.collect_set(aligned).alias("aligned"))
+        starts = F.explode(_starts(F.col("at"), F.col("n"), F.col("size"), k, similarity))
+        part = part.select("doc_id", "text_key", "item_id", "size", starts.alias("start"), "aligned").withColumn("off", ~F.array_contains("aligned", F.col("start"))).drop("aligned").withColumn("k", F.lit(k))
         found = part if found is None else found.union(part)
     if found is None:
-        found = tokens.select("doc_id", "text_key", F.size("w").alias("size"), F.lit(0).alias("start"), F.lit(0).alias("k")).limit(0)
+        found = tokens.select("doc_id", "text_key", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.size("w").alias("size"), F.lit(0).alias("start"), F.lit(False).alias("off"), F.lit(0).alias("k")).limit(0)
     hits = cut(found.distinct(), "bench-hits")
 
-    at = hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("size", "start", "k")).alias("at"))
+    at = hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "size", "start", "off")).alias("at"))
     windows = d.join(at, on_key(d, at)).select(d["doc_id"], d["text_key"], _tokens(d["text"]).alias("w"), at["at"])
     windows = windows.select("doc_id", "text_key", "w", F.explode("at").alias("a")).select("doc_id", "text_key", "a.*", F.slice("w", F.col("a.start") + 1, F.col("a.size")).alias("w"))
     windows = cut(windows.withColumn("fp", _simhash(F.col("w"))), "bench-windows")
 
-    n = radius + 1
-    left = windows.select("doc_id", "text_key", "size", "start", "fp", F.explode(_blocks(F.col("fp"), n)).alias("b")).select("doc_id", "text_key", "size", "start", "fp", "b.*")
-    right = it.select("item_id", "size", "item_fp", F.explode(_blocks(F.col("item_fp"), n)).alias("b")).select("item_id", "size", "item_fp", "b.*")
-    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
-    near = left.join(right, ["size", "block", "value"]).select("doc_id", "text_key", "size", "start", "item_id", distance.alias("distance")).where(F.col("distance") <= radius).distinct()
-    near = near.select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), F.col("size").alias("z"), F.col("start").alias("s"), "item_id", "distance")
-    same = windows["doc_id"].eqNullSafe(near["d"]) & (windows["text_key"] == near["t"]) & (windows["size"] == near["z"]) & (windows["start"] == near["s"])
-    pairs = windows.join(near, same).select("doc_id", "text_key", "item_id", "start", "w", "distance")
-    both = pairs.join(it.select("item_id", F.col("w").alias("own"), "k"), "item_id")
+    pairs = windows.select("doc_id", "text_key", "item_id", "start", "off", "w", "fp")
+    both = pairs.join(it.select("item_id", F.col("w").alias("own"), "k", "item_fp"), "item_id").withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("distance") <= radius)
     value = let(_shingles(F.col("w"), F.col("k")), lambda a: let(_shingles(F.col("own"), F.col("k")), lambda b: _similarity(a, b)))
-    judged = both.select("doc_id", "text_key", "item_id", "start", F.size("w").alias("n_words"), "distance", value.alias("similarity")).where(F.col("similarity") >= similarity)
-    best = judged.groupBy("doc_id", "text_key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words", "distance")).alias("best"))
+    judged = both.select("doc_id", "text_key", "item_id", "start", "off", F.size("w").alias("n_words"), "distance", value.alias("similarity")).where(F.col("similarity") >= similarity)
+    best = judged.groupBy("doc_id", "text_key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "off", "start", "n_words", "distance")).alias("best"))
     return best.select("doc_id", "text_key", "item_id", F.col("best.start").cast("long").alias("start"), F.col("best.n_words").cast("long").alias("n_words"), F.col("best.distance").cast("long").alias("distance"), (-F.col("best.s")).alias("similarity"))
 
 

@@ -100,3 +100,17 @@ def test_defined_cases(docs, empty, spark):
     assert got and {i for _, i in got} == {1, 2}
     assert dc.matches(empty, items).count() == dc.matches(docs, empty.select(F.col("doc_id").alias("item_id"), "text")).count() == 0
     assert dc.clean(docs, items).schema == docs.schema
+
+
+def found_and_wanted(spark, docs, items):
+    got = dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got.collect()}, {k: round(v, 9) for k, v in brute(docs, items).items()}
+
+
+def test_best_window_between_two_alignments(spark):
+    """Both ends altered and words put in the middle: neither alignment of a shared shingle reaches 0.8."""
+    item = [f"w{k}" for k in range(100)]
+    altered = ["x1", "x2", "x3", *item[3:50], *[f"new{k}" for k in range(6)], *item[50:97], "y1", "y2", "y3"]
+    docs = [(n, " ".join([*(f"a{k}" for k in range(n)), *altered, *(f"b{k}" for k in range(n))])) for n in (0, 5, 40)]
+    got, want = found_and_wanted(spark, docs, [(1, " ".join(item))])
+    assert got == want and set(want) == {(0, 1), (5, 1), (40, 1)} and round(want[40, 1], 4) == 0.8113
