@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate as dc
@@ -114,3 +115,21 @@ def test_best_window_between_two_alignments(spark):
     docs = [(n, " ".join([*(f"a{k}" for k in range(n)), *altered, *(f"b{k}" for k in range(n))])) for n in (0, 5, 40)]
     got, want = found_and_wanted(spark, docs, [(1, " ".join(item))])
     assert got == want and set(want) == {(0, 1), (5, 1), (40, 1)} and round(want[40, 1], 4) == 0.8113
+
+
+def test_matches_beyond_sixteen_bits(spark):
+    """Last words replaced: similarity over 0.8, but word SimHashes over 16 bits apart."""
+
+    def simhash(w):
+        hs = [xxhash.xxh64_intdigest(x, 42) for x in w]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+    rnd, docs, items = random.Random(6), [], []
+    while len(items) < 3:
+        item = [f"w{rnd.getrandbits(40)}" for _ in range(100)]
+        doc = [*item[:-10], *(f"n{rnd.getrandbits(40)}" for _ in range(10))]
+        if (simhash(item) ^ simhash(doc)).bit_count() > 16:
+            docs.append((len(docs), " ".join(doc)))
+            items.append((len(items), " ".join(item)))
+    got, want = found_and_wanted(spark, docs, items)
+    assert got == want and set(want) == {(k, k) for k in range(3)}
