@@ -26,6 +26,14 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def plain_reads(spark: SparkSession) -> None:
+    """Read Parquet's column chunks through Spark's own buffers for the rest of the session.
+
+    Vectored reads of local files go through direct buffers that each reading thread keeps, one for each size of chunk
+    it has met: memory outside the heap that grows with the number of files read."""
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -38,6 +46,7 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, lost executors cost nothing, and
     the shuffles behind it are deleted."""
     spark, path = df.sparkSession, scratch(df.sparkSession, what)
+    plain_reads(spark)
     was = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
