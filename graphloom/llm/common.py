@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import cut as cut
+from ..scratch import plain_reads as plain_reads
 from ..scratch import scratch as scratch
 
 #: White space as all contracts here have it: space and the five controls 9 to 13.
@@ -16,11 +20,15 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_reads(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
+    """Let Python workers import this package from where the driver found it, and hand them texts in batches of
+    fewer rows than Spark's default of 10,000, unless the session has a number of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -56,3 +64,14 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in have:
         name += "_"
     return name
+
+
+def lots(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of an Arrow batch with about ``most`` bytes of column ``text`` each; a longer text is a slice of its own."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column("text"))).astype(np.int64))
+    first = 0
+    while first < len(ends):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(first, last - first)
+        first = last

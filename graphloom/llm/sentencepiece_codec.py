@@ -13,7 +13,8 @@ outside the vocabulary fall back to bytes, or to the unknown piece.
 
 A pure map: no shuffle; a worker's memory of words is bounded. Defined cases: a null or empty text has no ids
 and decodes to an empty text; the mark's own character encodes as a space, as in the library; repeated rows and
-null ids are encoded one by one; other columns are ignored by ``encode_table``.
+null ids are encoded one by one; words of over 200 characters are not remembered, and a very long text is a lot of its
+own; other columns are ignored by ``encode_table``. Where no piece holds a line break, words are cut at those too.
 """
 
 from __future__ import annotations
@@ -22,19 +23,23 @@ import functools
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable
+from .common import importable, lots
 from .id_table import IdTable
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-#: Words and pairs of pieces that a worker remembers; beyond that it starts anew.
+#: Pairs of pieces that a worker remembers; beyond that it starts anew.
 CACHE = 1_000_000
+#: Bytes of text that are encoded at once.
+LOT = 4_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -94,7 +99,7 @@ class Pieces:
 
 
 class Viterbi:
-    """Encodes sorted marked words; keeps the forward states of the last word's prefixes."""
+    """Encodes marked words; keeps the forward states of the last word's prefixes, so sorted ones share the most."""
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
@@ -141,7 +146,7 @@ class Viterbi:
         total.append(best)
 
     def segment(self, words: list[str]) -> Iterator[list[str]]:
-        """Pieces of each of the sorted ``words``."""
+        """Pieces of each of ``words``."""
         before, last, total = "", [None], [0.0]
         bpe = self.p.kind == BPE
         for word in words:
@@ -175,21 +180,34 @@ class Codec:
     def __init__(self, path: str):
         self.pieces = Pieces.load(path)
         v = Viterbi(self.pieces)
-        # keys lack their first mark, which all words have
-        self.table = IdTable(lambda keys: [v.ids(s) for s in v.segment([MARK + k.replace(" ", MARK) for k in keys])], np.uint16 if len(self.pieces.bytes_of) <= 1 << 16 else np.uint32, CACHE)
-
-    @staticmethod
-    def keys(text: str) -> list[str]:
-        text = text.replace(MARK, " ")
-        if not text:
-            return []
-        if "  " in text or text[0] == " " or text[-1] == " ":
-            return [m[1:] for m in _RUNS.findall(" " + text)]
-        return text.split(" ")
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # keys lack their first mark; those that have none begin with a line break
+        mark = lambda k: ("" if self.cuts_lines and k[:1] == "\n" else MARK) + k.replace(" ", MARK)
+        self.cuts_lines = not any("\n" in p for p in self.pieces.scores if len(p) > 1)
+
+        def ids(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [v.ids(s) for s in v.segment([mark(k) for k in keys])]
+            lens = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(lens.sum())), lens
+
+        self.table = IdTable(ids, np.uint16 if len(self.pieces.bytes_of) <= 1 << 16 else np.uint32)
+
+    def keys(self, text: str) -> list[str]:
+        runs = [m[1:] for m in _RUNS.findall(" " + text)] if text else []
+        if not self.cuts_lines:
+            return runs
+        return [k for r in runs for first, *rest in [r.split("\n")] for k in (first, *map("\n".__add__, rest))]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and the number of each."""
-        return self.table.gather([self.keys(t) for t in texts])
+        texts = pc.replace_substring(texts, MARK, " ")
+        strings = texts.to_pylist()
+        is_slow = np.array([not t or "  " in t or t[0] == " " or t[-1] == " " for t in strings], dtype=bool)
+        slow = [self.keys(strings[i]) for i in np.flatnonzero(is_slow).tolist()]
+        fast = texts.filter(pa.array(~is_slow))
+        if self.cuts_lines:
+            # a space before a line break is a mark alone
+            fast = pc.replace_substring(fast, "\n", " \n")
+        return self.table.by_text(pc.split_pattern(fast, " "), slow, is_slow)
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         b = self.pieces.bytes_of
@@ -208,10 +226,9 @@ def encode_table(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in lots(batch, LOT):
                 texts = part.column("text").to_pylist()
-                flat, n = c.encode(texts)
+                flat, n = c.encode(part.column("text"))
                 offsets = np.concatenate([[0], np.cumsum(n)])
                 back = [c.decode(flat[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
                 yield pa.RecordBatch.from_pydict(

@@ -9,15 +9,17 @@ range partition is a segment, and a segment is a run of chunks. A chunk's payloa
 and each block of 256 ids in the body: ids minus the block's minimum, the low ``width`` bits of each packed;
 then, for the values that are wider, positions u8[n_exceptions] and high parts u32[n_exceptions]. ``width`` is
 that of the block's 90th percentile. The last block is padded with its minimum. A chunk also lists its
-documents' ids and lengths, so a document is found by chunk statistics and decoded from its blocks alone.
+documents' ids and lengths, and the least and the largest id: a document is found by the statistics that Parquet keeps
+of those two and decoded from its blocks alone.
 
-Encoding uses the tokenizers library on distinct space-led pieces: the vocabulary's pre-tokenizer always
-starts a token at a space before a non-space character, so pieces encode alone as they do in the text. Texts with
-a special token's string, or for other pre-tokenizers, are encoded whole.
+Encoding uses the tokenizers library on distinct pieces: the vocabulary's pre-tokenizer always starts a token at
+a space before a non-space character, and at one line break or each of two, so pieces encode alone as they do in
+the text. Texts with a special token's string, or for other pre-tokenizers, are encoded whole.
 
-Scale: texts are shuffled once, by range; the rest are sums over segments. A worker's piece cache is
-bounded. Defined cases: a null or empty text is the end id alone; rows of equal id keep an arbitrary order among
-each other; null ids come first; other columns are ignored; an empty table makes an empty store.
+Scale: texts are shuffled once, by range; the rest are sums over segments. A worker's piece memory is bounded in
+bytes, and strings of over 200 characters don't enter it. Defined cases: a null or empty text is the end id alone; rows
+of equal id keep an arbitrary order among each other; null ids come first; other columns are ignored; a very long text
+is a lot and a chunk of its own; an empty table makes an empty store.
 """
 
 from __future__ import annotations
@@ -27,19 +29,21 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, scratch
+from .common import importable, lots, scratch
 from .id_table import IdTable
 
 MAGIC = b"GLP1"
 BLOCK = 256
 PERCENTILE = 90
-CHUNK_IDS = 1 << 20
+CHUNK_IDS = 1 << 19
 
 
 def _packed(rows: np.ndarray, width: int) -> np.ndarray:
@@ -123,11 +127,12 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     return rows.reshape(-1)[first - a * BLOCK : last - a * BLOCK]
 
 
-#: A space before white space or at the end starts no token of its own.
-_JOINED = re.compile(r" (?:\s|$)")
+_W = r"\x{9}-\x{d}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Runs of white space that aren't cut at each space and line break: all but one space, one line break or two.
+_JOINED = rf"[ {_W}]\z|\n\n\n| [ {_W}]|[{_W.replace('x{9}', 'x{b}')}\t][ {_W}]|\n[{_W.replace('x{9}', 'x{b}')}\t ]"
 _SPLIT = re.compile(r" (?=\S)")
-#: Pieces that a worker remembers; beyond that it starts anew.
-CACHE = 1_500_000
+#: Bytes of text that are encoded at once.
+LOT = 4_000_000
 
 
 class Encoder:
@@ -141,32 +146,75 @@ class Encoder:
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
         added = [re.escape(t["content"]) for t in spec.get("added_tokens", ())]
         self.special = re.compile("|".join(added)) if added else None
-        encode = lambda new: [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self.table = IdTable(encode, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32, CACHE)
-
-    def pieces(self, text: str) -> list[str]:
-        p = _SPLIT.split(text) if _JOINED.search(text) else text.split(" ")
-        return [p[0], *map(" ".__add__, p[1:])] if p[0] else [*map(" ".__add__, p[1:])]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.table = IdTable(self._pieces, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        # the characters that stand for bytes in the vocabulary: the printable ones for themselves, the others from 256 on
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+        self.chars = dict(zip([*own, *(b for b in range(256) if b not in own)], map(chr, [*own, *range(256, 512 - len(own))]), strict=True))
+
+    def _word(self, mapped: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(mapped)]
+
+    def _pieces(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers. A key is a piece without its space; a piece that has none begins with a line break, or gets a space as its mark.
+
+        The pre-tokenizer leaves words of letters whole and cuts them from a line break before or one sign after, so
+        these go to the library's model as they are; whatever else goes through all of the library."""
+        space, found, others = self.chars[32], [None] * len(keys), []
+        line, signs = self._word(self.chars[10]), {s: self._word(s) for s in ".,"}
+        model = self.tokenizer.model.tokenize
+        for i, k in enumerate(keys):
+            if k.isalpha() and k.isascii():
+                found[i] = [t.id for t in model(space + k)]
+                continue
+            led, tail = k[:1] == "\n", signs.get(k[-1:])
+            body = k[led : len(k) - (tail is not None)]
+            if body.isalpha() and max(body) < "ɐ":
+                mapped = body if body.isascii() else "".join([self.chars[b] for b in body.encode()])
+                ids = [t.id for t in model(mapped if led else space + mapped)]
+                found[i] = [*(line if led else ()), *ids, *(tail or ())]
+            else:
+                others.append(i)
+        rest = [k[1:] if k[:1] == " " else k if k[:1] == "\n" else " " + k for k in (keys[i] for i in others)]
+        for i, e in zip(others, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        lens = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(lens.sum())), lens
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and the number of each."""
-        whole = {i for i, t in enumerate(texts) if not self.by_piece or (self.special and self.special.search(t))}
-        parts = [[] if i in whole or not t else self.pieces(t) for i, t in enumerate(texts)]
-        out, counts = self.table.gather(parts)
+        strings = texts.to_pylist()
+        whole = [i for i, t in enumerate(strings) if not self.by_piece or (self.special and self.special.search(t))]
+        is_slow = pc.match_substring_regex(texts, _JOINED).to_numpy(zero_copy_only=False).astype(bool)
+        is_slow[whole] = True
+        # where every space and line break starts a piece, Arrow cuts
+        fast = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~is_slow)), "\n", " \n"), " ")
+        offsets, keys = np.asarray(fast.offsets), fast.flatten()
+        first = np.zeros(len(keys), dtype=bool)
+        first[offsets[:-1]] = True  # a split text has one piece at least
+        marked = pc.binary_join_element_wise("", keys.filter(pa.array(first)), " ")
+        fast = pa.ListArray.from_arrays(fast.offsets, pc.replace_with_mask(keys, pa.array(first), marked)) if len(keys) else fast
+        skip = set(whole)
+        slow = [[] if i in skip else self.keys(strings[i]) for i in np.flatnonzero(is_slow).tolist()]
+        out, counts = self.table.by_text(fast, slow, is_slow)
         if whole:
             rows = np.split(out, np.cumsum(counts)[:-1])
             for i in whole:
-                rows[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=out.dtype)
+                rows[i] = np.array(self.tokenizer.encode(strings[i], add_special_tokens=False).ids, dtype=out.dtype)
             out, counts = np.concatenate(rows), np.array([len(r) for r in rows], dtype=np.int64)
         return out, counts
 
+    @staticmethod
+    def keys(text: str) -> list[str]:
+        p = _SPLIT.split(text)
+        return [" " + p[0], *p[1:]]
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-CHUNK_SCHEMA = "segment int, chunk int, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
+CHUNK_SCHEMA = "segment int, chunk int, first_id long, last_id long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
 def write(docs: DataFrame, vocabulary: str, path: str, end_id: int | None = 2, mode: str = "errorifexists") -> None:
@@ -185,16 +233,16 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int | None = 2, m
         def flush() -> pa.RecordBatch:
             nonlocal chunk
             flat = np.concatenate(ids)
-            row = {"segment": [segment], "chunk": [chunk], "n_ids": [len(flat)], "doc_ids": [list(doc_ids)], "lengths": [np.concatenate(counts).tolist()], "payload": [pack(flat)]}
+            given = [d for d in doc_ids if d is not None]
+            row = {"segment": [segment], "chunk": [chunk], "first_id": [min(given, default=None)], "last_id": [max(given, default=None)], "n_ids": [len(flat)], "doc_ids": [list(doc_ids)], "lengths": [np.concatenate(counts).tolist()], "payload": [pack(flat)]}
             chunk += 1
             for x in (doc_ids, counts, ids):
                 x.clear()
-            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("segment", pa.int32()), ("chunk", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())]))
+            return pa.RecordBatch.from_pydict(row, schema=pa.schema([("segment", pa.int32()), ("chunk", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())]))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                flat, n = enc.encode(part.column("text").to_pylist())
+            for part in lots(batch, LOT):
+                flat, n = enc.encode(part.column("text"))
                 if ends:
                     flat, n = np.insert(flat, np.cumsum(n), ends[0]), n + 1
                 doc_ids += part.column("doc_id").to_pylist()
@@ -236,7 +284,7 @@ def read(spark, path: str) -> DataFrame:
 
 def lookup(spark, path: str, doc_id: int) -> list[list[int]]:
     """The ids of one document (of each row that has that id): its chunks by filter, its blocks by the index."""
-    rows = spark.read.schema(CHUNK_SCHEMA).parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id).cast("long")))
+    rows = spark.read.schema(CHUNK_SCHEMA).parquet(path).where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id) & F.array_contains("doc_ids", F.lit(doc_id).cast("long")))
     out = []
     for r in rows.collect():
         ends = np.cumsum(r["lengths"])

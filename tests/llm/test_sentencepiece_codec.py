@@ -4,6 +4,7 @@ import itertools
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -19,14 +20,14 @@ LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
 @given(st.text(st.sampled_from(list("aaabeeintr   \n\té漢▁<s>0xA")) | st.characters(codec="utf-8"), max_size=60))
 def test_encode_and_decode_as_the_library(text):
     c = codec.codec(PATH)
-    ids, n = c.encode([text])
+    ids, n = c.encode(pa.array([text]))
     assert ids.tolist() == LIBRARY.encode(text)
     assert c.decode(ids) == LIBRARY.decode(ids.tolist())
 
 
 def test_documents_as_the_library(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
-    ids, n = codec.codec(PATH).encode(texts)
+    ids, n = codec.codec(PATH).encode(pa.array(texts))
     want = LIBRARY.encode(texts, num_threads=1)
     assert n.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
 
@@ -34,7 +35,7 @@ def test_documents_as_the_library(spark):
 def test_random_letters_as_the_library():
     rnd = random.Random(1)
     words = ["".join(rnd.choice("etaoinshr") for _ in range(rnd.randrange(1, 14))) for _ in range(20_000)]
-    ids, n = codec.codec(PATH).encode(words)
+    ids, n = codec.codec(PATH).encode(pa.array(words))
     want = LIBRARY.encode(words, num_threads=1)
     assert ids.tolist() == [x for w in want for x in w]
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,7 +26,7 @@ def test_pieces_encode_as_the_whole(texts):
     enc = token_store.encoder(PATH)
     lib = Tokenizer.from_file(PATH) if not hasattr(test_pieces_encode_as_the_whole, "lib") else test_pieces_encode_as_the_whole.lib
     test_pieces_encode_as_the_whole.lib = lib
-    ids, n = enc.encode(texts)
+    ids, n = enc.encode(pa.array(texts, pa.string()))
     want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
     assert n.tolist() == [len(w) for w in want]
     assert ids.tolist() == [x for w in want for x in w]
@@ -33,7 +34,7 @@ def test_pieces_encode_as_the_whole(texts):
 
 def test_special_strings(library):
     texts = ["a <|endoftext|> b", "plain", "<|endoftext|>", "", "it's  we'll"]
-    ids, n = token_store.encoder(PATH).encode(texts)
+    ids, n = token_store.encoder(PATH).encode(pa.array(texts, pa.string()))
     assert ids.tolist() == [x for t in texts for x in library.encode(t, add_special_tokens=False).ids]
 
 
@@ -69,3 +70,16 @@ def test_store(docs, rows, empty, library, tmp_path):
     assert token_store.round_trip(empty, PATH).count() == 0
     token_store.write(docs, PATH, str(tmp_path / "s"))
     assert token_store.lookup(docs.sparkSession, str(tmp_path / "s"), rows[9][0]) == [ids[9]]
+
+
+def test_long_texts_and_forgetting(library, monkeypatch):
+    enc = token_store.Encoder(PATH)
+    enc.table.most = 2_000_000
+    rnd = np.random.default_rng(3)
+    letters = lambda n: "".join(map(chr, rnd.integers(97, 123, n)))
+    texts = [letters(100_000), " ".join(letters(5) for _ in range(200_000)), "漢字" * 20_000, *[f"again and again {letters(6)}" for _ in range(300)]]
+    for _ in range(2):
+        ids, n = enc.encode(pa.array(texts))
+        assert ids.tolist() == [x for t in texts for x in library.encode(t, add_special_tokens=False).ids] and len(n) == len(texts)
+    enc.encode(pa.array(["x y"]))
+    assert enc.table.n == 2
