@@ -1,17 +1,22 @@
-"""Near copies by exact Jaccard similarity of five-word shingles: the contract of the pipeline's near-dedup stage.
+"""The wide side of op 1: near copies by exact Jaccard similarity of five-word shingles, as the pipeline's stage needs them.
 
 Two texts are near copies if the sets of their ``width``-word shingles have Jaccard similarity ``LEAST`` or more;
-groups are the connected components of that relation.
+groups are the connected components of that relation. Every link is verified on the shingle sets.
 
-Candidates: MinHash, ``BANDS`` bands of ``ROWS`` minima. Two texts at similarity s share no band with probability
-(1 - s^5)^32: 3e-6 at 0.8, less above. Every link is verified on the shingle sets.
+Candidates come in two steps. First covering SimHash (``simhash_dedup.links``): fingerprints of the five-word shingles
+within two bits. At similarity 0.8 two fingerprints differ in about 10 of 64 bits, and a radius that covers nearly all
+such pairs (19) would take a million masks, so SimHash alone can't give this relation. The second step is therefore
+MinHash, ``BANDS`` bands of ``ROWS`` minima of the same shingle hashes. Two texts at similarity s share no band with
+probability (1 - s^5)^32: 3e-6 at 0.8, less above.
 
 A bucket (band, minima) is first compared with one leader, its own in each band. Of the pairs that remain, only those
 whose texts are still in different components are formed, so a large group of near copies costs a few comparisons a text;
 a bucket of texts that are not near copies of each other costs its pairs. No bucket is capped.
 
 Defined cases: letters A to Z are lower-cased, words are cut at ASCII white space; texts under ``width`` words are one shingle;
-null and empty texts are copies of each other; rows without id stay and are no one's copy; other columns are kept.
+null and empty texts are copies of each other; rows without id stay and are no one's copy; repeated rows of one id all
+stay or all go; among ties the smallest id stays; very long texts are hashed in bounded steps; other columns, whatever
+their names, are kept.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, importable, keyed, on_key
-from .simhash_dedup import contract
+from .simhash_dedup import contract, links, majority
 
 WIDTH, BANDS, ROWS = 5, 32, 5
 #: 4/5, as integers.
@@ -56,23 +61,33 @@ def bands(grams: np.ndarray) -> list[int]:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, node (a hash of the shingle set), n (its size), bands."""
+    """doc_id, text_key, node (a hash of the shingle set), n (its size), fp (its SimHash), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
-            nodes, sizes, values = [], [], []
-            for t in b.column("text").to_pylist():
-                g = shingles(t)
-                nodes.append(xxhash.xxh64_intdigest(g.tobytes()))
-                sizes.append(len(g))
-                values.append(bands(g))
-            own = {"node": pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int32()), "bands": pa.array(values, pa.list_(pa.int64()))}
+            grams = [shingles(t) for t in b.column("text").to_pylist()]
+            signed = lambda values: pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+            own = {
+                "node": signed([xxhash.xxh64_intdigest(g.tobytes()) for g in grams]),
+                "n": pa.array(map(len, grams), pa.int32()),
+                "fp": signed([majority(g) for g in grams]),
+                "bands": pa.array([bands(g) for g in grams], pa.list_(pa.int64())),
+            }
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key")} | own)
 
     d = docs.select(F.col("doc_id").cast("long"), "text_key", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return d.mapInArrow(run, "doc_id long, text_key long, node long, n int, bands array<long>")
+    return d.mapInArrow(run, "doc_id long, text_key long, node long, n int, fp long, bands array<long>")
+
+
+def _within_radius(nodes: DataFrame) -> DataFrame:
+    """a, b: shingle sets whose fingerprints are equal or within the radius; connected wherever all such pairs are."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    same = nodes.join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    of = lambda fp, node: first.select(F.col("fp").alias(fp), F.col("first").alias(node))
+    pairs = links(nodes.select("fp")).withColumnsRenamed({"a": "fa", "b": "fb"}).join(of("fa", "x"), "fa").join(of("fb", "y"), "fb")
+    return same.union(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def _grams(docs: DataFrame) -> DataFrame:
@@ -107,20 +122,23 @@ def roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     importable(docs.sparkSession)
     d = keyed(docs.where("doc_id IS NOT NULL"))
     signed = cut(_signatures(d), "near-signatures")
-    one = signed.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    rows = cut(one.select("node", "n", "at.*", F.posexplode("bands").alias("band", "value")).drop("band"), "near-bands")
+    one = signed.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), *[F.first(c).alias(c) for c in ("n", "fp", "bands")])
+    nodes = cut(one.select("node", "n", "fp", "bands", "at.*"), "near-nodes")
+    rows = nodes.select("node", "n", F.explode("bands").alias("value"))
     # each bucket's leader depends on the bucket, so that bands have different ones
     leader = rows.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("node", "value").alias("h"), "node", "n")).alias("l")).where("members > 1")
-    buckets = cut(rows.join(leader, "value").select("value", "node", "n", "doc_id", "text_key", "members", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n")), "near-buckets")
+    buckets = cut(rows.join(leader, "value").select("value", "node", "n", "members", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n")), "near-buckets")
+    close = cut(_within_radius(nodes), "near-close")
 
     def sized(x: str, y: str):
         return LEAST[1] * F.least(x, y) >= LEAST[0] * F.greatest(x, y)
 
-    at = buckets.select("node", "doc_id", "text_key").distinct()
+    wanted = buckets.select("node").union(close.select("a")).union(close.select("b")).distinct()
+    at = nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "text_key")
     grams = cut(_grams(d.join(at, on_key(d, at)).select("node", "text").dropDuplicates(["node"])), "near-grams")
-    stars = buckets.where("node <> leader").where(sized("n", "leader_n")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = cut(_alike(stars, grams), "near-links")
-    first = contract(links)
+    stars = buckets.where("node <> leader").where(sized("n", "leader_n")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    found = cut(_alike(stars.union(close).distinct(), grams), "near-links")
+    first = contract(found)
     # what the leaders did not settle
     rest = buckets.where("members > 2 AND node <> leader").select("value", "node", "n").join(first, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root"))
     # each bucket's largest component is met by the others, never by itself
@@ -129,7 +147,7 @@ def roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     x, y = (rest.select("value", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root")]) for s in "xy")
     met = x.where("root_x <> main").join(y.drop("main"), "value").where("root_x <> root_y").where(sized("n_x", "n_y"))
     more = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    return signed, contract(links.union(cut(_alike(more, grams), "near-links")))
+    return signed, contract(found.union(cut(_alike(more, grams), "near-links")))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -113,11 +113,14 @@ def measured(text: Column) -> Column:
     return let(words(text), lambda w: let(lines, lambda own: all_of(w, own)))
 
 
+def failures(measures: Column) -> Column:
+    """A bit for each rule that fails, as long."""
+    return reduce(Column.bitwiseOR, [F.when(r.fails(measures), BIT[r.name]).otherwise(0) for r in RULES]).cast("long")
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements, and ``failures`` (long): a bit for each rule that fails."""
-    bits = [F.when(r.fails(F.col("m")), BIT[r.name]).otherwise(0) for r in RULES]
-    failures = reduce(Column.bitwiseOR, bits).cast("long")
-    return docs.select("doc_id", measured(F.col("text")).alias("m")).select("doc_id", "m.*", failures.alias("failures"))
+    return docs.select("doc_id", measured(F.col("text")).alias("m")).select("doc_id", "m.*", failures(F.col("m")).alias("failures"))
 
 
 def apply_policy(found: DataFrame, policy: str) -> DataFrame:
@@ -136,7 +139,7 @@ def ablations(found: DataFrame, policies: tuple[str, ...] = tuple(POLICIES)) ->
 
 
 def keep(docs: DataFrame, policy: str = "prose-1") -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns."""
-    m = fresh(docs, "quality_measured")
-    failing = reduce(Column.__or__, [r.fails(F.col(m)) for r in RULES if r.name in POLICIES[policy]])
-    return docs.withColumn(m, measured(F.col("text"))).where(~failing).drop(m)
+    """The rows of ``docs`` whose failure bits have none of the policy's, with all their columns."""
+    m, bits = fresh(docs, "quality_measured"), fresh(docs, "quality_failures")
+    judged = docs.withColumn(m, measured(F.col("text"))).withColumn(bits, failures(F.col(m)))
+    return judged.where(F.col(bits).bitwiseAND(F.lit(mask(policy))) == 0).drop(m, bits)

@@ -14,8 +14,9 @@ most 65 fingerprints. Links feed star contraction, each round written to the sha
 Equal texts collapse to one fingerprint before any link is sought, so groups of copies cost a group-by.
 
 Defined cases: a null text counts as empty and has fingerprint zero; zero links like any other; repeated
-rows share a fingerprint; a null id is never the smallest of a component unless all are null; other columns are
-ignored by ``components`` and kept by ``dedup``; an empty table gives no rows.
+rows and ties share a fingerprint; a null id is never the smallest of a component unless all are null; very long texts
+are hashed in bounded steps; other columns are ignored by ``components`` and kept by both dedups; an empty table gives
+no rows. ``dedup``, the pipeline's stage, has a wider relation with exact similarity: see ``near_copies``.
 """
 
 from __future__ import annotations
@@ -32,6 +33,15 @@ from .common import cut, fresh, importable
 RADIUS = 2
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit word of the bits that are 1 in over half of ``hashes``, taken in bounded steps."""
+    votes, step = np.zeros(64, dtype=np.int64), 1 << 16
+    for at in range(0, len(hashes), step):
+        part = np.ascontiguousarray(hashes[at : at + step], dtype="<u8")
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, width: int = 3) -> int:
     """Unsigned 64-bit SimHash of UTF-8 ``text``: a bit is 1 if set in over half of the shingles' XXH64."""
     import xxhash
@@ -41,12 +51,8 @@ def fingerprint(text: bytes, width: int = 3) -> int:
         return 0
     if len(w) < width:
         return xxhash.xxh64_intdigest(b" ".join(w), 42)
-    votes, n, digest, step = np.zeros(64, dtype=np.int64), len(w) - width + 1, xxhash.xxh64_intdigest, 1 << 16
-    for at in range(0, n, step):
-        part = w[at : at + step + width - 1]
-        h = np.array([digest(s, 42) for s in map(b" ".join, zip(*[part[i:] for i in range(width)], strict=False))], dtype="<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
+    runs = map(b" ".join, zip(*[w[i:] for i in range(width)], strict=False))
+    return majority(np.fromiter((xxhash.xxh64_intdigest(r, 42) for r in runs), dtype="<u8", count=len(w) - width + 1))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -131,7 +137,14 @@ def components(docs: DataFrame, width: int = 3) -> DataFrame:
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` without documents that are near copies of one with a smaller id; rows without id stay."""
+def dedup_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """``docs`` without documents linked by fingerprints to one with a smaller id; rows without id stay."""
     c = components(docs.where("doc_id IS NOT NULL"), width).where("doc_id <> component_id").select(F.col("doc_id").alias(fresh(docs, "copy_id"))).distinct()
     return docs.join(c, docs["doc_id"] == c[c.columns[0]], "left_anti")
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` without documents that, by links of five-word similarity 0.8 or more, hang together with one of a smaller id."""
+    from . import near_copies
+
+    return near_copies.dedup(docs)

@@ -84,7 +84,7 @@ def test_contract_long_chain(spark):
 
 
 def test_near_dedup_keeps_one(docs):
-    left = simhash_dedup.dedup(docs)
+    left = simhash_dedup.dedup_fingerprints(docs)
     assert left.schema == docs.schema
     c = simhash_dedup.components(docs).collect()
     assert {r.doc_id for r in left.collect()} - {None} == {r.component_id for r in c} - {None}

@@ -8,7 +8,7 @@ from graphloom.llm.common import cut
 from graphloom.llm.quality_rules import SYMBOLS
 
 from .test_decontaminate import brute
-from .test_groups import brute_components, brute_fp
+from .test_near_copies import brute_kept
 from .test_per_document import WORD, brute_lines, brute_quality
 
 
@@ -32,12 +32,8 @@ def plain(docs, items):
     """(doc_id, text) left after the first four stages."""
     docs = [(d, t) for d, t in docs if passes(t)]
     docs = [(r[0], r[4]) for r in brute_lines(docs)]
-    fp = {d: brute_fp(t) for d, t in docs}
-    root = brute_components(set(fp.values()))
-    least = {}
-    for d, _ in docs:
-        least[root[fp[d]]] = min(least.get(root[fp[d]], d), d)
-    docs = [(d, t) for d, t in docs if least[root[fp[d]]] == d]
+    kept = brute_kept(docs)
+    docs = [(d, t) for d, t in docs if d in kept]
     bad = {d for d, _ in brute(docs, items)}
     return [(d, t) for d, t in docs if d not in bad]
 
