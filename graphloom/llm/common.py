@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import cut as cut
+from ..scratch import discard as discard
 from ..scratch import plain_reads as plain_reads
 from ..scratch import scratch as scratch
 

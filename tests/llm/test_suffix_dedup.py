@@ -29,9 +29,9 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("per_task", [2, 100_000])
-def test_dedup(docs, rows, per_task):
-    got = sorted(map(tuple, sd.dedup(docs, per_task).collect()), key=repr)
+@pytest.mark.parametrize("hot", [2, 100_000])
+def test_dedup(docs, rows, hot):
+    got = sorted(map(tuple, sd.dedup(docs, hot).collect()), key=repr)
     assert got == brute([r[:2] for r in rows])
 
 
@@ -52,8 +52,8 @@ def test_spliced_texts(spark, seed):
             parts.append(b[i : i + rnd.randrange(20, 140)])
         rows.append((d * 7 % 61, "".join(parts)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for per_task in (4, 1000):
-        assert sorted(map(tuple, sd.dedup(df, per_task).collect()), key=repr) == brute(rows)
+    for hot in (4, 1000):
+        assert sorted(map(tuple, sd.dedup(df, hot).collect()), key=repr) == brute(rows)
 
 
 @pytest.mark.parametrize("alphabet", [1, 2, 5, 256])
