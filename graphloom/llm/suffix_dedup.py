@@ -40,8 +40,8 @@ SPAN = 50
 GRAM = 32
 REACH = SPAN - GRAM
 #: Anchors of a lot and of a bucket, contexts of a lot and of a bucket, contexts that are sorted together.
-LOT_ANCHORS, BUCKET_ANCHORS = 1_000_000, 3_000_000
-LOT_CONTEXTS, BUCKET_CONTEXTS, BATCH = 200_000, 400_000, 20_000
+LOT_ANCHORS, BUCKET_ANCHORS = 400_000, 1_200_000
+LOT_CONTEXTS, BUCKET_CONTEXTS, BATCH = 150_000, 200_000, 10_000
 #: A gram with as many anchors is dealt out by windows; for huge inputs more, so that there are never over 5 million such grams.
 HOT, HOT_SHARE = 20_000, 5_000_000
 
@@ -255,8 +255,8 @@ def _anchor_lots(rows: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def _shared_anchors(lots_: DataFrame, n_buckets: int, hot: int) -> DataFrame:
-    """doc_id, text_key, at (packed grams and positions): anchors whose gram is in two different texts; or ``hot``, a gram with so many."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("at", pa.binary()), ("hot", pa.int64())])
+    """group (of documents), n, found (packed): anchors whose gram is in two different texts; or ``hot``, a gram with so many."""
+    schema = pa.schema([("group", pa.int64()), ("n", pa.int64()), ("found", pa.binary()), ("hot", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
         parts = [_opened(p, *_ENTRY) for p in table.column("payload").to_pylist()]
@@ -277,22 +277,46 @@ def _shared_anchors(lots_: DataFrame, n_buckets: int, hot: int) -> DataFrame:
             keep[order] = np.repeat(shared, np.diff(first, append=len(every)))
             of = np.flatnonzero(keep[: len(h)])
             h, doc, pos = h[of], doc[of], pos[of]
-        order = np.argsort(doc, kind="stable")
-        h, doc, pos = h[order], doc[order], pos[order]
-        first = _runs(doc)
-        cuts = np.append(first, len(doc)).tolist()
-        at = [_pack(h[a:b], pos[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        found = pa.table({"doc_id": pa.array(ids[doc[first]]), "text_key": pa.array(keys[doc[first]]), "at": pa.array(at, pa.binary()), "hot": pa.nulls(len(at), pa.int64())}, schema=schema)
+        group = (_mix(ids.view(np.uint64), keys.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)[doc]
+        order = np.argsort(group, kind="stable")
+        h, doc, pos, group = h[order], doc[order], pos[order], group[order]
+        first = _runs(group)
+        cuts, found = np.append(first, len(group)).tolist(), []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            used, number = np.unique(doc[a:b], return_inverse=True)
+            found.append(_pack(h[a:b], number.astype("<u4"), pos[a:b], ids[used], keys[used]))
         none = pa.nulls(len(frequent), pa.int64())
-        return pa.concat_tables([found, pa.table({"doc_id": none, "text_key": none, "at": pa.nulls(len(frequent), pa.binary()), "hot": pa.array(frequent.view(np.int64))}, schema=schema)])
+        groups = pa.table({"group": pa.array(group[first]), "n": pa.array(np.diff(cuts), pa.int64()), "found": pa.array(found, pa.binary()), "hot": pa.nulls(len(found), pa.int64())}, schema=schema)
+        return pa.concat_tables([groups, pa.table({"group": none, "n": none, "found": pa.nulls(len(frequent), pa.binary()), "hot": pa.array(frequent.view(np.int64))}, schema=schema)])
+
+    return lots_.groupBy("bucket").applyInArrow(run, "group long, n long, found binary, hot long")
+
+
+def _by_document(shared: DataFrame) -> DataFrame:
+    """doc_id, text_key, at (packed grams and positions)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_opened(p, *_ENTRY[:5]) for p in table.column("found").to_pylist()]
+        base = np.cumsum([0, *[len(p[3]) for p in parts]])
+        doc = np.concatenate([p[1].astype(np.int64) + b for p, b in zip(parts, base, strict=False)])
+        h, pos, ids, keys = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3, 4))
+        ids, keys = ids[doc], keys[doc]
+        order = np.lexsort((pos, keys, ids))
+        h, pos, ids, keys = h[order], pos[order], ids[order], keys[order]
+        new = np.append(True, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))
+        once = new | np.append(True, pos[1:] != pos[:-1])  # repeated rows say the same
+        h, pos, ids, keys, first = h[once], pos[once], ids[once], keys[once], np.flatnonzero(new[once])
+        cuts = np.append(first, len(h)).tolist()
+        at = [_pack(h[a:b], pos[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.table({"doc_id": pa.array(ids[first]), "text_key": pa.array(keys[first]), "at": pa.array(at, pa.binary())})
 
-    return lots_.groupBy("bucket").applyInArrow(run, "doc_id long, text_key long, at binary, hot long")
+    return shared.groupBy("group").applyInArrow(run, "doc_id long, text_key long, at binary")
 
 
 def _context_lots(rows: DataFrame, n_buckets: int, hot: np.ndarray) -> DataFrame:
     """lot, doc_ids, text_keys, places (packed: document's number, start, length, context's number), sent (bucket, payload: contexts).
 
-    ``rows``: doc_id, text_key, text, at (a list)."""
+    ``rows``: doc_id, text_key, text, at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -336,7 +360,7 @@ def _context_lots(rows: DataFrame, n_buckets: int, hot: np.ndarray) -> DataFrame
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column("text")[i].as_py()
-                h, pos = (np.concatenate(x) for x in zip(*[_opened(a, "<u8", "<u4") for a in batch.column("at")[i].as_py()], strict=True))
+                h, pos = _opened(batch.column("at")[i].as_py(), "<u8", "<u4")
                 pos = pos.astype(np.int64)
                 start, end = np.maximum(pos - REACH, 0), np.minimum(pos + SPAN, len(text))
                 some = (end - start >= SPAN) & ~np.isin(h, hot)
@@ -457,10 +481,10 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     n_buckets = max(1, -(-about // BUCKET_ANCHORS))
     shared = cut(_shared_anchors(_anchor_lots(with_id, n_buckets), n_buckets, max(hot, about // HOT_SHARE)), "suffix-anchors")
     frequent = np.array([r.hot for r in shared.where("hot IS NOT NULL").select("hot").distinct().collect()], dtype=np.int64).view(np.uint64)
-    n_shared = shared.agg(F.sum(F.length("at"))).first()[0] or 0
-    own = shared.where("hot IS NULL").groupBy("doc_id", "text_key").agg(F.collect_list("at").alias("at"))
+    n_shared = shared.agg(F.sum("n")).first()[0] or 0
+    own = _by_document(shared.where("hot IS NULL"))
     about_text = with_id.join(copies, ["doc_id", "text_key"], "left_anti").join(own, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "at")
-    placed = cut(_context_lots(about_text, max(1, n_shared // 12 // BUCKET_CONTEXTS), frequent), "suffix-contexts")
+    placed = cut(_context_lots(about_text, max(1, n_shared // BUCKET_CONTEXTS), frequent), "suffix-contexts")
     discard(shared)
     sent = placed.select("lot", F.explode("sent").alias("s")).select("lot", "s.*")
     replies = cut(_decided(sent), "suffix-decided").groupBy("lot").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
