@@ -42,15 +42,15 @@ def scratch(spark: SparkSession, what: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
+def cut(df: DataFrame, what: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, lost executors cost nothing, and
-    the shuffles behind it are deleted."""
+    the shuffles behind it are deleted. ``codec``: Parquet's, where the session's won't do."""
     spark, path = df.sparkSession, scratch(df.sparkSession, what)
     plain_reads(spark)
     was = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     finally:
         if was is None:
             spark.conf.unset(CLEANUP)
