@@ -479,15 +479,15 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     # a text of n bytes has two anchors in each 20 bytes, about
     about = 2 * (with_id.agg(F.sum(F.length("text"))).first()[0] or 0) // (REACH + 2)
     n_buckets = max(1, -(-about // BUCKET_ANCHORS))
-    shared = cut(_shared_anchors(_anchor_lots(with_id, n_buckets), n_buckets, max(hot, about // HOT_SHARE)), "suffix-anchors")
+    shared = cut(_shared_anchors(_anchor_lots(with_id, n_buckets), n_buckets, max(hot, about // HOT_SHARE)), "suffix-anchors", "zstd")
     frequent = np.array([r.hot for r in shared.where("hot IS NOT NULL").select("hot").distinct().collect()], dtype=np.int64).view(np.uint64)
     n_shared = shared.agg(F.sum("n")).first()[0] or 0
     own = _by_document(shared.where("hot IS NULL"))
     about_text = with_id.join(copies, ["doc_id", "text_key"], "left_anti").join(own, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "at")
-    placed = cut(_context_lots(about_text, max(1, n_shared // BUCKET_CONTEXTS), frequent), "suffix-contexts")
+    placed = cut(_context_lots(about_text, max(1, n_shared // BUCKET_CONTEXTS), frequent), "suffix-contexts", "zstd")
     discard(shared)
     sent = placed.select("lot", F.explode("sent").alias("s")).select("lot", "s.*")
-    replies = cut(_decided(sent), "suffix-decided").groupBy("lot").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
+    replies = cut(_decided(sent), "suffix-decided", "zstd").groupBy("lot").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
     spans = _intervals(placed.drop("sent").join(replies, "lot")).groupBy("doc_id", "text_key").agg(F.collect_list("spans").alias("spans"))
     spans = cut(spans, "suffix-spans")
     discard(placed)
