@@ -13,8 +13,9 @@ below ``BROADCAST_SHINGLES`` rows (counted first); beyond, both sides are shuffl
 alone are built. A passage in a third of all documents adds rows in proportion to those documents.
 
 Defined cases: null and empty texts match nothing; items without a word are ignored, items under ``width`` words are
-one shingle; documents shorter than an item are compared whole; repeated rows give one result; null ids are kept;
-other columns are ignored by ``matches`` and kept by ``clean``.
+one shingle; documents shorter than an item are compared whole; repeated rows, of documents or of items, give one result; texts of
+one item_id, or of none, are one item, and its best window counts; null ids are kept; a very long text is cut into words
+in one row, and its windows are rows of their own; other columns are ignored by ``matches`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -93,37 +94,36 @@ def _starts(at: Column, n: Column, size: Column, k: int, similarity: float) -> C
 
 
 def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """doc_id, text_key, item_id, start (word), n_words, distance (bits), similarity: each pair's best window; among equals those that put a shared shingle in place, then the first."""
+    """doc_id, text_key, item_id, start (word), n_words, distance (bits), similarity: each pair's best window, the first among equals."""
     d = keyed(docs)
-    it = items.select("item_id", _tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
-    it = cut(it.select("item_id", "w", F.size("w").alias("size"), F.least(F.size("w"), F.lit(width)).alias("k"), _simhash(F.col("w")).alias("item_fp")), "bench-items")
+    it = items.select("item_id", _tokens(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+    it = cut(it.select(F.monotonically_increasing_id().alias("item"), "item_id", "w", F.size("w").alias("size"), F.least(F.size("w"), F.lit(width)).alias("k"), _simhash(F.col("w")).alias("item_fp")), "bench-items")
 
     tokens = d.select("doc_id", "text_key", _tokens(F.col("text")).alias("w"))
     found = None
     for (k,) in sorted(it.select("k").distinct().collect()):  # at most ``width`` values; one unless there are tiny items
-        own = _shingle_rows(it.where(F.col("k") == k), ["item_id", "size"], k).withColumnRenamed("pos", "q")
+        own = _shingle_rows(it.where(F.col("k") == k), ["item", "size"], k).select("h", "item", "size").distinct()
         if own.count() <= BROADCAST_SHINGLES:
             own = F.broadcast(own)
         rows = _shingle_rows(tokens.withColumn("n", F.size("w")), ["doc_id", "text_key", "n"], k)
-        aligned = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("q"), F.col("n") - F.col("size")))
-        part = rows.join(own, "h").groupBy("doc_id", "text_key", "n", "item_id", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.collect_set(aligned).alias("aligned"))
+        part = rows.join(own, "h").groupBy("doc_id", "text_key", "n", "item", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
         starts = F.explode(_starts(F.col("at"), F.col("n"), F.col("size"), k, similarity))
-        part = part.select("doc_id", "text_key", "item_id", "size", starts.alias("start"), "aligned").withColumn("off", ~F.array_contains("aligned", F.col("start"))).drop("aligned").withColumn("k", F.lit(k))
+        part = part.select("doc_id", "text_key", "item", "size", starts.alias("start"))
         found = part if found is None else found.union(part)
     if found is None:
-        found = tokens.select("doc_id", "text_key", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.size("w").alias("size"), F.lit(0).alias("start"), F.lit(False).alias("off"), F.lit(0).alias("k")).limit(0)
+        found = tokens.select("doc_id", "text_key", F.lit(0).cast("long").alias("item"), F.size("w").alias("size"), F.lit(0).alias("start")).limit(0)
     hits = cut(found.distinct(), "bench-hits")
 
-    at = hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item_id", "size", "start", "off")).alias("at"))
+    at = hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item", "size", "start")).alias("at"))
     windows = d.join(at, on_key(d, at)).select(d["doc_id"], d["text_key"], _tokens(d["text"]).alias("w"), at["at"])
     windows = windows.select("doc_id", "text_key", "w", F.explode("at").alias("a")).select("doc_id", "text_key", "a.*", F.slice("w", F.col("a.start") + 1, F.col("a.size")).alias("w"))
     windows = cut(windows.withColumn("fp", _simhash(F.col("w"))), "bench-windows")
 
-    pairs = windows.select("doc_id", "text_key", "item_id", "start", "off", "w", "fp")
-    both = pairs.join(it.select("item_id", F.col("w").alias("own"), "k", "item_fp"), "item_id").withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
+    pairs = windows.select("doc_id", "text_key", "item", "start", "w", "fp")
+    both = pairs.join(it.select("item", "item_id", F.col("w").alias("own"), "k", "item_fp"), "item").withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
     value = let(_shingles(F.col("w"), F.col("k")), lambda a: let(_shingles(F.col("own"), F.col("k")), lambda b: _similarity(a, b)))
-    judged = both.select("doc_id", "text_key", "item_id", "start", "off", F.size("w").alias("n_words"), "distance", value.alias("similarity")).where(F.col("similarity") >= similarity)
-    best = judged.groupBy("doc_id", "text_key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "off", "start", "n_words", "distance")).alias("best"))
+    judged = both.select("doc_id", "text_key", "item_id", "start", F.size("w").alias("n_words"), "distance", value.alias("similarity")).where(F.col("similarity") >= similarity)
+    best = judged.groupBy("doc_id", "text_key", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words", "distance")).alias("best"))
     return best.select("doc_id", "text_key", "item_id", F.col("best.start").cast("long").alias("start"), F.col("best.n_words").cast("long").alias("n_words"), F.col("best.distance").cast("long").alias("distance"), (-F.col("best.s")).alias("similarity"))
 
 

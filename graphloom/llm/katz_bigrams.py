@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut, importable
 from .katz_lm import K, discounts, good_turing, held_out
 
-CHUNK_BYTES = 16_000_000
-BUCKET_TOKENS = 4_000_000
+CHUNK_BYTES = 12_000_000
+BUCKET_TOKENS = 3_000_000
 HOT = 2_000
 START, END = 0, 1
 
@@ -135,8 +135,7 @@ def _sent(chunks: DataFrame, n_buckets: int, hot: float) -> DataFrame:
                         continue
                     new = np.flatnonzero(np.diff(h[of], prepend=-1))
                     runs = np.diff(np.append(new, len(of))).astype("<u4")
-                    words = (hashes[w[of]] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits tell words apart after one history
-                    fields = [hashes[h[of][new]].astype("<u8").tobytes(), _packed(runs), words.tobytes(), _packed(n[of]), _packed(counts[w[of]].astype("<i8"))]
+                    fields = [hashes[h[of][new]].astype("<u8").tobytes(), _packed(runs), hashes[w[of]].astype("<u8").tobytes(), _packed(n[of]), _packed(counts[w[of]].astype("<i8"))]
                     head = np.array([len(f) for f in fields], dtype="<u8").tobytes()
                     yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int32()), "chunk": batch.column("chunk").slice(i, 1), "payload": pa.array([head + b"".join(fields)], pa.binary())})
 
@@ -144,14 +143,12 @@ def _sent(chunks: DataFrame, n_buckets: int, hot: float) -> DataFrame:
 
 
 def _opened(payload: bytes) -> tuple[np.ndarray, ...]:
-    """History hashes, word hashes (48 bits), training counts, unigram counts, one for each bigram."""
+    """History hashes, word hashes, training counts, unigram counts, one for each bigram."""
     sizes = np.frombuffer(payload, "<u8", 5).astype(np.int64)
     at = np.concatenate([[40], 40 + np.cumsum(sizes)])
     f = [payload[a:b] for a, b in zip(at, at[1:], strict=False)]
     h = np.repeat(np.frombuffer(f[0], "<u8"), _unpacked(f[1], "<u4"))
-    w = np.zeros((len(f[2]) // 6, 8), dtype=np.uint8)
-    w[:, :6] = np.frombuffer(f[2], np.uint8).reshape(-1, 6)
-    return h, w.view("<u8").reshape(-1), _unpacked(f[3], "<u4").astype(np.int64), _unpacked(f[4], "<i8")
+    return h, np.frombuffer(f[2], "<u8"), _unpacked(f[3], "<u4").astype(np.int64), _unpacked(f[4], "<i8")
 
 
 def discounted(c: np.ndarray, d: dict[int, float]) -> np.ndarray:

@@ -42,7 +42,10 @@ i AS (
 ),
 s AS (SELECT item_id, size, k, q, array_to_string(w[q + 1:q + k], ' ') AS s FROM (SELECT *, unnest(range(0, size - k + 1)) AS q FROM i)),
 t AS (SELECT doc_id, n, k, p, array_to_string(w[p + 1:p + k], ' ') AS s FROM (SELECT *, unnest(range(0, n - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM i))),
-a AS (SELECT DISTINCT doc_id, item_id, k, least(size, n) AS n_words, greatest(0, least(p - q, n - size)) AS start FROM t JOIN s USING (k, s)),
+a AS (
+  SELECT DISTINCT doc_id, item_id, k, n_words, unnest(range(greatest(0, p - n_words + k), least(p, n - n_words) + 1)) AS start
+  FROM (SELECT DISTINCT doc_id, item_id, k, n, p, least(size, n) AS n_words FROM t JOIN s USING (k, s))
+),
 v AS (
   SELECT doc_id, item_id, start, n_words, x AS s, count(*) AS c
   FROM (SELECT a.*, t.s AS x FROM a JOIN t ON t.doc_id = a.doc_id AND t.k = a.k AND t.p BETWEEN a.start AND a.start + a.n_words - a.k) GROUP BY ALL

@@ -39,6 +39,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 FORGE = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 REGISTRY = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+")
+JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
 PRIVATE_KEY = re.compile(r"-----BEGIN ((?:RSA |EC |DSA )?PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -111,10 +112,14 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     hits = sorted(((end + 1 - n, probe) for end, (n, probe) in _automaton().iter(low)), key=lambda h: h[0]) if low else []
     spans, over = [], dict.fromkeys(KINDS, 0)
     for start, (kind, pattern, good) in hits:
-        if start >= over[kind] and (m := pattern.match(text, start)):
+        if start < over[kind]:
+            continue
+        if m := pattern.match(text, start):
             over[kind] = m.end()
             if good(m):
                 spans.append((start, m.end(), kind))
+        elif kind == "jwt":  # what follows the run of letters decides, for all starts in it alike
+            over[kind] = JWT_RUN.match(text, start).end()
     spans += [(*m.span(), "hex") for m in HEX.finditer(text)]
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 

@@ -133,3 +133,14 @@ def test_matches_beyond_sixteen_bits(spark):
             items.append((len(items), " ".join(item)))
     got, want = found_and_wanted(spark, docs, items)
     assert got == want and set(want) == {(k, k) for k in range(3)}
+
+
+def test_items_that_share_an_id_or_have_none(spark):
+    a, b, c = (passage(k, 50) for k in (901, 902, 903))
+    docs = [(1, a), (2, b), (3, c), (4, "a " * 300), (None, a)]
+    items = [(7, a), (7, b), (7, b), (None, c), (8, "a " * 40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted([(r.doc_id, r.item_id, r.start, r.similarity) for r in dc.matches(df, it).collect()], key=repr)
+    assert got == sorted([(1, 7, 0, 1.0), (2, 7, 0, 1.0), (3, None, 0, 1.0), (4, 8, 0, 1.0), (None, 7, 0, 1.0)], key=repr)
+    assert dc.clean(df, it).count() == 0

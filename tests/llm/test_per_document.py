@@ -112,3 +112,16 @@ def test_scan_table(docs, rows, empty):
     assert [g[:5] for g in got] == sorted(want, key=repr)
     assert any("[assign]" in g[6] for g in got)
     assert secret_scan.scan_table(empty).count() == quality_rules.ledger(empty).count() == line_dedup.line_dedup(empty).count() == 0
+
+
+def test_token_runs_take_linear_time():
+    import time
+
+    from graphloom.llm import secret_scan
+
+    began = time.process_time()
+    assert secret_scan.scan("eyJ" * 700_000) == [] and secret_scan.scan("token" * 500_000) == []
+    assert time.process_time() - began < 20
+    head = "eyJhbGciOiJIUzI1NiJ9"
+    found = secret_scan.scan(f"eyJeyJ{head} {head}.eyJhIjoxfQ.c2ln")
+    assert [k for _, _, k in found] == ["jwt"] and found[0][0] == len(head) + 7
