@@ -27,6 +27,8 @@ from .common import cut, fresh, keyed, let, lower_ascii, on_key, words
 
 #: About 40 bytes each: 40 MB on an executor at most.
 BROADCAST_SHINGLES = 1_000_000
+#: Documents, by id and hash: 24 bytes each.
+BROADCAST_KEYS = 1_000_000
 
 
 def _tokens(text: Column) -> Column:
@@ -93,6 +95,11 @@ def _starts(at: Column, n: Column, size: Column, k: int, similarity: float) -> C
     return F.flatten(F.transform(first, run))
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """``keys`` (an id and a hash) to be broadcast, if there are ``BROADCAST_KEYS`` at most."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """doc_id, text_key, item_id, start (word), n_words, distance (bits), similarity: each pair's best window, the first among equals."""
     d = keyed(docs)
@@ -114,6 +121,9 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: i
         found = tokens.select("doc_id", "text_key", F.lit(0).cast("long").alias("item"), F.size("w").alias("size"), F.lit(0).alias("start")).limit(0)
     hits = cut(found.distinct(), "bench-hits")
 
+    # texts without a hit are not shuffled
+    hit = _few(hits.select("doc_id", "text_key").distinct())
+    d = d.join(hit, on_key(d, hit), "left_semi")
     at = hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item", "size", "start")).alias("at"))
     windows = d.join(at, on_key(d, at)).select(d["doc_id"], d["text_key"], _tokens(d["text"]).alias("w"), at["at"])
     windows = windows.select("doc_id", "text_key", "w", F.explode("at").alias("a")).select("doc_id", "text_key", "a.*", F.slice("w", F.col("a.start") + 1, F.col("a.size")).alias("w"))
@@ -129,7 +139,7 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: i
 
 def clean(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
-    m = matches(docs, items, similarity, width).select("doc_id", "text_key").distinct()
+    m = _few(cut(matches(docs, items, similarity, width).select("doc_id", "text_key").distinct(), "bench-found"))
     key = fresh(docs, "text_key")
     d = docs.withColumn(key, F.xxhash64("text"))
     return d.join(m, d["doc_id"].eqNullSafe(m["doc_id"]) & (d[key] == m["text_key"]), "left_anti").select(*docs.columns)
