@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 42, starts: int = 10) -> DataFrame:
     """``vectors`` with ``cluster``: the cheapest of ``starts`` seeded runs; k is at most the number of rows."""
@@ -129,11 +134,56 @@ def density(vectors: DataFrame, group: str, key: str, min_cluster_size: int = 5)
     return vectors.select(group, key, "embedding").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster int")
 
 
+#: Vectors of a block: two blocks' distances are a matrix of 8 MB.
+BLOCK = 1000
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """block, own (the rows' clusters as numbers), x (their vectors, packed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 24
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                x = np.array(part.column("x").to_pylist(), dtype="<f8")
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "own": pa.array([part.column("c").to_pylist()], pa.list_(pa.int32())), "x": pa.array([x.tobytes()], pa.binary())})
+                block += 1
+
+    return rows.mapInArrow(run, "block long, own array<int>, x binary")
+
+
 def silhouette(vectors: DataFrame, cluster: str = "cluster") -> float:
-    """Mean silhouette by squared euclidean distance to cluster moments; no pairs are formed. 0 for fewer than two clusters."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
+    """Mean silhouette by euclidean distance; 0 for fewer than two clusters. Rows without cluster or vector don't count.
 
-    if vectors.select(cluster).distinct().limit(2).count() < 2:
+    Exact: each block of rows meets each other block, and only sums by row and cluster leave a pair of blocks. The work
+    grows with the square of the rows, memory doesn't."""
+    rows = vectors.where(F.col(cluster).isNotNull() & F.col("embedding").isNotNull())
+    sizes = rows.groupBy(cluster).count().orderBy(cluster).collect()  # as many as clusters
+    if len(sizes) < 2:
         return 0.0
-    v = vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    return ClusteringEvaluator(predictionCol=cluster).evaluate(v.withColumn(cluster, F.col(cluster).cast("double")))
+    names = rows.sparkSession.createDataFrame([(r[0], i, r[1]) for i, r in enumerate(sizes)], rows.select(F.col(cluster).alias("name")).schema.add("c", "integer").add("n", "long"))
+    numbered = rows.join(F.broadcast(names), F.col(cluster) == F.col("name")).select("c", F.col("embedding").cast("array<double>").alias("x"))
+    blocks = cut(_blocks(numbered), "silhouette-blocks")
+    ids = [r.block for r in blocks.select("block").collect()]
+    k = len(sizes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                own, other = np.array(r["own"]), np.array(r["other"])
+                x, y = (np.frombuffer(r[c], "<f8").reshape(len(o), -1) for c, o in (("x", own), ("y", other)))
+                far = np.sqrt(sum((x[:, i, None] - y[None, :, i]) ** 2 for i in range(x.shape[1])))
+                sums = np.stack([far[:, other == c].sum(axis=1) for c in range(k)], axis=1).reshape(-1)
+                row, c = np.divmod(np.arange(len(sums)), k)
+                yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"]] * len(sums), pa.int64()), "row": pa.array(row, pa.int32()), "own": pa.array(own[row], pa.int32()), "c": pa.array(c, pa.int32()), "s": pa.array(sums)})
+
+    meets = blocks.withColumn("to", F.explode(F.array(*map(F.lit, ids)))).join(blocks.select(F.col("block").alias("to"), F.col("own").alias("other"), F.col("x").alias("y")), "to")
+    sums = meets.select("block", "own", "x", "other", "y").mapInArrow(run, "block long, row int, own int, c int, s double").groupBy("block", "row", "own", "c").agg(F.sum("s").alias("s"))
+    sums = sums.join(F.broadcast(names.select("c", "n")), "c")
+    mine = F.max(F.when(F.col("own") == F.col("c"), F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1))))
+    near = F.min(F.when(F.col("own") != F.col("c"), F.col("s") / F.col("n")))
+    each = sums.groupBy("block", "row").agg(mine.alias("a"), near.alias("b"))
+    return each.agg(F.avg(F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))).first()[0]

@@ -9,10 +9,15 @@ from ..functions.constants import FUSION
 from ..functions.scalars import combined, cosine, criticality, frequency_score, token_efficiency
 
 
-def cosine_topk(vectors: DataFrame, query: list[float], k: int, threshold: float = 0.7) -> DataFrame:
-    """``vectors`` (with ``embedding``) and ``score``: the k best of at least ``threshold``. The query vector is a literal."""
+def cosine_scored(vectors: DataFrame, query: list[float], threshold: float = 0.7) -> DataFrame:
+    """``vectors`` (with ``embedding``) and ``score``, of at least ``threshold``. The query vector is a literal."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.withColumn("score", cosine(F.col("embedding"), q)).where(F.col("score") >= threshold).orderBy(F.desc("score")).limit(k)
+    return vectors.withColumn("score", cosine(F.col("embedding"), q)).where(F.col("score") >= threshold)
+
+
+def cosine_topk(vectors: DataFrame, query: list[float], k: int, threshold: float = 0.7) -> DataFrame:
+    """The k best of ``cosine_scored``."""
+    return cosine_scored(vectors, query, threshold).orderBy(F.desc("score")).limit(k)
 
 
 def fuse(graph: DataFrame, semantic: DataFrame) -> DataFrame:

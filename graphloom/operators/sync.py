@@ -103,8 +103,9 @@ def sync_vectors(chunks: DataFrame, changed_paths: DataFrame, new_chunks: DataFr
 
 
 def write_snapshot(nodes: DataFrame, edges: DataFrame, root: str, repo_id: str, sha: str) -> None:
-    """Parts first, the header last: a snapshot without header doesn't exist, and writing it again replaces it."""
+    """Parts first, the header last: a snapshot without header doesn't exist. Writing it again deletes the old one first."""
     spark, at = nodes.sparkSession, f"repo_id={repo_id}/sha={sha}"
+    delete_snapshot(spark, root, repo_id, sha)
     nodes.write.mode("overwrite").parquet(f"{root}/nodes/{at}")
     edges.write.mode("overwrite").parquet(f"{root}/edges/{at}")
     spark.createDataFrame([(nodes.count(), edges.count())], "n_nodes long, n_edges long").coalesce(1).write.mode("overwrite").parquet(f"{root}/headers/{at}")
@@ -115,6 +116,16 @@ def list_snapshots(spark: SparkSession, root: str, repo_id: str | None = None) -
     return h.where(F.col("repo_id") == repo_id) if repo_id else h
 
 
+def delete_snapshot(spark: SparkSession, root: str, repo_id: str, sha: str) -> bool:
+    """Whether there was one. The header goes first: from then on the snapshot doesn't exist."""
+    found = False
+    for part in ("headers", "nodes", "edges"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{part}/repo_id={repo_id}/sha={sha}")
+        gone = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        found |= gone and part == "headers"
+    return found
+
+
 def read_snapshot(spark: SparkSession, root: str, repo_id: str, sha: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges; partition filters prune to the one snapshot."""
     own = (F.col("repo_id") == repo_id) & (F.col("sha") == sha)

@@ -18,21 +18,34 @@ def arcs(edges: DataFrame, direction: str = "outgoing", types: list[str] | None
         raise ValueError(f"direction is one of {DIRECTIONS}")
     e = edges.where(F.col("type").isin(types)) if types else edges
     out, back = e.select(F.col("source").alias("a"), F.col("target").alias("b")), e.select(F.col("target").alias("a"), F.col("source").alias("b"))
-    return {"outgoing": out, "incoming": back, "both": out.union(back)}[direction].distinct()
+    return {"outgoing": out, "incoming": back, "both": out.union(back)}[direction]
 
 
-def reach(steps: DataFrame, start: DataFrame, max_depth: int | None = None, most: int = 10_000) -> DataFrame:
-    """id, depth: the least number of steps (a, b) from any ``start`` (id); up to ``max_depth``, or until nothing is new."""
+#: Ids of a frontier, or of what a walk has seen, that are broadcast: some MB.
+BROADCAST_IDS = 100_000
+
+
+def _few(ids: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(ids) if n <= BROADCAST_IDS else ids
+
+
+def reach(steps: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """id, depth: the least number of steps (a, b) from any ``start`` (id); up to ``max_depth``, or until nothing is new.
+
+    Steps may repeat: each round is made distinct anyway, so all steps need not be. A small frontier meets them by a
+    broadcast, and the steps are not shuffled at all."""
     steps = cut(steps.select("a", "b"), "steps")  # worked out once, not in each round
     seen = cut(start.select("id").distinct().withColumn("depth", F.lit(0)), "reach")
-    frontier, depth = seen, 0
-    while depth < (most if max_depth is None else max_depth):
+    frontier, depth, n = seen, 0, seen.count()
+    n_seen = n
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
-        new = frontier.select(F.col("id").alias("a")).join(steps, "a").select(F.col("b").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth))
-        frontier = cut(new, "reach")
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
+        met = steps.join(_few(frontier.select(F.col("id").alias("a")), n), "a").select(F.col("b").alias("id")).distinct()
+        frontier = cut(met.join(_few(seen.select("id"), n_seen), "id", "left_anti").withColumn("depth", F.lit(depth)), "reach")
+        n = frontier.count()
+        n_seen += n
+        if n:
+            seen = seen.union(frontier)
     return seen
 
 
@@ -43,9 +56,10 @@ def khop(edges: DataFrame, start: str, max_depth: int, direction: str = "outgoin
     s = edges.sparkSession.createDataFrame([(start,)], "id string")
     found = reach(arcs(edges, direction, types), s, max_depth)
     expanded = found.where(F.col("depth") < max_depth).select("id")
-    e = (edges.where(F.col("type").isin(types)) if types else edges).select("source", "target", "type").distinct()
-    out, back = e.join(expanded.withColumnRenamed("id", "source"), "source", "left_semi"), e.join(expanded.withColumnRenamed("id", "target"), "target", "left_semi")
-    return found, {"outgoing": out, "incoming": back, "both": out.unionByName(back).distinct()}[direction]
+    n = expanded.count()
+    e = (edges.where(F.col("type").isin(types)) if types else edges).select("source", "target", "type")
+    out, back = (e.join(_few(expanded.withColumnRenamed("id", end), n), end, "left_semi") for end in ("source", "target"))
+    return found, {"outgoing": out, "incoming": back, "both": out.unionByName(back)}[direction].distinct()
 
 
 def decayed(found: DataFrame, rate: float = DECAY) -> DataFrame:
@@ -64,35 +78,35 @@ def path_lengths(edges: DataFrame, start: str, max_depth: int, types: list[str]
     return out
 
 
-def weighted(edges: DataFrame, start: str, threshold: float = WEIGHT_THRESHOLD, weights: dict[str, float] | None = None, most: int = 1000) -> DataFrame:
-    """id, weight: the greatest product of edge weights on a path from ``start``, while at least ``threshold``."""
+def weighted(edges: DataFrame, start: str, threshold: float = WEIGHT_THRESHOLD, weights: dict[str, float] | None = None) -> DataFrame:
+    """id, weight: the greatest product of edge weights (1 at most) on a path from ``start``, while at least ``threshold``."""
     w = F.create_map(*[F.lit(x) for kv in (weights or EDGE_WEIGHTS).items() for x in kv])
-    steps = edges.select(F.col("source").alias("id"), F.col("target").alias("b"), w[F.col("type")].alias("w")).where("w IS NOT NULL").groupBy("id", "b").agg(F.max("w").alias("w"))
+    steps = edges.select(F.col("source").alias("id"), F.col("target").alias("b"), w[F.col("type")].alias("w")).where("w IS NOT NULL")
     steps = cut(steps, "steps")
     best = cut(edges.sparkSession.createDataFrame([(start, 1.0)], "id string, weight double"), "weighted")
-    frontier = best
-    for _ in range(most):
-        new = frontier.join(steps, "id").groupBy(F.col("b").alias("id")).agg(F.max(F.col("weight") * F.col("w")).alias("weight")).where(F.col("weight") >= threshold)
+    frontier, n = best, 1
+    while n:
+        new = steps.join(_few(frontier, n), "id").groupBy(F.col("b").alias("id")).agg(F.max(F.col("weight") * F.col("w")).alias("weight")).where(F.col("weight") >= threshold)
         old = best.withColumnRenamed("weight", "old")
         frontier = cut(new.join(old, "id", "left").where("old IS NULL OR weight > old + 1e-12").select("id", "weight"), "weighted")
-        if frontier.isEmpty():
-            break
+        n = frontier.count()
         best = cut(best.union(frontier).groupBy("id").agg(F.max("weight").alias("weight")), "weighted")
     return best
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 10_000) -> list[str] | None:
+def shortest_path(edges: DataFrame, source: str, target: str) -> list[str] | None:
     """Nodes of a shortest undirected path, the smallest parent at each step; None if there is none."""
     spark = edges.sparkSession
     if source == target:
         return [source]
     steps = cut(arcs(edges, "both"), "steps")
     seen = cut(spark.createDataFrame([(source, None)], "id string, parent string"), "path")
-    frontier, levels = seen, [seen]
-    for _ in range(most):
-        new = frontier.select(F.col("id").alias("a")).join(steps, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent")).join(seen.select("id"), "id", "left_anti")
+    frontier, levels, n = seen, [seen], 1
+    while True:
+        new = steps.join(_few(frontier.select(F.col("id").alias("a")), n), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent")).join(seen.select("id"), "id", "left_anti")
         frontier = cut(new, "path")
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             return None
         levels.append(frontier)
         if not frontier.where(F.col("id") == target).isEmpty():

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.constants import FUSION, PLANS, PRESETS
-from ..operators import diff
+from ..operators import diff, extract
 from ..operators.impact import tests_of
 from ..operators.lookup import both_ends, first_nodes
 from ..sources.graph import G, edges, nodes
@@ -84,12 +84,22 @@ def _(spark, d):
     return f.join(r, "name").where("path <> user_path").select("path", "user_path").distinct()
 
 
-@query("import_resolution", f"WITH {FILES}, refs AS (SELECT doc_id, 'src/src' || (doc_id % 5) AS dir, 'f' || (doc_id * 3 % 200) AS mod FROM documents), c AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS k, unnest([dir || '/' || mod || '.py', dir || '/' || mod || '/__init__.py', mod || '.py', 'src/src0/' || mod || '.py']) AS path FROM refs) SELECT doc_id, arg_min(path, k) AS resolved FROM c WHERE path IN (SELECT path FROM files) GROUP BY doc_id")
-def _(spark, d):
-    f = files(spark, d).select("path").distinct()
-    refs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "concat('src/src', doc_id % 5) AS dir", "concat('f', doc_id * 3 % 200) AS mod")
-    c = refs.select("doc_id", F.posexplode(F.array(F.expr("concat(dir, '/', mod, '.py')"), F.expr("concat(dir, '/', mod, '/__init__.py')"), F.expr("concat(mod, '.py')"), F.expr("concat('src/src0/', mod, '.py')"))).alias("k", "path"))
-    return c.join(f, "path", "left_semi").groupBy("doc_id").agg(F.min_by("path", "k").alias("resolved"))
+@query(
+    "import_resolution",
+    f"""WITH {FILES},
+refs AS (SELECT a.path, a.doc_id AS line, a.doc_id % 2 AS level, regexp_replace(a.path, '/[^/]*$', '') AS here,
+  CASE WHEN a.doc_id % 2 = 0 THEN regexp_replace(b.path, '[.][a-z]+$', '') ELSE regexp_extract(b.path, '([^/]+)[.][a-z]+$', 1) END AS mod
+  FROM files a JOIN files b ON b.doc_id BETWEEN a.doc_id + 1 AND a.doc_id + 20),
+c AS (SELECT path, line, replace(mod, '/', '.') AS ref, unnest([0, 1, 2, 3]) AS k, unnest([here || '/' || mod || '.py', here || '/' || mod || '/__init__.py',
+  CASE WHEN level > 0 THEN here || '/' ELSE '' END || mod || '.py', CASE WHEN level > 0 THEN here || '/' ELSE '' END || mod || '/__init__.py']) AS target FROM refs)
+SELECT path, ref, line::INT AS line, arg_min(target, k) AS target FROM c WHERE target IN (SELECT path FROM files) GROUP BY path, ref, line""",
+)
+def _(spark, d):
+    f = files(spark, d).select("doc_id", "path")
+    near = f.select("doc_id", "path", F.explode(F.sequence(F.col("doc_id") + 1, F.col("doc_id") + 20)).alias("other"))
+    refs = near.join(f.select(F.col("doc_id").alias("other"), F.col("path").alias("to")), "other")
+    mod = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace(F.regexp_replace("to", "[.][a-z]+$", ""), "/", ".")).otherwise(F.regexp_extract("to", "([^/]+)[.][a-z]+$", 1))
+    return extract.resolve_imports(refs.select("path", mod.alias("ref"), F.col("doc_id").cast("int").alias("start_line"), (F.col("doc_id") % 2).alias("value")), f)
 
 
 @query("registry_lookup", f"WITH {G}, reg AS (SELECT 'n:' || n_nationkey AS repo, n_name AS service FROM nation WHERE n_nationkey % 2 = 0) SELECT e.source, coalesce(a.service, e.target) AS service FROM edges e LEFT JOIN reg a ON e.target = a.repo WHERE e.type = 'IMPORTS'")

@@ -35,7 +35,7 @@ def _(spark, d):
 def _(spark, d):
     v = _t(spark, d, "embeddings")
     q = v.where("vec_id = 0").first().embedding
-    s = ranking.cosine_topk(v, q, 2_000_000_000, 0.2).selectExpr("vec_id AS fqn", "score AS s")
+    s = ranking.cosine_scored(v, q, 0.2).selectExpr("vec_id AS fqn", "score AS s")
     return ranking.fuse(v.where("label < 3").selectExpr("vec_id AS fqn", "1.0D AS g"), s).select("fqn", F.round("score", 4).alias("score"))
 
 
@@ -144,7 +144,7 @@ def _(spark, d):
 
 @query("kmeans_clusters")
 def _(spark, d):
-    return clustering.kmeans(_t(spark, d, "embeddings"), 8, starts=2).groupBy("cluster").agg(F.count("*").alias("n"))
+    return clustering.kmeans(_t(spark, d, "embeddings"), 8).select("vec_id", "cluster")
 
 
 @query("density_clusters")
@@ -153,6 +153,12 @@ def _(spark, d):
     return clustering.density(v, "repo", "vec_id")
 
 
-@query("silhouette")
+@query(
+    "silhouette",
+    """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.v, b.v)) AS s, count(*) AS n FROM e a, e b GROUP BY ALL),
+x AS (SELECT vec_id, max(CASE WHEN own = other AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM d GROUP BY vec_id)
+SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6)::DOUBLE AS silhouette FROM x""",
+)
 def _(spark, d):
-    return spark.createDataFrame([(clustering.silhouette(_t(spark, d, "embeddings"), "label"),)], "silhouette double")
+    return spark.createDataFrame([(round(clustering.silhouette(_t(spark, d, "embeddings"), "label"), 6),)], "silhouette double")

@@ -69,7 +69,7 @@ def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, exte
 
 def is_binary(content: Column) -> Column:
     """A NUL byte in the first 8 KiB."""
-    return F.instr(F.hex(F.substring(content, 1, 8192)), "00") % 2 == 1
+    return F.contains(F.substring(content, 1, 8192), F.lit(b"\x00"))
 
 
 def text_of(content: Column) -> Column:

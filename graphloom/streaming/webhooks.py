@@ -54,6 +54,11 @@ class Processor:
         return add
 
     def batch(self, df: DataFrame, batch_id: int) -> None:
+        """Each write has a folder of its own by batch and step, so a batch that runs again replaces what it wrote."""
+
+        def put(rows: DataFrame, root: str, step: str) -> None:
+            rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}/step={step}")
+
         df = df.persist()
         for event, f in self.handlers.items():
             rows = df.where(F.col("event") == event)
@@ -61,14 +66,14 @@ class Processor:
                 if rows.isEmpty():
                     break
                 out = f(rows).persist()
-                out.where("ok").withColumns({"batch": F.lit(batch_id), "attempt": F.lit(attempt)}).write.mode("append").parquet(self.done)
+                put(out.where("ok").withColumn("attempt", F.lit(attempt)), self.done, f"{event}-{attempt}")
                 failed = out.where("NOT ok")
                 if attempt == self.retries:
-                    failed.select("delivery_id", "detail", F.lit(batch_id).alias("batch")).write.mode("append").parquet(self.dead)
+                    put(failed.select("delivery_id", "detail"), self.dead, event)
                 rows = rows.join(failed.select("delivery_id"), "delivery_id", "left_semi")
         unknown = df.where(~F.col("event").isin(*self.handlers))
         if not unknown.isEmpty():
-            unknown.select("delivery_id", F.concat(F.lit("unknown event "), "event").alias("detail"), F.lit(batch_id).alias("batch")).write.mode("append").parquet(self.dead)
+            put(unknown.select("delivery_id", F.concat(F.lit("unknown event "), "event").alias("detail")), self.dead, "unknown")
         df.unpersist()
 
     def start(self, stream: DataFrame, checkpoint: str):

@@ -156,3 +156,33 @@ def test_kmeans_and_silhouette(spark):
     c = clustering.kmeans(v, 2, starts=2)
     assert {frozenset(r.id % 2 for r in c.where(f"cluster = {k}").collect()) for k in (0, 1)} == {frozenset([0]), frozenset([1])}
     assert clustering.silhouette(c) > 0.9 and clustering.silhouette(v.withColumn("cluster", F.lit(0))) == 0.0
+
+
+def test_silhouette_is_euclidean(spark):
+    rnd = np.random.default_rng(2)
+    x, c = rnd.normal(size=(60, 3)), rnd.integers(0, 3, 60)
+    x[:5] = x[0]
+    c[59] = 7  # alone in its cluster: counts as 0
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    each = []
+    for i in range(60):
+        own = (c == c[i]) & (np.arange(60) != i)
+        a, b = d[i, own].mean() if own.any() else None, min(d[i, c == k].mean() for k in set(c.tolist()) - {c[i]})
+        each.append(0.0 if a is None else (b - a) / max(a, b))
+    v = spark.createDataFrame([(x[i].tolist(), int(c[i])) for i in range(60)], "embedding array<double>, cluster int")
+    assert abs(clustering.silhouette(v) - np.mean(each)) < 1e-7
+
+
+def test_walks_end_without_a_bound(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "CALLS", i) for i in range(12)] + [("n12", "n0", "CALLS", 12)], "source string, target string, type string, ord long")
+    assert traverse.reach(traverse.arcs(chain), spark.createDataFrame([("n0",)], "id string")).count() == 13
+    assert len(traverse.shortest_path(chain, "n0", "n6")) == 7
+
+
+def test_deleted_snapshots_are_gone(spark, tmp_path):
+    n, root = spark.range(3), str(tmp_path)
+    for sha in ("a", "b"):
+        sync.write_snapshot(n, n, root, "r", sha)
+    assert sync.delete_snapshot(spark, root, "r", "a") and not sync.delete_snapshot(spark, root, "r", "a")
+    assert [x.sha for x in sync.list_snapshots(spark, root).collect()] == ["b"]
+    assert sync.read_snapshot(spark, root, "r", "b")[0].count() == 3

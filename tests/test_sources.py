@@ -85,3 +85,9 @@ def test_service_patterns(spark):
     ts = ['import x from "@pay/client"', 'axios.get("http://gateway.example.com/a")', 'import y from "./local"']
     df = spark.createDataFrame([("a.ts", i, t) for i, t in enumerate(ts)], "path string, line int, text string")
     assert sorted(r.service for r in services.scan(df, "ts", F.lit("me")).collect()) == ["gateway", "pay"]
+
+
+def test_a_nul_byte_anywhere_is_binary(spark):
+    rows = [(b"P\nabc\x00def",), (b"\x50\x0a\x0b\x00",), (b"\x10\x01P\x00",), (b"plain P\x10\x0a text",), (b"\x00",), (b"",)]
+    df = spark.createDataFrame(rows, "content binary")
+    assert [r[0] for r in df.select(files.is_binary(F.col("content"))).collect()] == [True, True, True, False, True, False]
