@@ -9,9 +9,11 @@ such pairs (19) would take a million masks, so SimHash alone can't give this rel
 MinHash, ``BANDS`` bands of ``ROWS`` minima of the same shingle hashes. Two texts at similarity s share no band with
 probability (1 - s^5)^32: 3e-6 at 0.8, less above.
 
-A bucket (band, minima) is first compared with one leader, its own in each band. Of the pairs that remain, only those
-whose texts are still in different components are formed, so a large group of near copies costs a few comparisons a text;
-a bucket of texts that are not near copies of each other costs its pairs. No bucket is capped.
+A bucket (band, minima) is first compared with one leader, by an order that all bands share; then whoever isn't in the
+bucket's largest component with one text of that, another in each band. So a large group of near copies costs a few
+comparisons a text. Of what remains, texts still in different components meet by blocks, and only pairs whose 512 minima
+agree in 0.72 or more are formed and compared exactly; a pair at similarity 0.8 agrees in less with probability 3e-6
+(computed). No bucket is capped.
 
 Defined cases: letters A to Z are lower-cased, words are cut at ASCII white space; texts under ``width`` words are one shingle;
 null and empty texts are copies of each other; rows without id stay and are no one's copy; repeated rows of one id all
@@ -31,7 +33,11 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, importable, keyed, on_key
 from .simhash_dedup import contract, links, majority
 
-WIDTH, BANDS, ROWS = 5, 32, 5
+WIDTH, BANDS, ROWS = 5, 64, 8
+#: Share of equal minima that a pair of the last step needs to be compared: 4.5 standard deviations below 0.8.
+HOPE = 0.72
+#: Texts of a block in that step, about.
+BLOCK = 64
 #: 4/5, as integers.
 LEAST = (4, 5)
 #: Of 32 bits: products of 64 take ten times as long.
@@ -49,36 +55,43 @@ def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 7) for s in runs), dtype="<u8"))
 
 
-def bands(grams: np.ndarray) -> list[int]:
-    """A signed 64-bit value for each band."""
+def minima(grams: np.ndarray) -> np.ndarray:
+    """The least value of the shingles under each of BANDS * ROWS hashes, of 32 bits."""
+    least, short = np.full(BANDS * ROWS, (1 << 32) - 1, dtype=np.uint32), grams.astype(np.uint32)
+    for at in range(0, len(short), 256):
+        least = np.minimum(least, ((short[at : at + 256, None] ^ _FACTORS[0]) * _FACTORS[1]).min(axis=0))
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
+    """A signed 64-bit value for each band of ``minima``."""
     import xxhash
 
-    least, short = np.full(BANDS * ROWS, (1 << 32) - 1, dtype=np.uint32), grams.astype(np.uint32)
-    for at in range(0, len(short), 512):
-        least = np.minimum(least, ((short[at : at + 512, None] ^ _FACTORS[0]) * _FACTORS[1]).min(axis=0))
     rows = least.astype("<u4").reshape(BANDS, ROWS)
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, node (a hash of the shingle set), n (its size), fp (its SimHash), bands."""
+    """doc_id, text_key, node (a hash of the shingle set), n (its size), fp (its SimHash), bands, low (a byte of each minimum)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for b in batches:
             grams = [shingles(t) for t in b.column("text").to_pylist()]
+            least = [minima(g) for g in grams]
             signed = lambda values: pa.array(np.array(values, dtype=np.uint64).view(np.int64))
             own = {
                 "node": signed([xxhash.xxh64_intdigest(g.tobytes()) for g in grams]),
                 "n": pa.array(map(len, grams), pa.int32()),
                 "fp": signed([majority(g) for g in grams]),
-                "bands": pa.array([bands(g) for g in grams], pa.list_(pa.int64())),
+                "bands": pa.array([bands(x) for x in least], pa.list_(pa.int64())),
+                "low": pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary()),
             }
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key")} | own)
 
     d = docs.select(F.col("doc_id").cast("long"), "text_key", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return d.mapInArrow(run, "doc_id long, text_key long, node long, n int, fp long, bands array<long>")
+    return d.mapInArrow(run, "doc_id long, text_key long, node long, n int, fp long, bands array<long>, low binary")
 
 
 def _within_radius(nodes: DataFrame) -> DataFrame:
@@ -100,6 +113,38 @@ def _grams(docs: DataFrame) -> DataFrame:
     return docs.select("node", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "node long, grams binary")
 
 
+def _perhaps(rest: DataFrame) -> DataFrame:
+    """a, b: pairs of a bucket (value, main, node, n, root, low) in different components, one of them not the main one,
+    whose minima agree in ``HOPE`` at least. Blocks of texts meet single ones, so no row is made for a pair that fails."""
+    up, down = LEAST
+    outside = rest.where("root <> main")
+    blocks = outside.groupBy("value").agg(F.count("*").alias("c"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK))
+    x = outside.join(blocks, "value").groupBy("value", block.alias("block")).agg(F.collect_list(F.struct("node", "n", "root", "low")).alias("l"))
+    x = x.select("value", *[F.transform("l", lambda s: s[c]).alias(f"{c}s") for c in ("node", "n", "root", "low")])  # noqa: B023
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one = {c: np.asarray(batch.column(c)) for c in ("node", "n", "root")}
+            some = {c: [np.asarray(r.values) for r in batch.column(c)] for c in ("nodes", "ns", "roots")}
+            lows, low = batch.column("lows"), batch.column("low")
+            a, b = [], []
+            for i in range(batch.num_rows):
+                n = some["ns"][i].astype(np.int64)
+                fit = (some["roots"][i] != one["root"][i]) & (down * np.minimum(n, one["n"][i]) >= up * np.maximum(n, one["n"][i]))
+                if not fit.any():
+                    continue
+                theirs = np.frombuffer(b"".join(lows[i].as_py()), dtype=np.uint8).reshape(len(n), -1)
+                agree = (theirs == np.frombuffer(low[i].as_py(), dtype=np.uint8)).mean(axis=1)
+                near = some["nodes"][i][fit & (agree >= HOPE)]
+                a.append(np.minimum(near, one["node"][i]))
+                b.append(np.maximum(near, one["node"][i]))
+            empty = [np.zeros(0, dtype=np.int64)]
+            yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a or empty)), "b": pa.array(np.concatenate(b or empty))})
+
+    return x.join(rest.select("value", "node", "n", "root", "low"), "value").drop("value").mapInArrow(run, "a long, b long").distinct()
+
+
 def _alike(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     """a, b: the pairs at similarity ``LEAST`` or more."""
     up, down = LEAST
@@ -122,11 +167,11 @@ def roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     importable(docs.sparkSession)
     d = keyed(docs.where("doc_id IS NOT NULL"))
     signed = cut(_signatures(d), "near-signatures")
-    one = signed.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), *[F.first(c).alias(c) for c in ("n", "fp", "bands")])
-    nodes = cut(one.select("node", "n", "fp", "bands", "at.*"), "near-nodes")
+    one = signed.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), *[F.first(c).alias(c) for c in ("n", "fp", "bands", "low")])
+    nodes = cut(one.select("node", "n", "fp", "bands", "low", "at.*"), "near-nodes")
     rows = nodes.select("node", "n", F.explode("bands").alias("value"))
-    # each bucket's leader depends on the bucket, so that bands have different ones
-    leader = rows.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("node", "value").alias("h"), "node", "n")).alias("l")).where("members > 1")
+    # the same order of leaders in all bands: a text meets few different ones, however many buckets it is in
+    leader = rows.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("l")).where("members > 1")
     buckets = cut(rows.join(leader, "value").select("value", "node", "n", "members", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n")), "near-buckets")
     close = cut(_within_radius(nodes), "near-close")
 
@@ -138,16 +183,22 @@ def roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     grams = cut(_grams(d.join(at, on_key(d, at)).select("node", "text").dropDuplicates(["node"])), "near-grams")
     stars = buckets.where("node <> leader").where(sized("n", "leader_n")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
     found = cut(_alike(stars.union(close).distinct(), grams), "near-links")
-    first = contract(found)
-    # what the leaders did not settle
-    rest = buckets.where("members > 2 AND node <> leader").select("value", "node", "n").join(first, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root"))
-    # each bucket's largest component is met by the others, never by itself
-    parts = rest.groupBy("value", "root").agg(F.count("*").alias("c")).groupBy("value").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("main"))
-    rest = cut(rest.join(parts.where("parts > 1"), "value").drop("parts"), "near-rest")
-    x, y = (rest.select("value", "main", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root")]) for s in "xy")
-    met = x.where("root_x <> main").join(y.drop("main"), "value").where("root_x <> root_y").where(sized("n_x", "n_y"))
-    more = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    return signed, contract(found.union(cut(_alike(more, grams), "near-links")))
+
+    def unsettled(root: DataFrame) -> DataFrame:
+        """value, node, n, root, main: buckets of several components; ``main`` is the largest of the bucket."""
+        own = buckets.where("members > 2").select("value", "node", "n").join(root, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root"))
+        parts = own.groupBy("value", "root").agg(F.count("*").alias("c")).groupBy("value").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("main"))
+        return cut(own.join(parts.where("parts > 1"), "value").drop("parts"), "near-rest")
+
+    # who isn't in the main component meets one of its texts, another in each band
+    rest = unsettled(contract(found))
+    second = rest.where("root = main").groupBy("value").agg(F.min(F.struct(F.xxhash64("node", "value").alias("h"), "node", "n")).alias("l"))
+    again = rest.where("root <> main").join(second, "value").where(sized("n", "l.n")).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+    found = cut(found.union(_alike(again, grams)), "near-links")
+    # and what is then still apart meets all of the other components, the main one never itself
+    rest = unsettled(contract(found))
+    more = _perhaps(rest.join(nodes.select("node", "low"), "node"))
+    return signed, contract(found.union(cut(_alike(cut(more, "near-perhaps"), grams), "near-links")))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
