@@ -6,14 +6,14 @@ groups are the connected components of that relation. Every link is verified on
 Candidates come in two steps. First covering SimHash (``simhash_dedup.links``): fingerprints of the five-word shingles
 within two bits. At similarity 0.8 two fingerprints differ in about 10 of 64 bits, and a radius that covers nearly all
 such pairs (19) would take a million masks, so SimHash alone can't give this relation. The second step is therefore
-MinHash, ``BANDS`` bands of ``ROWS`` minima of the same shingle hashes. Two texts at similarity s share no band with
-probability (1 - s^5)^32: 3e-6 at 0.8, less above.
+MinHash, ``BANDS`` bands of ``ROWS`` minima of the same shingle hashes, each cut to its low byte. Two texts at similarity
+s share no band with probability (1 - s^8)^64 at most: 8e-6 at 0.8, less above.
 
 A bucket (band, minima) is first compared with one leader, by an order that all bands share; then whoever isn't in the
 bucket's largest component with one text of that, another in each band. So a large group of near copies costs a few
 comparisons a text. Of what remains, texts still in different components meet by blocks, and only pairs whose 512 minima
-agree in 0.72 or more are formed and compared exactly; a pair at similarity 0.8 agrees in less with probability 3e-6
-(computed). No bucket is capped.
+agree in 0.72 or more are formed, each in the first band that its texts share, and compared exactly; a pair at
+similarity 0.8 agrees in less with probability 3e-6 (computed). No bucket is capped.
 
 Defined cases: letters A to Z are lower-cased, words are cut at ASCII white space; texts under ``width`` words are one shingle;
 null and empty texts are copies of each other; rows without id stay and are no one's copy; repeated rows of one id all
@@ -64,10 +64,10 @@ def minima(grams: np.ndarray) -> np.ndarray:
 
 
 def bands(least: np.ndarray) -> list[int]:
-    """A signed 64-bit value for each band of ``minima``."""
+    """A signed 64-bit value for each band of ``minima``: of its low bytes, so that these tell which bands two texts share."""
     import xxhash
 
-    rows = least.astype("<u4").reshape(BANDS, ROWS)
+    rows = least.astype(np.uint8).reshape(BANDS, ROWS)
     return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
 
 
@@ -114,8 +114,10 @@ def _grams(docs: DataFrame) -> DataFrame:
 
 
 def _perhaps(rest: DataFrame) -> DataFrame:
-    """a, b: pairs of a bucket (value, main, node, n, root, low) in different components, one of them not the main one,
-    whose minima agree in ``HOPE`` at least. Blocks of texts meet single ones, so no row is made for a pair that fails."""
+    """a, b: pairs of a bucket (value, band, main, node, n, root, low) in different components, one of them not the main
+    one, whose minima agree in ``HOPE`` at least. Blocks of texts meet single ones, so no row is made for a pair that
+    fails, and a pair is made once: in the first band that its texts share, and there from its smaller node if neither
+    is in the main component (else both would be met from either side)."""
     up, down = LEAST
     outside = rest.where("root <> main")
     blocks = outside.groupBy("value").agg(F.count("*").alias("c"))
@@ -125,24 +127,27 @@ def _perhaps(rest: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one = {c: np.asarray(batch.column(c)) for c in ("node", "n", "root")}
+            one = {c: np.asarray(batch.column(c)) for c in ("node", "n", "root", "main", "band")}
             some = {c: [np.asarray(r.values) for r in batch.column(c)] for c in ("nodes", "ns", "roots")}
             lows, low = batch.column("lows"), batch.column("low")
             a, b = [], []
             for i in range(batch.num_rows):
                 n = some["ns"][i].astype(np.int64)
                 fit = (some["roots"][i] != one["root"][i]) & (down * np.minimum(n, one["n"][i]) >= up * np.maximum(n, one["n"][i]))
+                if one["root"][i] != one["main"][i]:
+                    fit &= some["nodes"][i] > one["node"][i]
                 if not fit.any():
                     continue
                 theirs = np.frombuffer(b"".join(lows[i].as_py()), dtype=np.uint8).reshape(len(n), -1)
-                agree = (theirs == np.frombuffer(low[i].as_py(), dtype=np.uint8)).mean(axis=1)
-                near = some["nodes"][i][fit & (agree >= HOPE)]
+                agree = theirs == np.frombuffer(low[i].as_py(), dtype=np.uint8)
+                here = agree.reshape(len(n), BANDS, ROWS).all(axis=2).argmax(axis=1) == one["band"][i]
+                near = some["nodes"][i][fit & here & (agree.mean(axis=1) >= HOPE)]
                 a.append(np.minimum(near, one["node"][i]))
                 b.append(np.maximum(near, one["node"][i]))
             empty = [np.zeros(0, dtype=np.int64)]
             yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a or empty)), "b": pa.array(np.concatenate(b or empty))})
 
-    return x.join(rest.select("value", "node", "n", "root", "low"), "value").drop("value").mapInArrow(run, "a long, b long").distinct()
+    return x.join(rest.select("value", "band", "main", "node", "n", "root", "low"), "value").drop("value").mapInArrow(run, "a long, b long")
 
 
 def _alike(pairs: DataFrame, grams: DataFrame) -> DataFrame:
@@ -169,10 +174,10 @@ def roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = cut(_signatures(d), "near-signatures")
     one = signed.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), *[F.first(c).alias(c) for c in ("n", "fp", "bands", "low")])
     nodes = cut(one.select("node", "n", "fp", "bands", "low", "at.*"), "near-nodes")
-    rows = nodes.select("node", "n", F.explode("bands").alias("value"))
+    rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "value"))
     # the same order of leaders in all bands: a text meets few different ones, however many buckets it is in
     leader = rows.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("l")).where("members > 1")
-    buckets = cut(rows.join(leader, "value").select("value", "node", "n", "members", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n")), "near-buckets")
+    buckets = cut(rows.join(leader, "value").select("value", "band", "node", "n", "members", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n")), "near-buckets")
     close = cut(_within_radius(nodes), "near-close")
 
     def sized(x: str, y: str):
@@ -185,8 +190,8 @@ def roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = cut(_alike(stars.union(close).distinct(), grams), "near-links")
 
     def unsettled(root: DataFrame) -> DataFrame:
-        """value, node, n, root, main: buckets of several components; ``main`` is the largest of the bucket."""
-        own = buckets.where("members > 2").select("value", "node", "n").join(root, "node", "left").select("value", "node", "n", F.coalesce("root", "node").alias("root"))
+        """value, band, node, n, root, main: buckets of several components; ``main`` is the largest of the bucket."""
+        own = buckets.where("members > 2").select("value", "band", "node", "n").join(root, "node", "left").select("value", "band", "node", "n", F.coalesce("root", "node").alias("root"))
         parts = own.groupBy("value", "root").agg(F.count("*").alias("c")).groupBy("value").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("main"))
         return cut(own.join(parts.where("parts > 1"), "value").drop("parts"), "near-rest")
 
