@@ -1,5 +1,6 @@
 """SimHash components and sharding against plain Python."""
 
+import collections
 import itertools
 import random
 import zlib
@@ -7,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from graphloom.llm import sharding, simhash_dedup
+from graphloom.llm import queries, sharding, simhash_dedup
 
 import xxhash
 
@@ -122,3 +123,31 @@ def test_shards_are_balanced(docs, spark, sf_dir, per_bucket):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 2000") if per_bucket == 50 else spark.read.parquet(f"{sf_dir}/documents.parquet")
     total = [r[1] for r in sharding.shard(d, 8, per_bucket).groupBy("shard").sum("size").collect()]
     assert len(total) == 8 and max(total) - min(total) < sum(total) / 8 * (0.05 if per_bucket == 50 else 0.001)
+
+
+def brute_differencing(sizes, k):
+    """Sets of items, one for each bin: the two partial partitions of largest spread are combined until one is left."""
+    parts = [(s, i, [(s, {i}), *((0, set()) for _ in range(k - 1))]) for i, s in enumerate(sizes)]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-p[0], p[1]))
+        (_, _, x), (_, _, y), *parts = parts
+        bins = sorted(((p[0] + q[0], p[1] | q[1]) for p, q in zip(x, reversed(y), strict=True)), key=lambda b: -b[0])
+        parts.append((bins[0][0] - bins[-1][0], made, bins))
+        made += 1
+    return [items for _, items in parts[0][2]] if parts else []
+
+
+def test_query_equals_brute_differencing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "coalesce(text, '') AS text")
+    groups = docs.selectExpr("text", "xxhash64(text) AS id", "xxhash64(1, text) AS id2").distinct().orderBy("id", "id2").collect()
+    copies = collections.Counter(r.text for r in docs.collect())
+    bins = brute_differencing([copies[g.text] * (len(g.text.encode()) + 1) for g in groups], 8)
+    want = {frozenset(groups[i].text for i in items) for items in bins if items}
+    shard_of = {r.doc_id: r for r in queries.QUERIES["op7_sharding"](spark, sf_dir).collect()}
+    got, rows = {}, docs.collect()
+    for r in rows:
+        own = shard_of[r.doc_id]
+        got.setdefault(own["shard"], set()).add(r.text)
+        assert (own["size"], own["text_crc32"], own["law"], own["grown_shard"]) == (len(r.text.encode()) + 1, zlib.crc32(r.text.encode()), "bytes", None)
+    assert {frozenset(s) for s in got.values()} == want and len(shard_of) == len(rows)

@@ -4,6 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
+from graphloom.llm import near_copies
 
 from .conftest import passage
 
@@ -68,3 +69,28 @@ def test_large_group_of_one_bucket(spark):
         docs.append((d, " ".join(w)))
     got = corpus_pipeline.near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
     assert {r.doc_id for r in got.collect()} == brute_kept(docs)
+
+
+def test_last_step_makes_each_pair_once(spark):
+    """Against all pairs: those that share a band, have fitting sizes and agree in enough minima, none twice."""
+    rnd, base, own = random.Random(6), passage(11, 300).split(), {}
+    for node in range(60):
+        w = list(base)
+        for at in rnd.sample(range(len(w)), node // 4):
+            w[at] = f"y{node}_{at}"
+        grams = near_copies.shingles(" ".join(w).encode())
+        least = near_copies.minima(grams)
+        own[node] = (len(grams), near_copies.bands(least), least.astype("u1"))
+    members = {}
+    for node, (_, values, _) in own.items():
+        for band, value in enumerate(values):
+            members.setdefault((value, band), []).append(node)
+    rows = [(value, band, min(m), node, own[node][0], node, own[node][2].tobytes()) for (value, band), m in members.items() for node in m]
+    rest = spark.createDataFrame(rows, "value long, band int, main long, node long, n int, root long, low binary")
+    want = []
+    for a, b in itertools.combinations(own, 2):
+        (n, v, x), (m, w, y) = own[a], own[b]
+        if 5 * min(n, m) >= 4 * max(n, m) and (x == y).mean() >= near_copies.HOPE and any(p == q for p, q in zip(v, w, strict=True)):
+            want.append((a, b))
+    got = sorted(map(tuple, near_copies._perhaps(rest).collect()))
+    assert got == want and 60 < len(want) < 60 * 59 // 2
