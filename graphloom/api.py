@@ -77,9 +77,12 @@ class CodeGraph:
         a = c.agg(F.count("*").alias("n_impacted"), F.count_if(F.col("distance") == 1).alias("n_direct"), F.count_if(F.lower("path").contains("test")).alias("n_tests"), F.coalesce(F.max(impact.critical(F.col("path"))), F.lit(False)).alias("critical"))
         return a.withColumn("risk", impact.pr_risk(F.col("n_impacted"), F.lit(len(changed)), F.col("critical")))
 
-    def entry_points(self, spec: str) -> DataFrame:
-        """Nodes of a pattern with ``*``, a ``.py`` path, a ``path:line`` or an id, tried in this order."""
+    def entry_points(self, spec: str | None = None) -> DataFrame:
+        """Nodes of a pattern with ``*``, a ``.py`` path, a ``path:line`` or an id, tried in this order; without a spec
+        those of the usual entry files."""
         n = self.nodes
+        if spec is None:
+            return lookup.default_entries(n)
         if "*" in spec:
             return n.where(F.col("path").rlike(glob_regex(spec)))
         if spec.endswith(".py"):

@@ -49,3 +49,6 @@ LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "java": "ja
 
 # Upper bounds of request-duration buckets, in seconds.
 DURATION_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
+
+# Files whose nodes start a context if none are named, in this order.
+ENTRY_FILES = ["main.py", "app.py", "__init__.py", "index.py"]

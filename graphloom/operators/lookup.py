@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.constants import ENTRY_FILES
+
 
 def first_nodes(nodes: DataFrame, key: str = "id") -> DataFrame:
     """One node for each id: the one with the smallest ``ord``. A partially aggregated group-by, not a window."""
@@ -38,3 +40,9 @@ def file_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     first = first_nodes(nodes.select("id", "ord", "path")).select(F.col("id").alias("source"), F.col("path").alias("by_path"))
     hit = nodes.select(F.col("id").alias("target"), "path", F.col("ord").alias("node_ord"))
     return edges.join(hit, "target").join(first, "source").select("path", "by_path", F.col("type").alias("edge_type"), "node_ord", F.col("ord").alias("edge_ord"), F.col("target").alias("node_id"))
+
+
+def default_entries(nodes: DataFrame, files: list[str] = ENTRY_FILES, most: int = 5) -> DataFrame:
+    """The first ``most`` nodes of the usual entry files, file by file in the given order, then by ``ord``."""
+    place = F.array_position(F.array(*map(F.lit, files)), F.col("path"))
+    return nodes.where(F.col("path").isin(*files)).orderBy(place, "ord").limit(most)

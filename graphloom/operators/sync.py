@@ -138,6 +138,54 @@ def migrate(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(f.select(F.col("id").alias("source"), F.col("ord").alias("source_ord")), "source").join(f.select(F.col("id").alias("target"), F.col("ord").alias("target_ord")), "target")
 
 
+def replace_services(base: DataFrame, saved: DataFrame) -> DataFrame:
+    """``base`` after ``saved`` (with ``ord``) was saved row by row: service_id and repo_id are unique, and a row replaces
+    whatever had either. So a row stays if no later one has its service_id or its repo_id, gone or not."""
+    rows = base.withColumn("ord", F.lit(None).cast("long")).unionByName(saved, allowMissingColumns=True)
+    rows = rows.withColumn("ord", F.coalesce("ord", F.lit(-1)))
+    kept = rows
+    for key in ("service_id", "repo_id"):
+        kept = kept.join(rows.groupBy(key).agg(F.max("ord").alias("ord")), [key, "ord"], "left_semi")
+    return kept.select(*base.columns)
+
+
+class Services:
+    """The registry of services (service_id, name, repo_id, description), in a folder of versions."""
+
+    COLUMNS = "service_id string, name string, repo_id string, description string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.table = spark, Table(spark, path, ["service_id"])
+
+    def list(self) -> DataFrame:
+        found = self.table.read()
+        return (self.spark.createDataFrame([], self.COLUMNS) if found is None else found).orderBy("name", "service_id")
+
+    def save(self, rows: DataFrame) -> None:
+        """``rows`` in the order of ``ord``."""
+        self.table.write(replace_services(self.list(), rows))
+
+    def by_id(self, service_id: str) -> DataFrame:
+        return self.list().where(F.col("service_id") == service_id)
+
+    def by_repo(self, repo_id: str) -> DataFrame:
+        return self.list().where(F.col("repo_id") == repo_id)
+
+    def update(self, service_id: str, **values: str | None) -> bool:
+        """Set the name or description given; whether there was such a service."""
+        if self.by_id(service_id).isEmpty():
+            return False
+        own = F.col("service_id") == service_id
+        self.table.write(self.list().withColumns({c: F.when(own, F.lit(values[c])).otherwise(F.col(c)) for c in ("name", "description") if values.get(c) is not None}))
+        return True
+
+    def delete(self, service_id: str) -> bool:
+        if self.by_id(service_id).isEmpty():
+            return False
+        self.table.write(self.list().where(F.col("service_id") != service_id))
+        return True
+
+
 STATES = ("pending", "syncing", "synced", "error", "stale")
 
 

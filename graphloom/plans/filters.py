@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import extension, first_pattern
 from ..operators.impact import critical
-from ..operators.lookup import dangling_edges, induced, valid_edges
+from ..operators.lookup import dangling_edges, default_entries, induced, valid_edges
 from ..sources.graph import G, edges, nodes
 from .registry import query
 
@@ -130,3 +130,8 @@ def _(spark, d):
 @query("line_explode", "SELECT doc_id, i::INT AS pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)")
 def _(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+@query("default_entry_points", f"WITH {G} SELECT id, path FROM nodes WHERE path IN ('main.py', 'r:3', 'n:7', 'r:0') ORDER BY list_position(['main.py', 'r:3', 'n:7', 'r:0'], path), ord LIMIT 12")
+def _(spark, d):
+    return default_entries(nodes(spark, d), ["main.py", "r:3", "n:7", "r:0"], 12).select("id", "path")

@@ -31,6 +31,13 @@ def _(spark, d):
     return sync.with_placeholders(nodes(spark, d).where("ord % 5 <> 0").select("id", "type", "name"), edges(spark, d))
 
 
+@query("service_registry", "WITH a AS (SELECT -1 AS ord, c_custkey AS service_id, c_custkey AS repo_id, c_name AS name FROM customer UNION ALL SELECT o_orderkey, o_custkey, o_custkey + o_orderkey % 3, o_orderpriority FROM orders) SELECT service_id, repo_id, name FROM a WHERE NOT EXISTS (SELECT 1 FROM a b WHERE b.service_id = a.service_id AND b.ord > a.ord) AND NOT EXISTS (SELECT 1 FROM a b WHERE b.repo_id = a.repo_id AND b.ord > a.ord)")
+def _(spark, d):
+    base = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("service_id"), F.col("c_custkey").alias("repo_id"), F.col("c_name").alias("name"))
+    saved = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("service_id"), (F.col("o_custkey") + F.col("o_orderkey") % 3).alias("repo_id"), F.col("o_orderpriority").alias("name"))
+    return sync.replace_services(base, saved)
+
+
 @query("migrated_edges", f"WITH {G} SELECT e.source, e.target, a.ord AS source_ord, b.ord AS target_ord FROM edges e JOIN nodes a ON e.source = a.id JOIN nodes b ON e.target = b.id WHERE e.type = 'IMPORTS'")
 def _(spark, d):
     return sync.migrate(edges(spark, d).where("type = 'IMPORTS'"), nodes(spark, d)).select("source", "target", "source_ord", "target_ord")

@@ -186,3 +186,19 @@ def test_deleted_snapshots_are_gone(spark, tmp_path):
     assert sync.delete_snapshot(spark, root, "r", "a") and not sync.delete_snapshot(spark, root, "r", "a")
     assert [x.sha for x in sync.list_snapshots(spark, root).collect()] == ["b"]
     assert sync.read_snapshot(spark, root, "r", "b")[0].count() == 3
+
+
+def test_services_are_unique_by_id_and_repository(spark, tmp_path):
+    r = sync.Services(spark, str(tmp_path / "services"))
+    rows = lambda *x: spark.createDataFrame(x, "ord long, service_id string, name string, repo_id string, description string")
+    r.save(rows((1, "s1", "b", "r1", None), (2, "s2", "a", "r2", None), (3, "s3", "c", "r3", None)))
+    assert [x.service_id for x in r.list().collect()] == ["s2", "s1", "s3"]
+    r.save(rows((1, "s1", "x", "r2", "both go"), (2, "s4", "d", "r1", None), (3, "s4", "e", "r4", None)))
+    assert [(x.service_id, x.repo_id) for x in r.list().collect()] == [("s3", "r3"), ("s4", "r4"), ("s1", "r2")]
+    assert r.update("s1", name="y") and not r.update("s2", name="y")
+    assert [tuple(x) for x in r.by_id("s1").collect()] == [("s1", "y", "r2", "both go")] == [tuple(x) for x in r.by_repo("r2").collect()]
+    assert r.delete("s1") and not r.delete("s1") and r.by_repo("r2").isEmpty()
+
+
+def test_default_entries(graph):
+    assert [x.id for x in graph.entry_points().collect()] == ["main.py", "main.py::main"]
