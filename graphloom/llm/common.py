@@ -59,6 +59,15 @@ def on_key(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
 
 
+#: Rows of an id and a hash or two that ``few`` broadcasts, at most: about 30 bytes each.
+BROADCAST_KEYS = 1_000_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """``keys``, to be broadcast if it has ``BROADCAST_KEYS`` rows at most."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or the first of its variants that ``df`` has no column of (case-insensitive)."""
     have = {c.lower() for c in df.columns}
