@@ -7,24 +7,40 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CRITICAL_PATHS
 from ..functions.scalars import basename, dirname, join_path, stem
+from .adjacency import Adjacency, Picked
 from .lookup import file_graph
 from .traverse import reach
 
 
-def direct(edges: DataFrame, nodes: DataFrame, changed: list[str]) -> DataFrame:
-    """path, edge_types: files outside ``changed`` that use a changed file; types of the edges to the first node by which a file was found."""
-    g = file_graph(edges, nodes).where(F.col("path").isin(changed) & ~F.col("by_path").isin(changed))
-    rank = F.array_position(F.array(*map(F.lit, changed)), F.col("path"))
-    first = g.groupBy("by_path").agg(F.min(F.struct(rank.alias("r"), "node_ord", "edge_ord")).alias("f"))
-    own = g.join(first, "by_path").where(F.col("node_ord") == F.col("f.node_ord"))
-    return own.groupBy(F.col("by_path").alias("path")).agg(F.array_sort(F.collect_set("edge_type")).alias("edge_types"))
+def _users(graph: DataFrame | Adjacency, nodes: DataFrame | None, leave_out: list[str] | None) -> Picked | DataFrame:
+    """Steps from a file to those that use it; of a stored adjacency, or of edges and nodes."""
+    if isinstance(graph, Adjacency):
+        return graph.file_steps(leave_out)
+    steps = file_graph(graph, nodes).withColumnsRenamed({"path": "a", "by_path": "b"})
+    return steps.where(~F.col("b").isin(leave_out)) if leave_out else steps
 
 
-def closure(edges: DataFrame, nodes: DataFrame, changed: list[str], rounds: int = 3) -> DataFrame:
+def direct(graph: DataFrame | Adjacency, nodes: DataFrame | None, changed: list[str]) -> DataFrame:
+    """path, edge_types: files outside ``changed`` that use a changed file; types of the edges to the first node by which a file was found."""
+    steps = _users(graph, nodes, changed)
+    if isinstance(steps, DataFrame):
+        g = steps.where(F.col("a").isin(changed))
+    else:
+        g = steps.of(graph.spark.createDataFrame([(c,) for c in dict.fromkeys(changed)], "a string"), len(changed))
+    rank = F.array_position(F.array(*map(F.lit, changed)), F.col("a"))
+    first = g.groupBy("b").agg(F.min(F.struct(rank.alias("r"), "node_ord", "edge_ord")).alias("f"))
+    own = g.join(first, "b").where(F.col("node_ord") == F.col("f.node_ord"))
+    return own.groupBy(F.col("b").alias("path")).agg(F.array_sort(F.collect_set("edge_type")).alias("edge_types"))
+
+
+def closure(graph: DataFrame | Adjacency, nodes: DataFrame | None, changed: list[str], rounds: int | None = 3) -> DataFrame:
     """path, distance: 1 for direct impact, 2 and more for up to ``rounds`` further steps; changed files themselves are left out."""
-    g = file_graph(edges, nodes).select(F.col("path").alias("a"), F.col("by_path").alias("b")).distinct().where(~F.col("b").isin(changed))
-    start = edges.sparkSession.createDataFrame([(c,) for c in changed], "id string")
-    return reach(g, start, None if rounds is None else rounds + 1).where("depth > 0").select(F.col("id").alias("path"), F.col("depth").alias("distance"))
+    spark = graph.spark if isinstance(graph, Adjacency) else graph.sparkSession
+    steps = _users(graph, nodes, changed)
+    if isinstance(steps, DataFrame):
+        steps = steps.select("a", "b").distinct()
+    found = reach(steps, spark.createDataFrame([(c,) for c in changed], "id string"), None if rounds is None else rounds + 1)
+    return found.where("depth > 0").select(F.col("id").alias("path"), F.col("depth").alias("distance"))
 
 
 def tests_of(affected: DataFrame, files: DataFrame) -> DataFrame:

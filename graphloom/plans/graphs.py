@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions.scalars import path_distance
-from ..operators import impact, traverse
+from ..operators import impact, paths, traverse
+from ..operators.adjacency import Picked
 from ..operators.lookup import file_graph, first_nodes, induced
-from ..sources.graph import G, edges, nodes, transitions
+from ..sources.graph import G, adjacency, edges, nodes, transitions
 from .registry import query
 
 R = f"WITH RECURSIVE {G}, "
@@ -17,7 +18,7 @@ def _khop(name, start, depth, step, direction, types=None):
 
     @query(name, sql)
     def _(spark, d):
-        found, _ = traverse.khop(edges(spark, d), start, depth, direction, types)
+        found, _ = traverse.khop(adjacency(spark, d), start, depth, direction, types)
         return traverse.decayed(found).withColumn("score", F.round("score", 6))
 
 
@@ -30,7 +31,7 @@ _khop("decayed_expansion", "c:5", 2, ("(e.source = r.id OR e.target = r.id)", "C
 
 @query("khop_edges", f"{R}r(id, depth) AS (SELECT 'o:1', 0 UNION SELECT e.target, depth + 1 FROM r JOIN edges e ON e.source = r.id WHERE depth < 3) SELECT DISTINCT source, target, type FROM edges WHERE source IN (SELECT id FROM r GROUP BY id HAVING min(depth) < 3)")
 def _(spark, d):
-    return traverse.khop(edges(spark, d), "o:1", 3)[1]
+    return traverse.khop(adjacency(spark, d), "o:1", 3)[1]
 
 
 @query("khop_cycle", f"{R}r(id, depth) AS (SELECT 'signup', 0 UNION SELECT s.target, depth + 1 FROM r JOIN steps s ON s.source = r.id WHERE depth < 5) SELECT id, min(depth)::INT AS depth FROM r GROUP BY id")
@@ -46,28 +47,28 @@ def _(spark, d):
 @query("hop_distance", f"{R}r(id, depth) AS (SELECT id, 0 FROM nodes WHERE id IN ('o:1', 'o:2', 'p:3') UNION SELECT e.target, depth + 1 FROM r JOIN edges e ON e.source = r.id WHERE depth < 5), m AS (SELECT id, min(depth) AS depth FROM r GROUP BY id) SELECT id, depth::INT AS depth, round(CASE WHEN depth IS NULL THEN 0.1 ELSE 1.0 / (1.0 + depth) END, 6)::DOUBLE AS score FROM nodes LEFT JOIN m USING (id)")
 def _(spark, d):
     start = spark.createDataFrame([("o:1",), ("o:2",), ("p:3",)], "id string")
-    found = traverse.reach(traverse.arcs(edges(spark, d)), start, 5)
+    found = traverse.reach(adjacency(spark, d).steps(), start, 5)
     return nodes(spark, d).select("id").join(found, "id", "left").select("id", "depth", F.round(traverse.hop_score(F.col("depth")), 6).alias("score"))
 
 
 @query("weighted_expansion", f"{R}r(id, w, k) AS (SELECT 'o:1', 1.0::DOUBLE, 0 UNION SELECT e.target, w * CASE e.type WHEN 'CALLS' THEN 0.9 WHEN 'IMPORTS' THEN 0.6 ELSE 1.0 END, k + 1 FROM r JOIN edges e ON e.source = r.id WHERE k < 8 AND w * CASE e.type WHEN 'CALLS' THEN 0.9 WHEN 'IMPORTS' THEN 0.6 ELSE 1.0 END >= 0.1) SELECT id, round(max(w), 6)::DOUBLE AS weight FROM r GROUP BY id")
 def _(spark, d):
-    return traverse.weighted(edges(spark, d), "o:1").select("id", F.round("weight", 6).alias("weight"))
+    return traverse.weighted(adjacency(spark, d), "o:1").select("id", F.round("weight", 6).alias("weight"))
 
 
 @query("path_lengths", f"{R}r(id, distance) AS (SELECT DISTINCT target, 1 FROM edges WHERE source = 'o:3' UNION SELECT e.target, distance + 1 FROM r JOIN edges e ON e.source = r.id WHERE distance < 4) SELECT id, distance::INT AS distance FROM r")
 def _(spark, d):
-    return traverse.path_lengths(edges(spark, d), "o:3", 4)
+    return paths.path_lengths(adjacency(spark, d), "o:3", 4)
 
 
 @query("dependents", f"{R}r(id, distance) AS (SELECT DISTINCT source, 1 FROM edges WHERE target = 's:1' UNION SELECT e.source, distance + 1 FROM r JOIN edges e ON e.target = r.id WHERE distance < 2) SELECT id, distance::INT AS distance FROM r")
 def _(spark, d):
-    return traverse.path_lengths(edges(spark, d), "s:1", 2, reverse=True)
+    return paths.path_lengths(adjacency(spark, d), "s:1", 2, reverse=True)
 
 
 @query("shortest_path_len", f"{R}a AS (SELECT DISTINCT source AS a, target AS b FROM edges UNION SELECT DISTINCT target, source FROM edges), r(id, n) AS (SELECT 'r:0', 0 UNION SELECT a.b, n + 1 FROM r JOIN a ON a.a = r.id WHERE n < 4 AND NOT EXISTS (SELECT 1 FROM r WHERE id = 'p:7')) SELECT min(n)::INT AS n_steps, 'r:0' AS first, 'p:7' AS last FROM r WHERE id = 'p:7'")
 def _(spark, d):
-    path = traverse.shortest_path(edges(spark, d), "r:0", "p:7")
+    path = traverse.shortest_path(adjacency(spark, d), "r:0", "p:7")
     return spark.createDataFrame([(len(path) - 1, path[0], path[-1])] if path else [], "n_steps int, first string, last string")
 
 
@@ -81,7 +82,7 @@ def _(spark, d):
 
 @query("impact_direct", f"WITH {G}, {FG}, g AS (SELECT *, CASE path WHEN 'n:1' THEN 1 ELSE 2 END AS k FROM f WHERE path IN ('n:1', 'n:2') AND by_path NOT IN ('n:1', 'n:2')), h AS (SELECT *, first_value(node_ord) OVER (PARTITION BY by_path ORDER BY k, node_ord, edge_ord) AS first FROM g) SELECT by_path AS path, list_sort(list(DISTINCT edge_type)) AS edge_types FROM h WHERE node_ord = first GROUP BY by_path")
 def _(spark, d):
-    return impact.direct(edges(spark, d), nodes(spark, d), ["n:1", "n:2"])
+    return impact.direct(adjacency(spark, d), None, ["n:1", "n:2"])
 
 
 CLOSURE = f"{R}{FG}, u AS (SELECT DISTINCT path AS a, by_path AS b FROM f WHERE by_path <> 'n:1'), c(path, distance) AS (SELECT 'n:1', 0 UNION SELECT u.b, distance + 1 FROM c JOIN u ON u.a = c.path WHERE distance < 4)"
@@ -89,12 +90,12 @@ CLOSURE = f"{R}{FG}, u AS (SELECT DISTINCT path AS a, by_path AS b FROM f WHERE
 
 @query("impact_transitive", f"{CLOSURE} SELECT path, min(distance)::INT AS distance FROM c WHERE path <> 'n:1' GROUP BY path")
 def _(spark, d):
-    return impact.closure(edges(spark, d), nodes(spark, d), ["n:1"])
+    return impact.closure(adjacency(spark, d), None, ["n:1"])
 
 
 @query("impact_summary", f"{CLOSURE}, m AS (SELECT path, min(distance) AS distance FROM c WHERE path <> 'n:1' GROUP BY path) SELECT count(*) FILTER (WHERE distance = 1) AS n_direct, count(*) FILTER (WHERE distance > 1) AS n_transitive, coalesce(max(distance), 0)::INT AS farthest FROM m")
 def _(spark, d):
-    c = impact.closure(edges(spark, d), nodes(spark, d), ["n:1"])
+    c = impact.closure(adjacency(spark, d), None, ["n:1"])
     return c.agg(F.count_if(F.col("distance") == 1).alias("n_direct"), F.count_if(F.col("distance") > 1).alias("n_transitive"), F.coalesce(F.max("distance"), F.lit(0)).alias("farthest"))
 
 
@@ -109,14 +110,13 @@ def _(spark, d):
 
 @query("ci_reach", f"{R}{FG}, u AS (SELECT DISTINCT path AS a, by_path AS b FROM f), c(path) AS (SELECT 'r:2' UNION SELECT u.b FROM c JOIN u ON u.a = c.path) SELECT path FROM c")
 def _(spark, d):
-    g = file_graph(edges(spark, d), nodes(spark, d)).select(F.col("path").alias("a"), F.col("by_path").alias("b")).distinct()
-    return traverse.reach(g, spark.createDataFrame([("r:2",)], "id string")).select(F.col("id").alias("path"))
+    return traverse.reach(adjacency(spark, d).file_steps(), spark.createDataFrame([("r:2",)], "id string")).select(F.col("id").alias("path"))
 
 
 @query("impact_visual_split", f"{R}own AS (SELECT id FROM nodes WHERE path = 'r:1'), v(id, depth) AS (SELECT id, 0 FROM own UNION SELECT e.source, depth + 1 FROM v JOIN edges e ON e.target = v.id WHERE depth < 3 AND e.source NOT IN (FROM own)) SELECT id, CASE WHEN min(depth) = 1 THEN 'direct' ELSE 'indirect' END AS kind FROM v WHERE depth > 0 GROUP BY id")
 def _(spark, d):
     own = nodes(spark, d).where("path = 'r:1'").select("id")
-    steps = traverse.arcs(edges(spark, d), "incoming").join(own.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
+    steps = Picked((adjacency(spark, d).back, lambda met: met.join(own.withColumnRenamed("id", "b"), "b", "left_anti")))
     return traverse.reach(steps, own, 3).where("depth > 0").select("id", F.when(F.col("depth") == 1, "direct").otherwise("indirect").alias("kind"))
 
 

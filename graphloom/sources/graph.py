@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.adjacency import Adjacency, opened
+
 NAMES = ["save_order", "get_order", "validate", "main", "teardown", "process_all", "test_get", "authenticate", "misc"]
 ORD = 1_000_000_000_000
 
@@ -62,6 +64,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def adjacency(spark: SparkSession, sf_dir: str) -> Adjacency:
+    """The same graph as stored adjacency, written when it is first asked for."""
+    tables = [f"{sf_dir}/{t}.parquet" for t in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem")]
+    return opened(spark, "tables", tables, lambda: nodes(spark, sf_dir), lambda: edges(spark, sf_dir))
+
+
 def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cyclic graph of event types: each user's event to the next one by time; source, target, n."""
     e = _t(spark, sf_dir, "events")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom import plugins
 from graphloom.api import CodeGraph, check_budget, get_preset
-from graphloom.operators import budget, clustering, diff, formats, impact, lookup, sync, traverse
+from graphloom.operators import budget, clustering, diff, formats, impact, lookup, paths, sync, traverse
 
 NODES = [("main.py", "file", "main.py", "main.py"), ("utils.py", "file", "utils.py", "utils.py"), ("main.py::main", "function", "main", "main.py"), ("utils.py::helper", "function", "helper", "utils.py"), ("utils.py::Config", "class", "Config", "utils.py")]
 EDGES = [("main.py", "utils.py", "IMPORTS", 1), ("main.py::main", "utils.py::helper", "CALLS", 2), ("utils.py::Config", "utils.py::helper", "EXTENDS", 3)]
@@ -40,7 +40,7 @@ def test_cycles_paths_and_weights(spark):
     assert {r.id: r.depth for r in traverse.reach(traverse.arcs(e), spark.createDataFrame([("a",)], "id string")).collect()} == {"a": 0, "b": 1, "c": 2, "d": 1}
     assert {r.id: round(r.weight, 3) for r in traverse.weighted(e, "a").collect()} == {"a": 1.0, "b": 1.0, "c": 0.9, "d": 0.6}
     assert traverse.shortest_path(e, "d", "b") == ["d", "a", "b"] and traverse.shortest_path(e, "d", "zzz") is None
-    got = {(r.id, r.distance) for r in traverse.path_lengths(e, "a", 3).collect()}
+    got = {(r.id, r.distance) for r in paths.path_lengths(e, "a", 3).collect()}
     assert got == {("b", 1), ("d", 1), ("a", 2), ("c", 2), ("d", 3)}
     assert "(circular)" in formats.tree(e, "a")
 
