@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import cut
+from .density import density as density
+from .density import density_labels as density_labels
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 42, starts: int = 10) -> DataFrame:
@@ -42,98 +43,6 @@ def labels(nodes: DataFrame, cluster: str = "cluster") -> DataFrame:
     return t.join(common, cluster, "left").select(cluster, "dominant_type", F.coalesce("common_path", F.lit("")).alias("common_path"))
 
 
-def density_labels(x: np.ndarray, min_cluster_size: int = 5) -> np.ndarray:
-    """HDBSCAN: cluster of each row, -1 for noise. Mutual-reachability tree, condensed by ``min_cluster_size``, clusters by excess of mass."""
-    n = len(x)
-    if n < 2 * min_cluster_size:
-        return np.full(n, -1)
-    dist = np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1), 0))
-    core = np.sort(dist, axis=1)[:, min(min_cluster_size, n) - 1]
-    reach = np.maximum(dist, np.maximum(core[:, None], core[None, :]))
-    # minimum spanning tree
-    inside, near, link = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
-    tree, at = [], 0
-    for _ in range(n - 1):
-        inside[at] = True
-        closer = ~inside & (reach[at] < near)
-        near[closer], link[closer] = reach[at][closer], at
-        nxt = int(np.argmin(np.where(inside, np.inf, near)))
-        tree.append((near[nxt], link[nxt], nxt))
-        at = nxt
-    # single linkage, children of merge i are node n + i
-    parent, top, kids, size, height = list(range(2 * n - 1)), list(range(n)), {}, [1] * n, {}
-
-    def find(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    for d, a, b in sorted(tree):
-        ra, rb, new = find(a), find(b), len(size)
-        kids[new], height[new] = (ra, rb), d
-        size.append(size[ra] + size[rb])
-        parent[ra] = parent[rb] = new
-    leaves = lambda node: [node] if node < n else [v for k in kids[node] for v in _leaves(kids, k, n)]
-    # condense
-    stability, children, members = {}, {}, {}
-    stack = [(2 * n - 2, 0, 0.0)]  # node, its cluster, birth
-    stability[0], children[0], members[0], count = 0.0, [], leaves(2 * n - 2), 1
-    while stack:
-        node, c, birth = stack.pop()
-        while node >= n:
-            lam = 1 / max(height[node], 1e-12)
-            big = [k for k in kids[node] if size[k] >= min_cluster_size]
-            stability[c] += (lam - birth) * sum(size[k] for k in kids[node] if size[k] < min_cluster_size)
-            if len(big) == 2:
-                stability[c] += (lam - birth) * size[node]
-                for k in big:
-                    stability[count], children[count], members[count] = 0.0, [], leaves(k)
-                    children[c].append(count)
-                    stack.append((k, count, lam))
-                    count += 1
-                break
-            if not big:
-                break
-            node = big[0]
-    chosen: dict[int, bool] = {}
-    for c in range(count - 1, 0, -1):
-        below = sum(stability[k] for k in children[c])
-        chosen[c] = not children[c] or stability[c] >= below
-        stability[c] = max(stability[c], below)
-    out, k, todo = np.full(n, -1), 0, list(children[0])
-    while todo:
-        c = todo.pop(0)
-        if chosen[c]:
-            out[members[c]] = k
-            k += 1
-        else:
-            todo += children[c]
-    return out
-
-
-def _leaves(kids: dict, node: int, n: int) -> list[int]:
-    out, todo = [], [node]
-    while todo:
-        v = todo.pop()
-        if v < n:
-            out.append(v)
-        else:
-            todo += kids[v]
-    return out
-
-
-def density(vectors: DataFrame, group: str, key: str, min_cluster_size: int = 5) -> DataFrame:
-    """group, key, cluster (-1: noise), by groups: a group is one repository's vectors and fits one task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, ignore_index=True)
-        return pdf[[group, key]].assign(cluster=density_labels(np.array(pdf["embedding"].tolist(), dtype=float), min_cluster_size))
-
-    kinds = dict(vectors.dtypes)
-    return vectors.select(group, key, "embedding").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, cluster int")
-
-
 #: Vectors of a block: two blocks' distances are a matrix of 8 MB.
 BLOCK = 1000
 

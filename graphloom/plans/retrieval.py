@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CRITICALITY, PRESETS
 from ..functions.scalars import criticality, estimated_tokens, snippet
-from ..operators import budget, clustering, ranking, tokens
+from ..operators import budget, clustering, ranking, tokens, vector_index
 from ..sources.graph import G, nodes
 from .filters import FILES, files
 from .registry import query
@@ -149,8 +149,21 @@ def _(spark, d):
 
 @query("density_clusters")
 def _(spark, d):
-    v = _t(spark, d, "embeddings").selectExpr("vec_id", "vec_id % 4 AS repo", "embedding")
-    return clustering.density(v, "repo", "vec_id")
+    return clustering.density(_t(spark, d, "embeddings"), None, "vec_id")
+
+
+@query(
+    "vector_index_topk",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.vec_id AS qid, e.vec_id, list_cosine_similarity(q.v, e.v) AS score FROM e q JOIN e ON q.vec_id % 100 = 0),
+r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, vec_id) AS rank, vec_id AS id, score FROM s)
+SELECT qid, rank, id, round(score, 6)::DOUBLE AS score FROM r WHERE rank <= 10""",
+)
+def _(spark, d):
+    v = _t(spark, d, "embeddings")
+    index = vector_index.opened(v, "vec_id", "embeddings", [f"{d}/embeddings.parquet"])
+    found = index.search(v.where("vec_id % 100 = 0"), "vec_id", 10, exact=True)
+    return found.select("qid", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
 @query(

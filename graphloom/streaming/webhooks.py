@@ -39,12 +39,14 @@ Handler = Callable[[DataFrame], DataFrame]
 
 
 class Processor:
-    """Dispatches each micro-batch by event. A handler takes the event's rows and returns (delivery_id, ok, detail); rows
-    that fail go again up to ``retries`` times, then to the dead letters. Unknown events are dead letters at once."""
+    """Dispatches each micro-batch by event. A handler takes the event's rows and returns (delivery_id, ok, detail, ...), one
+    row or several for a delivery; one of which a row isn't ok, or that has no answer, goes again up to ``retries`` times,
+    then to the dead letters. Rows without delivery_id, and null or unknown events, are dead letters at once: every row ends in one of
+    the two. For retries after a while see ``delays``."""
 
     def __init__(self, done: str, dead: str, retries: int = 3):
         self.handlers: dict[str, Handler] = {}
-        self.done, self.dead, self.retries = done, dead, retries
+        self.done, self.dead, self.retries = done.rstrip("/"), dead.rstrip("/"), retries
 
     def on(self, event: str) -> Callable[[Handler], Handler]:
         def add(f: Handler) -> Handler:
@@ -54,26 +56,41 @@ class Processor:
         return add
 
     def batch(self, df: DataFrame, batch_id: int) -> None:
-        """Each write has a folder of its own by batch and step, so a batch that runs again replaces what it wrote."""
+        """A batch that runs again replaces all that it wrote: each has a folder of its own, emptied first."""
+        spark = df.sparkSession
+        for root in (self.done, self.dead):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/batch={batch_id}")
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
         def put(rows: DataFrame, root: str, step: str) -> None:
             rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}/step={step}")
 
         df = df.persist()
+        known = F.coalesce(F.col("event").isin(*self.handlers), F.lit(False)) & F.col("delivery_id").isNotNull()
         for event, f in self.handlers.items():
-            rows = df.where(F.col("event") == event)
+            rows, waiting = df.where(known & (F.col("event") == event)), []
             for attempt in range(1, self.retries + 1):
                 if rows.isEmpty():
                     break
                 out = f(rows).persist()
-                put(out.where("ok").withColumn("attempt", F.lit(attempt)), self.done, f"{event}-{attempt}")
-                failed = out.where("NOT ok")
+                answers = out.groupBy("delivery_id").agg(F.min(F.coalesce("ok", F.lit(False))).alias("all_ok"), F.max(F.when(~F.coalesce("ok", F.lit(False)), F.col("detail"))).alias("why"))
+                good = answers.where("all_ok").select("delivery_id")
+                put(out.join(good, "delivery_id", "left_semi").withColumn("attempt", F.lit(attempt)), self.done, f"{event}-{attempt}")
+                rows = rows.join(good, "delivery_id", "left_anti")
                 if attempt == self.retries:
-                    put(failed.select("delivery_id", "detail"), self.dead, event)
-                rows = rows.join(failed.select("delivery_id"), "delivery_id", "left_semi")
-        unknown = df.where(~F.col("event").isin(*self.handlers))
-        if not unknown.isEmpty():
-            put(unknown.select("delivery_id", F.concat(F.lit("unknown event "), "event").alias("detail")), self.dead, "unknown")
+                    why = F.when(F.col("all_ok").isNull(), "no answer").otherwise(F.coalesce("why", F.lit("failed"))).alias("detail")
+                    put(rows.join(answers, "delivery_id", "left").select("delivery_id", why), self.dead, event)
+                else:
+                    rows = rows.persist()  # as the answers were: a handler may say something else when asked again
+                    rows.count()
+                    waiting.append(rows)
+                out.unpersist()
+            for r in waiting:
+                r.unpersist()
+        lost = df.where(~known)
+        if not lost.isEmpty():
+            detail = F.when(F.col("delivery_id").isNull(), "no delivery_id").otherwise(F.concat(F.lit("unknown event "), F.coalesce("event", F.lit("null"))))
+            put(lost.select("delivery_id", detail.alias("detail")), self.dead, "unknown")
         df.unpersist()
 
     def start(self, stream: DataFrame, checkpoint: str):

@@ -37,6 +37,30 @@ def test_webhooks_retry_dead_letters_and_replay(spark, tmp_path):
     assert sorted((r.delivery_id, r.detail) for r in spark.read.parquet(str(tmp_path / "dead")).collect()) == [("d2", "unknown event ping"), ("d3", "failing commit")]
 
 
+def test_no_row_is_lost(spark, tmp_path):
+    """Null events, deliveries and answers, missing and mixed answers; a batch that runs again with less to say."""
+    rows = [("a", "push"), ("b", "push"), ("c", "push"), ("d", "push"), (None, "push"), ("e", None), ("f", "ping"), ("g", "push")]
+    df = spark.createDataFrame(rows, "delivery_id string, event string")
+    p, calls = webhooks.Processor(str(tmp_path / "done"), str(tmp_path / "dead")), []
+
+    @p.on("push")
+    def _(df):
+        calls.append(sorted(r.delivery_id for r in df.collect()))
+        ok = F.when(F.col("delivery_id") == "a", True).when(F.col("delivery_id") == "b", False)
+        one = df.where("delivery_id <> 'd'").select("delivery_id", ok.alias("ok"), F.lit("why").alias("detail"))
+        two = df.where("delivery_id = 'g'").select("delivery_id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("detail"))
+        again = F.lit(len(calls) > 1)  # g is ok at the second attempt
+        return one.withColumn("ok", F.when((F.col("delivery_id") == "g") & again, True).otherwise(F.col("ok"))).union(two)
+
+    read = lambda name: sorted(((r.delivery_id, r.detail) for r in spark.read.parquet(str(tmp_path / name)).collect()), key=repr)
+    p.batch(df, 7)
+    assert calls == [["a", "b", "c", "d", "g"], ["b", "c", "d", "g"], ["b", "c", "d"]]
+    assert read("done") == [("a", "why"), ("g", "why"), ("g", None)]
+    assert read("dead") == [("b", "why"), ("c", "why"), ("d", "no answer"), ("e", "unknown event null"), ("f", "unknown event ping"), (None, "no delivery_id")]
+    p.batch(df.where("delivery_id = 'a'"), 7)
+    assert read("done") == [("a", "why")] and not (tmp_path / "dead" / "batch=7").exists()
+
+
 def test_sync_states(spark, tmp_path):
     rows = [("a", 1, "start", None), ("a", 2, "done", "s1"), ("a", 3, "behind", None), ("b", 1, "start", None), ("b", 2, "fail", None), ("b", 3, "fail", None)]
     schema = "repo_id string, ord long, event string, sha string"
