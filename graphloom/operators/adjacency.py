@@ -8,11 +8,13 @@ so a changed table makes a new one; a table counts from when its marker is there
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..scratch import plain_reads, shared_root
 from .lookup import file_graph
@@ -21,6 +23,7 @@ from .lookup import file_graph
 BROADCAST_IDS, PUSHED_IDS = 100_000, 500
 #: Rows of a bucket, about, and the least and greatest number of buckets.
 BUCKET_ROWS, FEWEST, MOST = 250_000, 8, 4096
+MARK = "data string, buckets int, schema string"
 
 
 def few(ids: DataFrame, n: int) -> DataFrame:
@@ -63,7 +66,7 @@ class Stored:
         data = f"{self.path}/data-{uuid.uuid4().hex}"  # of two writers, one is read
         out = rows.withColumn("bucket", bucket_of(F.col(self.key), buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", self.key)
         out.write.partitionBy("bucket").parquet(data)
-        mark = self.spark.createDataFrame([(data.rpartition("/")[2], buckets)], "data string, buckets int").coalesce(1)
+        mark = self.spark.createDataFrame([(data.rpartition("/")[2], buckets, T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType())]).json())], MARK).coalesce(1)
         mark.write.mode("append").json(f"{self.path}/marker")
 
     def ready(self) -> bool:
@@ -73,9 +76,10 @@ class Stored:
         """All rows, with ``bucket``."""
         if self._table is None:
             plain_reads(self.spark)
-            mark = self.spark.read.schema("data string, buckets int").json(f"{self.path}/marker").orderBy("data").first()
+            mark = self.spark.read.schema(MARK).json(f"{self.path}/marker").orderBy("data").first()
             self.buckets = mark.buckets
-            self._table = self.spark.read.parquet(f"{self.path}/{mark.data}")
+            schema = T.StructType.fromJson(json.loads(mark.schema))  # a table without rows has no files to tell it
+            self._table = self.spark.read.schema(schema).parquet(f"{self.path}/{mark.data}")
         return self._table
 
     def of(self, frontier: DataFrame, n: int) -> DataFrame:

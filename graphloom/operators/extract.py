@@ -6,7 +6,7 @@ import ast
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dirname, join_path
@@ -119,17 +119,18 @@ def nodes(parsed: DataFrame) -> DataFrame:
     return n.select("id", F.col("kind").alias("type"), "name", "path", F.struct("path", rank.alias("r"), "start_line", "id").alias("ord"), "start_line", "end_line", "docstring", F.when(F.col("kind") == "function", F.col("ref")).alias("signature"), F.col("value").alias("complexity"))
 
 
+def candidates(path: Column, ref: Column, level: Column) -> Column:
+    """The four files that an import may mean, in order; ``from .m import x`` looks from its level's folder."""
+    mod, here, up_by = F.regexp_replace(ref, r"\.", "/"), dirname(path), F.coalesce(level, F.lit(0))
+    up = F.aggregate(F.sequence(F.lit(1), F.greatest(up_by.cast("int"), F.lit(1))), here, lambda d, k: F.when(k == 1, d).otherwise(dirname(d)))
+    root = F.when(up_by > 0, up).otherwise("")
+    near = F.when(up_by > 0, up).otherwise(here)
+    return F.array(join_path(near, F.concat(mod, F.lit(".py"))), join_path(near, F.concat(mod, F.lit("/__init__.py"))), join_path(root, F.concat(mod, F.lit(".py"))), join_path(root, F.concat(mod, F.lit("/__init__.py"))))
+
+
 def resolve_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """path, ref, line, target: the first of four candidate files that exists; unresolved imports are external and left out.
-
-    ``from .m import x`` looks from its level's folder."""
-    mod = F.regexp_replace("ref", r"\.", "/")
-    here = dirname(F.col("path"))
-    up = F.aggregate(F.sequence(F.lit(1), F.greatest(F.coalesce("value", F.lit(0)).cast("int"), F.lit(1))), here, lambda d, k: F.when(k == 1, d).otherwise(dirname(d)))
-    root = F.when(F.coalesce("value", F.lit(0)) > 0, up).otherwise("")
-    near = F.when(F.coalesce("value", F.lit(0)) > 0, up).otherwise(here)
-    candidates = F.array(join_path(near, F.concat(mod, F.lit(".py"))), join_path(near, F.concat(mod, F.lit("/__init__.py"))), join_path(root, F.concat(mod, F.lit(".py"))), join_path(root, F.concat(mod, F.lit("/__init__.py"))))
-    c = refs.select("path", "ref", F.col("start_line").alias("line"), F.posexplode(candidates).alias("k", "target"))
+    """path, ref, line, target: the first of four candidate files that exists; unresolved imports are external and left out."""
+    c = refs.select("path", "ref", F.col("start_line").alias("line"), F.posexplode(candidates(F.col("path"), F.col("ref"), F.col("value"))).alias("k", "target"))
     known = files.select(F.col("path").alias("target")).distinct()
     return c.join(known, "target").groupBy("path", "ref", "line").agg(F.min_by("target", "k").alias("target"))
 

@@ -34,13 +34,16 @@ def _(spark, d):
     return t.select("p_partkey", services.kafka_name(F.col("topic")).alias("service"))
 
 
+def source_files(of, step=1, own="helper_"):
+    """A small Python file for each k of ``of``: module m<k>, which imports and calls the one ``step`` before it."""
+    k, prev = "CAST(k AS STRING)", f"CAST(k - {step} AS STRING)"
+    text = f"concat('import pkg.m', {prev}, '\\nfrom os import path\\n\\nclass C', {k}, '(C', {prev}, '):\\n    \"\"\"doc\"\"\"\\n    def run(self, x):\\n        if x and x > 1:\\n            helper_', {prev}, '(x)\\n        return self.run(x)\\n\\ndef {own}', {k}, '(x):\\n    return helper_', {prev}, '(inner(x))\\n')"
+    return of.selectExpr(f"concat('pkg/m', {k}, '.py') AS path", f"CAST({text} AS BINARY) AS content")
+
+
 def sources(spark, d):
-    """A small Python file for each supplier: module m<k>, which imports and calls the one before it."""
-    s = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey + 1 AS s_suppkey")
-    k = "CAST(s_suppkey AS STRING)"
-    prev = "CAST(s_suppkey - 1 AS STRING)"
-    text = f"concat('import pkg.m', {prev}, '\\nfrom os import path\\n\\nclass C', {k}, '(C', {prev}, '):\\n    \"\"\"doc\"\"\"\\n    def run(self, x):\\n        if x and x > 1:\\n            helper_', {prev}, '(x)\\n        return self.run(x)\\n\\ndef helper_', {k}, '(x):\\n    return helper_', {prev}, '(inner(x))\\n')"
-    return s.selectExpr(f"concat('pkg/m', {k}, '.py') AS path", f"CAST({text} AS BINARY) AS content")
+    """The files of all suppliers."""
+    return source_files(spark.read.parquet(f"{d}/supplier.parquet").selectExpr("s_suppkey + 1 AS k"))
 
 
 SUP = "sup AS (SELECT s_suppkey + 1 AS s_suppkey FROM supplier)"

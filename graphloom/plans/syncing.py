@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import diff, sync, usage
+from ..operators import diff, incremental, sync, usage
 from ..operators.formats import escaped, markdown_by_file
 from ..plugins import choose
 from ..sources.graph import G, edges, nodes
 from ..streaming import webhooks
+from .extraction import source_files, sources
 from .filters import FILES, files
 from .graphs import FG
 from .registry import query
@@ -51,6 +52,29 @@ def _(spark, d):
     return sync.apply_changes(n, e, changes, new, e.limit(0))[0].select("id", "path")
 
 
+EDITED = """WITH sup AS (SELECT s_suppkey + 1 AS k FROM supplier), f AS (
+  SELECT k, CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END AS step, CASE WHEN k % 5 = 0 THEN 'aid_' ELSE 'helper_' END AS own FROM sup WHERE k % 7 <> 0
+  UNION ALL SELECT k + 1000000, 1, 'helper_' FROM sup WHERE k % 7 = 0)"""
+
+
+@query("incremental_edges", f"""{EDITED}
+SELECT 'pkg/m' || f.k || '.py' AS source, 'pkg/m' || g.k || '.py' AS target, 'IMPORTS' AS type, 1 AS line FROM f JOIN f g ON g.k = f.k - f.step
+UNION ALL SELECT 'C' || f.k, 'C' || g.k, 'EXTENDS', 4 FROM f JOIN f g ON g.k = f.k - f.step
+UNION ALL SELECT 'C' || f.k || '::run', 'helper_' || g.k, 'CALLS', 8 FROM f JOIN f g ON g.k = f.k - f.step AND g.own = 'helper_'
+UNION ALL SELECT f.own || f.k, 'helper_' || g.k, 'CALLS', 12 FROM f JOIN f g ON g.k = f.k - f.step AND g.own = 'helper_'""")
+def _(spark, d):
+    """Files of every seventh supplier are deleted and come again under new names, every fifth is rewritten."""
+    graph = incremental.RepoGraph.build(sources(spark, d))
+    k = F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    all_ = sources(spark, d).select("path", k.alias("k"))
+    gone, edited = F.col("k") % 7 == 0, (F.col("k") % 5 == 0) & (F.col("k") % 7 != 0)
+    changes = all_.where(gone | edited).select("path", F.when(gone, "deleted").otherwise("modified").alias("change_type"), F.lit(None).cast("string").alias("old_path"))
+    added = source_files(all_.where(gone).select((F.col("k") + 1_000_000).alias("k")))
+    changes = changes.union(added.select("path", F.lit("added"), F.lit(None)))
+    new = source_files(all_.where(edited).select("k"), step=2, own="aid_").union(added)
+    return incremental.update(graph, changes, new)[0].edges.select("source", "target", "type", "line")
+
+
 @query("edge_recalc_counts", f"WITH {G}, a AS (SELECT DISTINCT source, target, type FROM edges WHERE ord % 10 <> 0), b AS (SELECT DISTINCT source, target, type FROM edges WHERE ord % 7 <> 0) SELECT (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS added, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS removed, (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS kept")
 def _(spark, d):
     e = edges(spark, d)
