@@ -13,7 +13,7 @@ or more; what is returned is exact: the components of all such links.
    near. Two texts x, y of one pivot that link, and don't both link to it, must differ from p in a common element: else |x - y| would be
    |x - p| + |y - p|, by the triangle inequality no less than one of them, so both would be near p. So texts are moved: from here on a text is its
    difference from its pivot, which is short, and without what a family of texts has in common.
-3. Recursion. A region whose texts are in one component already is done. One of ``SMALL`` texts and ``BYTES`` at most is
+3. Recursion. A region whose texts are known to be in one component is done. One of ``SMALL`` texts and ``BYTES`` at most is
    joined at once, by products of incidence matrices. A larger one is cut by elements of the differences: by the triangle inequality a partner differs
    from p by no less than |x - p| less what a link allows, so the two share so many elements that the first few of each, in one order
    (what p lacks first, as it is rare), have one in common. Each part gets a pivot of its own, and so on; each step
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +47,8 @@ SMALL, BYTES = 2048, 8 << 20
 LOT = 4 << 20
 #: Elements (columns of an incidence matrix) multiplied at once.
 COLUMNS = 1024
-_LOW = np.uint64((1 << 63) - 1)
-_HIGH = np.uint64(1 << 63)
+#: Texts of a large region, about, that tell which elements are frequent in it, and how many such elements are put last.
+SAMPLE, FREQUENT = 256, 512
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -96,23 +97,27 @@ def projections(sets: list[np.ndarray], up: int, down: int) -> tuple[np.ndarray,
     return of[order], values[order]
 
 
+def described(sets: list[np.ndarray], up: int, down: int) -> dict[str, pa.Array]:
+    """node (a hash of the set), n (its size), regions (values of its projections)."""
+    import xxhash
+
+    of, values = projections(sets, up, down)
+    ends = np.searchsorted(of, np.arange(len(sets) + 1)).astype(np.int32)
+    return {
+        "node": pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)),
+        "n": pa.array([len(s) for s in sets], pa.int64()),
+        "regions": pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64))),
+    }
+
+
 def signatures(docs: DataFrame, width: int, up: int, down: int) -> DataFrame:
-    """doc_id, text_key, node (a hash of the set), n (its size), regions (values of its projections)."""
+    """doc_id, text_key, and what ``described`` says of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             for b in lots(batch, LOT):
                 sets = [ngrams(t, width) for t in b.column("text").to_pylist()]
-                of, values = projections(sets, up, down)
-                ends = np.searchsorted(of, np.arange(len(sets) + 1)).astype(np.int32)
-                own = {
-                    "node": pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)),
-                    "n": pa.array([len(s) for s in sets], pa.int64()),
-                    "regions": pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64))),
-                }
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key")} | own)
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key")} | described(sets, up, down))
 
     return _texts(docs, "doc_id", "text_key").mapInArrow(run, "doc_id long, text_key long, node long, n long, regions array<long>")
 
@@ -142,20 +147,22 @@ def similar(n: int, m: int, gap: int, up: int, down: int) -> bool:
 
 
 def _moved(rows: DataFrame, up: int, down: int) -> DataFrame:
-    """``rows`` (region, node, n, d, lone, pivot, pivot_n, pivot_d) with d as the difference from the pivot, and linked.
-    Elements that the pivot has are marked by the highest bit, so they come last."""
+    """``rows`` (region, node, n, d, root, lone, pivot, pivot_n, pivot_d, pivot_root) with d as the difference from the pivot,
+    linked, and the root as far as it is known: texts of one root are in one component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             moved, linked = [], []
             for n, d, lone, m, p in zip(*[b.column(c).to_pylist() for c in ("n", "d", "lone", "pivot_n", "pivot_d")], strict=True):
-                x, p = np.frombuffer(d, dtype=np.uint64) & _LOW, np.frombuffer(p, dtype=np.uint64) & _LOW
-                gap = np.setxor1d(x, p, assume_unique=True)
+                gap = np.setxor1d(np.frombuffer(d, dtype=np.uint64), np.frombuffer(p, dtype=np.uint64), assume_unique=True)
                 linked.append(similar(n, m, len(gap), up, down))
-                moved.append(b"" if lone else np.sort(gap | np.where(np.isin(gap, p, assume_unique=True), _HIGH, np.uint64(0))).tobytes())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("region", "node", "n", "pivot")], pa.array(moved, pa.binary()), pa.array(linked, pa.bool_())], ["region", "node", "n", "pivot", "d", "linked"])
+                moved.append(b"" if lone else gap.tobytes())
+            near = pa.array(linked, pa.bool_())
+            root = pc.if_else(near, b.column("pivot_root"), b.column("root"))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("region", "node", "n", "pivot")], root, pa.array(moved, pa.binary()), near], ["region", "node", "n", "pivot", "root", "d", "linked"])
 
-    return rows.select("region", "node", "n", "d", "lone", "pivot", "pivot_n", "pivot_d").mapInArrow(run, "region long, node long, n long, pivot long, d binary, linked boolean")
+    columns = ["region", "node", "n", "d", "root", "lone", "pivot", "pivot_n", "pivot_d", "pivot_root"]
+    return rows.select(*columns).mapInArrow(run, "region long, node long, n long, pivot long, root long, d binary, linked boolean")
 
 
 def joined(nodes: np.ndarray, n: np.ndarray, d: list[np.ndarray], up: int, down: int) -> list[tuple[int, int]]:
@@ -203,18 +210,44 @@ def _direct(members: DataFrame, up: int, down: int) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
+def _frequent(members: DataFrame) -> DataFrame:
+    """region, often (elements that several of about SAMPLE of its texts have, as bytes), times (how many)."""
+    some = members.where(F.pmod(F.xxhash64("node", "region"), F.ceil(F.col("members") / SAMPLE)) == 0).groupBy("region").agg(F.collect_list("d").alias("d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            often, times = [], []
+            for d in b.column("d").to_pylist():
+                value, count = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in d]), return_counts=True)
+                top = np.sort(np.argsort(-count, kind="stable")[: min(FREQUENT, int((count > 1).sum()))])
+                often.append(value[top].tobytes())
+                times.append(count[top].astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_pydict({"region": b.column("region"), "often": pa.array(often, pa.binary()), "times": pa.array(times, pa.binary())})
+
+    return some.mapInArrow(run, "region long, often binary, times binary")
+
+
 def _parts(members: DataFrame, up: int, down: int) -> DataFrame:
     """region, node, root, part: the parts of large regions that a text belongs to, by the first elements of its difference."""
 
+    def first(d: bytes, often: bytes | None, times: bytes | None, n: int) -> np.ndarray:
+        d, often = np.frombuffer(d, dtype=np.uint64), np.frombuffer(often or b"", dtype=np.uint64)
+        count = np.zeros(len(d), dtype=np.int64)
+        if len(often):
+            at = np.minimum(np.searchsorted(often, d), len(often) - 1)
+            count = np.where(often[at] == d, np.frombuffer(times, dtype=np.int64)[at], 0)
+        return d[np.lexsort((_mixed(d), count))[: n * (down - up) // up + 1]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            first = [np.frombuffer(d, dtype=np.uint64)[: n * (down - up) // up + 1] for n, d in zip(b.column("n").to_pylist(), b.column("d").to_pylist(), strict=True)]
-            at = np.repeat(np.arange(b.num_rows), [len(x) for x in first])
+            found = [first(*x) for x in zip(*[b.column(c).to_pylist() for c in ("d", "often", "times", "n")], strict=True)]
+            at = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
             region = np.asarray(b.column("region")).view(np.uint64)[at]
-            part = _mixed(np.concatenate([*first, np.zeros(0, dtype=np.uint64)]) + region * _ODD[2])
+            part = _mixed(np.concatenate([*found, np.zeros(0, dtype=np.uint64)]) + region * _ODD[2])
             yield pa.RecordBatch.from_pydict({c: b.column(c).take(pa.array(at)) for c in ("region", "node", "root")} | {"part": pa.array(part.view(np.int64))})
 
-    return members.select("region", "node", "root", "n", "d").mapInArrow(run, "region long, node long, root long, part long")
+    rows = members.join(_frequent(members), "region", "left")
+    return rows.select("region", "node", "root", "n", "d", "often", "times").mapInArrow(run, "region long, node long, root long, part long")
 
 
 def pivots(nodes: DataFrame) -> DataFrame:
@@ -230,31 +263,30 @@ def links(pairs: DataFrame, sets: DataFrame, up: int, down: int, given: DataFram
     alone = pairs.groupBy("region").agg((F.count("*") == 1).alias("lone"))
     of = lambda df, **names: df.select(*[F.col(c).alias(names.get(c, c)) for c in ("node", "n", "d")])
     rows = pairs.join(of(sets), "node").join(alone, "region").join(of(sets, node="region", n="pivot_n", d="pivot_d"), "region")
-    members = cut(_moved(rows.withColumn("pivot", F.col("region")), up, down), "jaccard-moved")
+    members = cut(_moved(rows.withColumns({"pivot": F.col("region"), "root": F.col("node"), "pivot_root": F.col("region")}), up, down), "jaccard-moved")
 
     def ends(m: DataFrame) -> DataFrame:
         return m.where("linked").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
 
-    found = cut(ends(members) if given is None else ends(members).union(given.select("a", "b")), "jaccard-links")
+    found = ends(members) if given is None else ends(members).union(given.select("a", "b"))
     while True:
-        roots = contract(found)
-        m = members.where("d <> X''").join(roots, "node", "left").select("region", "node", "n", "d", F.coalesce("root", "node").alias("root"))
+        m = members.where("d <> X''").select("region", "node", "n", "d", "root")
         sizes = m.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.length("d")).alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high"))
         rest = cut(m.join(sizes.where("low < high").select("region", "members", "bytes"), "region"), "jaccard-rest")
         at_once = (F.col("members") <= small) & (F.col("bytes") <= BYTES)
         found = found.union(cut(_direct(rest.where(at_once), up, down), "jaccard-links"))
-        large = rest.where(~at_once).drop("members", "bytes")
+        large = rest.where(~at_once).drop("bytes")
         if large.isEmpty():
             return found
         # equal differences to a pivot are no two sets, so each part loses its pivot, and only that can be without a difference
         parts = cut(_parts(large, up, down), "jaccard-parts")
-        first = parts.groupBy("part").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "region")).alias("f"))
-        first = cut(first.where("low < high").select("part", (F.col("c") == 2).alias("lone"), F.col("f.node").alias("pivot"), F.col("f.region").alias("region")), "jaccard-pivots")
+        first = parts.groupBy("part").agg(F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "region", "root")).alias("f"))
+        first = cut(first.where("low < high").select("part", (F.col("c") == 2).alias("lone"), F.col("f.node").alias("pivot"), F.col("f.region").alias("region"), F.col("f.root").alias("pivot_root")), "jaccard-pivots")
         pivot = first.join(large.select("region", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("d").alias("pivot_d")), ["region", "pivot"]).drop("region")
         own = parts.join(first.select("part"), "part").join(large.select("region", "node", "n", "d"), ["region", "node"]).drop("region")
         rows = own.join(pivot, "part").where("node <> pivot").withColumnRenamed("part", "region")
         members = cut(_moved(rows, up, down), "jaccard-moved")
-        found = cut(found.union(ends(members)), "jaccard-links")
+        found = found.union(ends(members))
 
 
 def components(docs: DataFrame, width: int = WIDTH, up: int = UP, down: int = DOWN, small: int = SMALL) -> DataFrame:
