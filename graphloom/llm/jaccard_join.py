@@ -257,7 +257,7 @@ def pivots(nodes: DataFrame) -> DataFrame:
     return rows.join(first, "value").where("node <> region").select("region", "node").distinct()
 
 
-def links(pairs: DataFrame, sets: DataFrame, up: int, down: int, given: DataFrame | None = None, small: int = SMALL) -> DataFrame:
+def links(pairs: DataFrame, sets: DataFrame, up: int, down: int, given: DataFrame | None = None, small: int | None = None) -> DataFrame:
     """a, b: links that connect texts exactly as all similar pairs within a region do. ``pairs``: what ``pivots`` returns;
     ``sets``: their node, n, d; ``given``: links that are known already, kept in the result."""
     alone = pairs.groupBy("region").agg((F.count("*") == 1).alias("lone"))
@@ -273,7 +273,7 @@ def links(pairs: DataFrame, sets: DataFrame, up: int, down: int, given: DataFram
         m = members.where("d <> X''").select("region", "node", "n", "d", "root")
         sizes = m.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.length("d")).alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high"))
         rest = cut(m.join(sizes.where("low < high").select("region", "members", "bytes"), "region"), "jaccard-rest")
-        at_once = (F.col("members") <= small) & (F.col("bytes") <= BYTES)
+        at_once = (F.col("members") <= (small or SMALL)) & (F.col("bytes") <= BYTES)
         found = found.union(cut(_direct(rest.where(at_once), up, down), "jaccard-links"))
         large = rest.where(~at_once).drop("bytes")
         if large.isEmpty():
@@ -289,7 +289,7 @@ def links(pairs: DataFrame, sets: DataFrame, up: int, down: int, given: DataFram
         found = found.union(ends(members))
 
 
-def components(docs: DataFrame, width: int = WIDTH, up: int = UP, down: int = DOWN, small: int = SMALL) -> DataFrame:
+def components(docs: DataFrame, width: int = WIDTH, up: int = UP, down: int = DOWN, small: int | None = None) -> DataFrame:
     """doc_id, n_shingles (distinct n-grams), component_id (the smallest doc_id reachable by links)."""
     importable(docs.sparkSession)
     d = keyed(docs.select(F.col("doc_id").cast("long"), "text"))
