@@ -10,7 +10,7 @@ or more; what is returned is exact: the components of all such links.
    projections of so few elements are pivots with Voronoi regions of radius 0; a text lies in about n / 6 of them, at 9/10. Nodes
    whose parent is at the boundary (one element fewer could have stopped there) are taken as well, so each linked pair has a region in common.
 2. Pivots. The texts of a region, or of several with the same first text, go to that text as their pivot p: exact distances to it, links if
-   near. Two texts x, y of one pivot that link, and don't both link to it, must differ from p in a common element: else |x - y| would be
+   near. Large regions that share texts are merged around one pivot. Two texts x, y of one pivot that link, and don't both link to it, must differ from p in a common element: else |x - y| would be
    |x - p| + |y - p|, by the triangle inequality no less than one of them, so both would be near p. So texts are moved: from here on a text is its
    difference from its pivot, which is short, and without what a family of texts has in common.
 3. Recursion. A region whose texts are known to be in one component is done. One of ``SMALL`` texts and ``BYTES`` at most is
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, few, importable, keyed, lots, on_key
@@ -260,20 +260,36 @@ def pivots(nodes: DataFrame) -> DataFrame:
 def links(pairs: DataFrame, sets: DataFrame, up: int, down: int, given: DataFrame | None = None, small: int | None = None) -> DataFrame:
     """a, b: links that connect texts exactly as all similar pairs within a region do. ``pairs``: what ``pivots`` returns;
     ``sets``: their node, n, d; ``given``: links that are known already, kept in the result."""
-    alone = pairs.groupBy("region").agg((F.count("*") == 1).alias("lone"))
     of = lambda df, **names: df.select(*[F.col(c).alias(names.get(c, c)) for c in ("node", "n", "d")])
-    rows = pairs.join(of(sets), "node").join(alone, "region").join(of(sets, node="region", n="pivot_n", d="pivot_d"), "region")
-    members = cut(_moved(rows.withColumns({"pivot": F.col("region"), "root": F.col("node"), "pivot_root": F.col("region")}), up, down), "jaccard-moved")
+
+    def moved(pairs: DataFrame) -> DataFrame:
+        alone = pairs.groupBy("region").agg((F.count("*") == 1).alias("lone"))
+        rows = pairs.join(of(sets), "node").join(alone, "region").join(of(sets, node="region", n="pivot_n", d="pivot_d"), "region")
+        return cut(_moved(rows.withColumns({"pivot": F.col("region"), "root": F.col("node"), "pivot_root": F.col("region")}), up, down), "jaccard-moved")
 
     def ends(m: DataFrame) -> DataFrame:
         return m.where("linked").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
 
+    def is_small(members: str, length: str) -> Column:
+        return (F.col(members) <= (small or SMALL)) & (F.col(length) <= BYTES)
+
+    members = moved(pairs)
     found = ends(members) if given is None else ends(members).union(given.select("a", "b"))
+    sizes = cut(members.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.length("d")).alias("bytes")).where(~is_small("members", "bytes")), "jaccard-large")
+    if not sizes.isEmpty():
+        # large regions that share texts become one, so that a text is in one of them only: the pivot of the largest serves all
+        own = members.join(sizes, "region", "left_semi").select("region", "node")
+        root = contract(own.select(F.col("region").alias("a"), F.col("node").alias("b")))
+        root = cut(root.select(F.col("node").alias("of"), F.col("root").alias("group")).union(root.select(F.col("root"), F.col("root")).distinct()), "jaccard-groups")
+        pivot = sizes.join(root, sizes["region"] == root["of"]).groupBy("group").agg(F.max(F.struct("members", "region"))["region"].alias("region"))
+        merged = moved(root.join(pivot, "group").select("region", F.col("of").alias("node")).where("region <> node"))
+        found = found.union(ends(merged))
+        members = members.join(sizes, "region", "left_anti").select(*merged.columns).union(merged)
     while True:
         m = members.where("d <> X''").select("region", "node", "n", "d", "root")
         sizes = m.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.length("d")).alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high"))
         rest = cut(m.join(sizes.where("low < high").select("region", "members", "bytes"), "region"), "jaccard-rest")
-        at_once = (F.col("members") <= (small or SMALL)) & (F.col("bytes") <= BYTES)
+        at_once = is_small("members", "bytes")
         found = found.union(cut(_direct(rest.where(at_once), up, down), "jaccard-links"))
         large = rest.where(~at_once).drop("bytes")
         if large.isEmpty():

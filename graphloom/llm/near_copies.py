@@ -1,24 +1,18 @@
 """The wide side of op 1: near copies by exact Jaccard similarity of five-word shingles, as the pipeline's stage needs them.
 
-Two texts are near copies if the sets of their ``width``-word shingles have Jaccard similarity ``LEAST`` or more;
-groups are the connected components of that relation. Every link is verified on the shingle sets.
+Two texts are near copies if the sets of their ``width``-word shingles have Jaccard similarity ``UP / DOWN`` or more;
+groups are the connected components of that relation. The result is exact, for every link and for every missing one.
 
-Candidates come in two steps. First covering SimHash (``simhash_dedup.links``): fingerprints of the five-word shingles
-within two bits. At similarity 0.8 two fingerprints differ in about 10 of 64 bits, and a radius that covers nearly all
-such pairs (19) would take a million masks, so SimHash alone can't give this relation. The second step is therefore
-MinHash, ``BANDS`` bands of ``ROWS`` minima of the same shingle hashes, each cut to its low byte. Two texts at similarity
-s share no band with probability (1 - s^8)^64 at most: 8e-6 at 0.8, less above.
-
-A bucket (band, minima) is first compared with one leader, by an order that all bands share; then whoever isn't in the
-bucket's largest component with one text of that, another in each band. So a large group of near copies costs a few
-comparisons a text. Of what remains, texts still in different components meet by blocks, and only pairs whose 512 minima
-agree in 0.72 or more are formed, each in the first band that its texts share, and compared exactly; a pair at
-similarity 0.8 agrees in less with probability 3e-6 (computed). No bucket is capped.
+Links come in two steps. First covering SimHash (``simhash_dedup.links``): fingerprints of the five-word shingles
+within two bits, each pair verified on the sets. At similarity 0.8 two fingerprints differ in about 10 of 64 bits, and a radius
+that covers nearly all such pairs (19) would take a million masks, so SimHash alone can't give this relation. All other links come from
+the join of ``jaccard_join``: regions that each similar pair shares, pivots, and differences from these. Neither step lists
+the pairs of a group of near copies.
 
 Defined cases: letters A to Z are lower-cased, words are cut at ASCII white space; texts under ``width`` words are one shingle;
 null and empty texts are copies of each other; rows without id stay and are no one's copy; repeated rows of one id all
-stay or all go; among ties the smallest id stays; very long texts are hashed in bounded steps; other columns, whatever
-their names, are kept.
+stay or all go; among ties the smallest id stays; very long texts are hashed in lots of a few MB, one text at least; other columns,
+whatever their names, are kept; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,68 +24,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, importable, keyed, on_key
+from . import jaccard_join
+from .common import cut, fresh, importable, keyed, lots, on_key
 from .simhash_dedup import contract, links, majority
 
-WIDTH, BANDS, ROWS = 5, 64, 8
-#: Share of equal minima that a pair of the last step needs to be compared: 4.5 standard deviations below 0.8.
-HOPE = 0.72
-#: Texts of a block in that step, about.
-BLOCK = 64
-#: 4/5, as integers.
-LEAST = (4, 5)
-#: Of 32 bits: products of 64 take ten times as long.
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 31, (2, BANDS * ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-
-
-def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct XXH64 of the ``width``-word shingles."""
-    import xxhash
-
-    w = text.lower().split()  # of bytes: ASCII letters and ASCII white space only
-    if not w:
-        return np.zeros(0, dtype="<u8")
-    runs = map(b" ".join, zip(*[w[i:] for i in range(width)], strict=False)) if len(w) >= width else [b" ".join(w)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 7) for s in runs), dtype="<u8"))
-
-
-def minima(grams: np.ndarray) -> np.ndarray:
-    """The least value of the shingles under each of BANDS * ROWS hashes, of 32 bits."""
-    least, short = np.full(BANDS * ROWS, (1 << 32) - 1, dtype=np.uint32), grams.astype(np.uint32)
-    for at in range(0, len(short), 256):
-        least = np.minimum(least, ((short[at : at + 256, None] ^ _FACTORS[0]) * _FACTORS[1]).min(axis=0))
-    return least
-
-
-def bands(least: np.ndarray) -> list[int]:
-    """A signed 64-bit value for each band of ``minima``: of its low bytes, so that these tell which bands two texts share."""
-    import xxhash
-
-    rows = least.astype(np.uint8).reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], dtype=np.uint64).view(np.int64).tolist()
+WIDTH, UP, DOWN = 5, 4, 5
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, node (a hash of the shingle set), n (its size), fp (its SimHash), bands, low (a byte of each minimum)."""
+    """doc_id, text_key, node (a hash of the shingle set), n (its size), fp (its SimHash), regions (see ``jaccard_join``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in batches:
-            grams = [shingles(t) for t in b.column("text").to_pylist()]
-            least = [minima(g) for g in grams]
-            signed = lambda values: pa.array(np.array(values, dtype=np.uint64).view(np.int64))
-            own = {
-                "node": signed([xxhash.xxh64_intdigest(g.tobytes()) for g in grams]),
-                "n": pa.array(map(len, grams), pa.int32()),
-                "fp": signed([majority(g) for g in grams]),
-                "bands": pa.array([bands(x) for x in least], pa.list_(pa.int64())),
-                "low": pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary()),
-            }
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key")} | own)
+        for batch in batches:
+            for b in lots(batch, jaccard_join.LOT):
+                sets = [jaccard_join.ngrams(t, WIDTH) for t in b.column("text").to_pylist()]
+                fp = np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "fp": pa.array(fp)} | jaccard_join.described(sets, UP, DOWN))
 
     d = docs.select(F.col("doc_id").cast("long"), "text_key", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return d.mapInArrow(run, "doc_id long, text_key long, node long, n int, fp long, bands array<long>, low binary")
+    return d.mapInArrow(run, "doc_id long, text_key long, fp long, node long, n long, regions array<long>")
 
 
 def _within_radius(nodes: DataFrame) -> DataFrame:
@@ -103,68 +54,19 @@ def _within_radius(nodes: DataFrame) -> DataFrame:
     return same.union(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
-def _grams(docs: DataFrame) -> DataFrame:
-    """node, grams (the shingle set as bytes); ``docs`` has node and text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({"node": b.column("node"), "grams": pa.array([shingles(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())})
-
-    return docs.select("node", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, "node long, grams binary")
-
-
-def _perhaps(rest: DataFrame) -> DataFrame:
-    """a, b: pairs of a bucket (value, band, main, node, n, root, low) in different components, one of them not the main
-    one, whose minima agree in ``HOPE`` at least. Blocks of texts meet single ones, so no row is made for a pair that
-    fails, and a pair is made once: in the first band that its texts share, and there from its smaller node if neither
-    is in the main component (else both would be met from either side)."""
-    up, down = LEAST
-    outside = rest.where("root <> main")
-    blocks = outside.groupBy("value").agg(F.count("*").alias("c"))
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK))
-    x = outside.join(blocks, "value").groupBy("value", block.alias("block")).agg(F.collect_list(F.struct("node", "n", "root", "low")).alias("l"))
-    x = x.select("value", *[F.transform("l", lambda s: s[c]).alias(f"{c}s") for c in ("node", "n", "root", "low")])  # noqa: B023
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one = {c: np.asarray(batch.column(c)) for c in ("node", "n", "root", "main", "band")}
-            some = {c: [np.asarray(r.values) for r in batch.column(c)] for c in ("nodes", "ns", "roots")}
-            lows, low = batch.column("lows"), batch.column("low")
-            a, b = [], []
-            for i in range(batch.num_rows):
-                n = some["ns"][i].astype(np.int64)
-                fit = (some["roots"][i] != one["root"][i]) & (down * np.minimum(n, one["n"][i]) >= up * np.maximum(n, one["n"][i]))
-                if one["root"][i] != one["main"][i]:
-                    fit &= some["nodes"][i] > one["node"][i]
-                if not fit.any():
-                    continue
-                theirs = np.frombuffer(b"".join(lows[i].as_py()), dtype=np.uint8).reshape(len(n), -1)
-                agree = theirs == np.frombuffer(low[i].as_py(), dtype=np.uint8)
-                here = agree.reshape(len(n), BANDS, ROWS).all(axis=2).argmax(axis=1) == one["band"][i]
-                near = some["nodes"][i][fit & here & (agree.mean(axis=1) >= HOPE)]
-                a.append(np.minimum(near, one["node"][i]))
-                b.append(np.maximum(near, one["node"][i]))
-            empty = [np.zeros(0, dtype=np.int64)]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(a or empty)), "b": pa.array(np.concatenate(b or empty))})
-
-    return x.join(rest.select("value", "band", "main", "node", "n", "root", "low"), "value").drop("value").mapInArrow(run, "a long, b long")
-
-
-def _alike(pairs: DataFrame, grams: DataFrame) -> DataFrame:
-    """a, b: the pairs at similarity ``LEAST`` or more."""
-    up, down = LEAST
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: the pairs that are near copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(down * both >= up * (len(x) + len(y) - both))
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                keep.append(jaccard_join.similar(len(x), len(y), len(np.setxor1d(x, y, assume_unique=True)), UP, DOWN))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    g = lambda node, value: grams.select(F.col("node").alias(node), F.col("grams").alias(value))
-    return pairs.join(g("a", "x"), "a").join(g("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    of = lambda node, value: sets.select(F.col("node").alias(node), F.col("d").alias(value))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,38 +74,15 @@ def roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     importable(docs.sparkSession)
     d = keyed(docs.where("doc_id IS NOT NULL"))
     signed = cut(_signatures(d), "near-signatures")
-    one = signed.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), *[F.first(c).alias(c) for c in ("n", "fp", "bands", "low")])
-    nodes = cut(one.select("node", "n", "fp", "bands", "low", "at.*"), "near-nodes")
-    rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "value"))
-    # the same order of leaders in all bands: a text meets few different ones, however many buckets it is in
-    leader = rows.groupBy("value").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("l")).where("members > 1")
-    buckets = cut(rows.join(leader, "value").select("value", "band", "node", "n", "members", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n")), "near-buckets")
+    one = signed.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("fp").alias("fp"), F.first("regions").alias("regions"))
+    nodes = cut(one.select("node", "fp", "regions", "at.*"), "near-nodes")
     close = cut(_within_radius(nodes), "near-close")
-
-    def sized(x: str, y: str):
-        return LEAST[1] * F.least(x, y) >= LEAST[0] * F.greatest(x, y)
-
-    wanted = buckets.select("node").union(close.select("a")).union(close.select("b")).distinct()
-    at = nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "text_key")
-    grams = cut(_grams(d.join(at, on_key(d, at)).select("node", "text").dropDuplicates(["node"])), "near-grams")
-    stars = buckets.where("node <> leader").where(sized("n", "leader_n")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    found = cut(_alike(stars.union(close).distinct(), grams), "near-links")
-
-    def unsettled(root: DataFrame) -> DataFrame:
-        """value, band, node, n, root, main: buckets of several components; ``main`` is the largest of the bucket."""
-        own = buckets.where("members > 2").select("value", "band", "node", "n").join(root, "node", "left").select("value", "band", "node", "n", F.coalesce("root", "node").alias("root"))
-        parts = own.groupBy("value", "root").agg(F.count("*").alias("c")).groupBy("value").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("c", "root")).alias("main"))
-        return cut(own.join(parts.where("parts > 1"), "value").drop("parts"), "near-rest")
-
-    # who isn't in the main component meets one of its texts, another in each band
-    rest = unsettled(contract(found))
-    second = rest.where("root = main").groupBy("value").agg(F.min(F.struct(F.xxhash64("node", "value").alias("h"), "node", "n")).alias("l"))
-    again = rest.where("root <> main").join(second, "value").where(sized("n", "l.n")).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-    found = cut(found.union(_alike(again, grams)), "near-links")
-    # and what is then still apart meets all of the other components, the main one never itself
-    rest = unsettled(contract(found))
-    more = _perhaps(rest.join(nodes.select("node", "low"), "node"))
-    return signed, contract(found.union(cut(_alike(cut(more, "near-perhaps"), grams), "near-links")))
+    pairs = cut(jaccard_join.pivots(nodes), "near-regions")
+    ends = [pairs.select("region"), pairs.select("node"), close.select("a"), close.select("b")]
+    wanted = ends[0].union(ends[1]).union(ends[2]).union(ends[3]).distinct().withColumnRenamed("region", "node")
+    sets = cut(jaccard_join.sets_of(d, nodes, wanted, WIDTH), "near-sets")
+    given = cut(_alike(close, sets), "near-given")
+    return signed, contract(jaccard_join.links(pairs, sets, UP, DOWN, given))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import itertools
 import random
 
 import corpus_pipeline
-from graphloom.llm import near_copies
+from graphloom.llm import jaccard_join
 
 from .conftest import passage
 
@@ -71,26 +71,41 @@ def test_large_group_of_one_bucket(spark):
     assert {r.doc_id for r in got.collect()} == brute_kept(docs)
 
 
-def test_last_step_makes_each_pair_once(spark):
-    """Against all pairs: those that share a band, have fitting sizes and agree in enough minima, none twice."""
-    rnd, base, own = random.Random(6), passage(11, 300).split(), {}
-    for node in range(60):
+def test_family_of_near_copies_makes_no_pairs(spark, monkeypatch):
+    """Texts of one template, most pairs just under the threshold: rows grow with the texts, not with their square."""
+    rnd, docs, made = random.Random(6), [], {}
+    base = passage(11, 240).split()
+    for d in range(600):
         w = list(base)
-        for at in rnd.sample(range(len(w)), node // 4):
-            w[at] = f"y{node}_{at}"
-        grams = near_copies.shingles(" ".join(w).encode())
-        least = near_copies.minima(grams)
-        own[node] = (len(grams), near_copies.bands(least), least.astype("u1"))
-    members = {}
-    for node, (_, values, _) in own.items():
-        for band, value in enumerate(values):
-            members.setdefault((value, band), []).append(node)
-    rows = [(value, band, min(m), node, own[node][0], node, own[node][2].tobytes()) for (value, band), m in members.items() for node in m]
-    rest = spark.createDataFrame(rows, "value long, band int, main long, node long, n int, root long, low binary")
-    want = []
-    for a, b in itertools.combinations(own, 2):
-        (n, v, x), (m, w, y) = own[a], own[b]
-        if 5 * min(n, m) >= 4 * max(n, m) and (x == y).mean() >= near_copies.HOPE and any(p == q for p, q in zip(v, w, strict=True)):
-            want.append((a, b))
-    got = sorted(map(tuple, near_copies._perhaps(rest).collect()))
-    assert got == want and 60 < len(want) < 60 * 59 // 2
+        for at in rnd.sample(range(len(w)), 5 + d % 3):
+            w[at] = f"y{rnd.randrange(5000)}"
+        docs.append((d, " ".join(w)))
+    cut = jaccard_join.cut
+
+    def counted(df, what, *more):
+        out = cut(df, what, *more)
+        made[what] = made.get(what, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "cut", counted)
+    monkeypatch.setattr(jaccard_join, "SMALL", 400)
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == brute_kept(docs)
+    rows = {k: n for k, n in made.items() if k in ("jaccard-moved", "jaccard-parts", "jaccard-links")}
+    assert rows["jaccard-parts"] > 0 and max(rows.values()) < 80 * len(docs) < 600 * 599 / 2, rows
+
+
+def test_every_similarity_near_the_threshold(spark):
+    """Pairs of many lengths around similarity 0.8: found exactly if they reach it."""
+    rnd, docs = random.Random(8), []
+    for pair in range(150):
+        w = passage(900 + pair, rnd.randrange(6, 200)).split()
+        v = list(w)
+        for at in rnd.sample(range(len(v)), max(1, round(len(v) * rnd.uniform(0.01, 0.04)))):
+            v[at] = f"z{pair}_{at}"
+        docs += [" ".join(w), " ".join(v)]
+    docs = list(enumerate(docs))
+    near = [jaccard(sets(docs[k][1]), sets(docs[k + 1][1])) for k in range(0, 300, 2)]
+    assert sum(0.75 < s < 0.8 for s in near) > 10 and sum(0.8 <= s < 0.85 for s in near) > 10
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == brute_kept(docs)
