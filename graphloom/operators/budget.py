@@ -1,29 +1,72 @@
-"""Selecting nodes under a token budget. Requests are groups: each is settled by one fold or one task, so the
-unit of work is a request's candidates, however many requests there are."""
+"""Selecting nodes under a token budget. Requests are groups: greedy ones are folds, or rounds of prefix sums where a
+request has many candidates; a knapsack is one task's work, which the budget bounds."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import RESERVED_TOKENS, USEFUL_SHARE
+from ..scratch import cut
 
 
-def greedy(nodes: DataFrame, budget: int) -> DataFrame:
-    """req, ord, tokens of what is taken by score: what fits is taken, what doesn't is skipped; a first node over the budget is cut to it and ends the choice."""
+#: Candidates of a request that are settled by one fold; of more, prefixes are taken in rounds until so many are left.
+FOLD = 10_000
+
+
+def _folded(nodes: DataFrame) -> DataFrame:
+    """``greedy`` over one sorted array for each request; ``nodes`` has the budget that is left, and whether anything was used."""
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ord", F.col("tokens").cast("long").alias("tokens"))))
     state = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("over"), F.array().cast("array<struct<ord:bigint,tokens:bigint>>").alias("taken"))
+    left = F.col("left")
 
     def step(acc, n):
-        fits = ~acc["over"] & (acc["used"] + n["tokens"] <= budget)
-        cut = ~acc["over"] & ~fits & (acc["used"] == 0) & (n["tokens"] > budget)
-        take = F.when(fits, n["tokens"]).when(cut, F.lit(budget).cast("long"))
+        fits = ~acc["over"] & (acc["used"] + n["tokens"] <= left)
+        last = ~acc["over"] & ~fits & (acc["used"] == 0) & ~F.col("some") & (n["tokens"] > left)
+        take = F.when(fits, n["tokens"]).when(last, left)
         taken = F.when(take.isNotNull(), F.array_append(acc["taken"], F.struct(n["ord"].cast("long").alias("ord"), take.alias("tokens")))).otherwise(acc["taken"])
-        return F.struct((acc["used"] + F.coalesce(take, F.lit(0).cast("long"))).alias("used"), (acc["over"] | cut).alias("over"), taken.alias("taken"))
-
-    return nodes.groupBy("req").agg(ordered.alias("n")).select("req", F.explode(F.aggregate("n", state, step)["taken"]).alias("t")).select("req", "t.*")
+        return F.struct((acc["used"] + F.coalesce(take, F.lit(0).cast("long"))).alias("used"), (acc["over"] | last).alias("over"), taken.alias("taken"))
+
+    own = nodes.groupBy("req").agg(ordered.alias("n"), F.first("left").cast("long").alias("left"), F.first("some").alias("some"))
+    return own.select("req", F.explode(F.aggregate("n", state, step)["taken"]).alias("t")).select("req", "t.*")
+
+
+def greedy(nodes: DataFrame, budget: int, fold: int = FOLD) -> DataFrame:
+    """req, ord, tokens of what is taken by score: what fits is taken, what doesn't is skipped; a first node over the budget is cut to it and ends the choice.
+
+    A request of more than ``fold`` candidates is worked off in rounds: the longest prefix that fits is taken, what can't fit any
+    more is dropped, and so on. Its rows are sorted, and spill, but are never one array."""
+    nodes = nodes.select("req", "ord", "score", F.col("tokens").cast("long").alias("tokens"))
+    large = nodes.groupBy("req").agg(F.count("*").alias("n")).where(F.col("n") > fold).select("req")
+    start = {"left": F.lit(budget).cast("long"), "some": F.lit(False)}
+    if large.isEmpty():
+        return _folded(nodes.withColumns(start))
+    large = cut(large, "budget-large")
+    out = _folded(nodes.join(large, "req", "left_anti").withColumns(start))
+    rest = cut(nodes.join(large, "req", "left_semi").withColumns(start), "budget-rest")
+    # a node over the budget before which nothing is used
+    place = F.struct((-F.col("score")).alias("s"), "ord")
+    over = rest.where("tokens > 0").groupBy("req").agg(F.min(place).alias("at"), F.min_by("tokens", place).alias("t")).where(F.col("t") > budget)
+    cut_at = cut(over.select("req", "at"), "budget-over")
+    zero = rest.join(cut_at, "req").where((place < F.col("at")) & (F.col("tokens") == 0)).select("req", F.col("ord").cast("long").alias("ord"), "tokens")
+    out = out.union(zero).union(cut_at.select("req", F.col("at.ord").cast("long").alias("ord"), F.lit(budget).cast("long").alias("tokens")))
+    rest = rest.join(cut_at, "req", "left_anti").where(F.col("tokens") <= F.col("left"))
+    before = Window.partitionBy("req").orderBy(F.desc("score"), "ord").rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        rest = cut(rest.select("req", "ord", "score", "tokens", "left", "some").withColumn("upto", F.sum("tokens").over(before)), "budget-rest")
+        taken = rest.where(F.col("upto") <= F.col("left"))
+        out = out.union(taken.select("req", F.col("ord").cast("long").alias("ord"), "tokens"))
+        used = taken.groupBy("req").agg(F.sum("tokens").alias("used"))
+        after = rest.where(F.col("upto") > F.col("left")).join(used, "req", "left").withColumn("left", F.col("left") - F.coalesce("used", F.lit(0))).withColumn("some", F.lit(True))
+        rest = cut(after.where(F.col("tokens") <= F.col("left")).select("req", "ord", "score", "tokens", "left", "some"), "budget-left")
+        many = rest.groupBy("req").agg(F.count("*").alias("n")).where(F.col("n") > fold).select("req")
+        few = cut(rest.join(many, "req", "left_anti"), "budget-few")
+        out = out.union(_folded(few))
+        rest = rest.join(many, "req", "left_semi")
+        if rest.isEmpty():
+            return out
 
 
 def proportional(nodes: DataFrame, budget: int) -> DataFrame:

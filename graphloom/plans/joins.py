@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.constants import FUSION, PLANS, PRESETS
-from ..operators import diff, extract
+from ..operators import diff, extract, intervals
 from ..operators.impact import tests_of
 from ..operators.lookup import both_ends, first_nodes
 from ..sources.graph import G, edges, nodes
@@ -65,14 +65,14 @@ def _(spark, d):
 def _(spark, d):
     lines = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 5 = 0").selectExpr("concat('c:', o_custkey) AS path", "cast(o_orderkey % 400 AS int) AS line").distinct()
     n = nodes(spark, d).where("type = 'function'").select("id", "path", "start_line", "end_line")
-    return n.join(lines, (n["path"] == lines["path"]) & lines["line"].between(n["start_line"], n["end_line"]), "left_semi").select("id", "start_line", "end_line")
+    return intervals.hit_by(n, lines, "path", "line", "start_line", "end_line").select("id", "start_line", "end_line")
 
 
 @query("node_at_line", f"WITH {G}, q AS (SELECT DISTINCT path, start_line + 3 AS line FROM nodes WHERE type = 'function' AND ord % 2 = 0), h AS (SELECT q.path, q.line, n.id, row_number() OVER (PARTITION BY q.path, q.line ORDER BY n.end_line - n.start_line, n.ord) AS k FROM q JOIN nodes n ON n.path = q.path AND q.line BETWEEN n.start_line AND n.end_line) SELECT path, line::INT AS line, id FROM h WHERE k = 1")
 def _(spark, d):
     n = nodes(spark, d).select("id", "path", "start_line", "end_line", "ord", "type")
     q = n.where("type = 'function' AND ord % 2 = 0").select("path", (F.col("start_line") + 3).alias("line")).distinct()
-    hit = q.join(n.drop("type"), "path").where("line BETWEEN start_line AND end_line")
+    hit = intervals.containing(q, n.drop("type"), "path", "line", "start_line", "end_line")
     return hit.groupBy("path", "line").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "ord", "id")).alias("m")).select("path", F.col("line").cast("int").alias("line"), F.col("m.id").alias("id"))
 
 
