@@ -170,6 +170,30 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_table(table(spark, sf_dir, "embeddings"))
 
 
+def _code_rounds(rounds: int) -> str:
+    """CTEs of so many rounds: a<r> assigns parts to the entries of b<r-1>, b<r> are the entries after it."""
+    nearest = "SELECT p.vec_id, p.k, any_value(p.y) AS y, min(256 * list_sum(list_transform(list_zip(p.y, b.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT + b.e) AS best FROM p JOIN b{} b USING (k) GROUP BY ALL"
+    out = []
+    for r in range(1, rounds + 2):
+        out.append(f"a{r} AS MATERIALIZED (SELECT vec_id, k, y, best % 256 AS e, best // 256 AS d FROM ({nearest.format(r - 1)}))")
+        means = f"SELECT k, e, list(m ORDER BY i) AS y FROM (SELECT k, e, i, floor(sum(x) / count(*))::BIGINT AS m FROM (SELECT k, e, unnest(y) AS x, unnest(range(len(y))) AS i FROM a{r}) GROUP BY ALL) GROUP BY ALL"
+        out.append(f"b{r} AS MATERIALIZED (SELECT b.k, b.e, coalesce(m.y, b.y) AS y FROM b{r - 1} b LEFT JOIN ({means}) m USING (k, e))")
+    return ", ".join(out[:-1])
+
+
+ORACLES["op11_vector_codes"] = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, k, x[k * (len(x) // 4) + 1:(k + 1) * (len(x) // 4)] AS y FROM v, range(4) r(k)),
+b0 AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS e, y FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256)),
+{_code_rounds(4)},
+c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY k) AS code, sum(d)::BIGINT AS error FROM a5 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY k, e, i)) AS digest FROM (SELECT k, e, unnest(y) AS x, unnest(range(len(y))) AS i FROM b4))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM c JOIN v USING (vec_id), h
+"""
+
+
 @query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
@@ -178,3 +202,19 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d),
+n AS MATERIALIZED (SELECT min(doc_id) AS node, g, len(g) AS k FROM s WHERE len(g) > 0 GROUP BY g),
+x AS MATERIALIZED (SELECT node, k, unnest(g) AS h FROM n),
+p AS (SELECT a.node AS a, b.node AS b, a.k AS ka, b.k AS kb, count(*) AS c FROM x a JOIN x b ON a.h = b.h AND a.node <> b.node AND 10 * least(a.k, b.k) >= 9 * greatest(a.k, b.k) GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * c >= 90 * (ka + kb - c)),
+r(id, root) AS (SELECT node, node FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT doc_id, coalesce(len(s.g), 0)::BIGINT AS n_shingles, coalesce(m.root, doc_id) AS component_id FROM s LEFT JOIN n ON n.g = s.g LEFT JOIN m ON m.id = n.node
+"""
