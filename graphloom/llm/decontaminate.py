@@ -15,20 +15,20 @@ alone are built. A passage in a third of all documents adds rows in proportion t
 Defined cases: null and empty texts match nothing; items without a word are ignored, items under ``width`` words are
 one shingle; documents shorter than an item are compared whole; repeated rows, of documents or of items, give one result; texts of
 one item_id, or of none, are one item, and its best window counts; null ids are kept; a very long text is cut into words
-in one row, and its windows are rows of their own; other columns are ignored by ``matches`` and kept by ``clean``.
+in one row, its windows are rows of their own without the text, and of equal windows only the first is looked at (told apart by 96 bits of hashes); other columns are ignored by ``matches`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, keyed, let, lower_ascii, on_key, words
+from .common import cut, few, fresh, keyed, let, lower_ascii, on_key, words
 
 #: About 40 bytes each: 40 MB on an executor at most.
 BROADCAST_SHINGLES = 1_000_000
-#: Documents, by id and hash: 24 bytes each.
-BROADCAST_KEYS = 1_000_000
 
 
 def _tokens(text: Column) -> Column:
@@ -95,11 +95,6 @@ def _starts(at: Column, n: Column, size: Column, k: int, similarity: float) -> C
     return F.flatten(F.transform(first, run))
 
 
-def _few(keys: DataFrame) -> DataFrame:
-    """``keys`` (an id and a hash) to be broadcast, if there are ``BROADCAST_KEYS`` at most."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
-
-
 def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """doc_id, text_key, item_id, start (word), n_words, distance (bits), similarity: each pair's best window, the first among equals."""
     d = keyed(docs)
@@ -122,11 +117,19 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: i
     hits = cut(found.distinct(), "bench-hits")
 
     # texts without a hit are not shuffled
-    hit = _few(hits.select("doc_id", "text_key").distinct())
-    d = d.join(hit, on_key(d, hit), "left_semi")
-    at = hits.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item", "size", "start")).alias("at"))
-    windows = d.join(at, on_key(d, at)).select(d["doc_id"], d["text_key"], _tokens(d["text"]).alias("w"), at["at"])
-    windows = windows.select("doc_id", "text_key", "w", F.explode("at").alias("a")).select("doc_id", "text_key", "a.*", F.slice("w", F.col("a.start") + 1, F.col("a.size")).alias("w"))
+    hit = few(hits.select("doc_id", "text_key").distinct())
+    texts = cut(d.join(hit, on_key(d, hit), "left_semi").select("doc_id", "text_key", _tokens(F.col("text")).alias("w")).distinct(), "bench-texts")
+
+    def of_windows(found: DataFrame, value: Callable[[Column], Column]) -> DataFrame:
+        """doc_id, text_key, item, size, start, value of a window's words. Words are sliced inside the text's row, so no window carries the text."""
+        at = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("item", "size", "start")).alias("at")).withColumnsRenamed({"doc_id": "id_", "text_key": "key_"})
+        both = texts.join(at, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_key") == F.col("key_"))).select("doc_id", "text_key", "w", "at")
+        own = F.transform("at", lambda a: F.struct(a["item"].alias("item"), a["size"].alias("size"), a["start"].alias("start"), value(F.slice("w", a["start"] + 1, a["size"])).alias("value")))
+        return both.select("doc_id", "text_key", F.explode(own).alias("a")).select("doc_id", "text_key", "a.*")
+
+    # of windows with the same words the first is enough: a repetitive text has few different ones
+    first = of_windows(hits, lambda w: F.struct(F.xxhash64(w).alias("h"), F.hash(w).alias("h2"))).groupBy("doc_id", "text_key", "item", "size", "value").agg(F.min("start").alias("start"))
+    windows = of_windows(first, lambda w: w).withColumnRenamed("value", "w")
     windows = cut(windows.withColumn("fp", _simhash(F.col("w"))), "bench-windows")
 
     pairs = windows.select("doc_id", "text_key", "item", "start", "w", "fp")
@@ -139,7 +142,7 @@ def matches(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: i
 
 def clean(docs: DataFrame, items: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
-    m = _few(cut(matches(docs, items, similarity, width).select("doc_id", "text_key").distinct(), "bench-found"))
+    m = few(cut(matches(docs, items, similarity, width).select("doc_id", "text_key").distinct(), "bench-found"))
     key = fresh(docs, "text_key")
     d = docs.withColumn(key, F.xxhash64("text"))
     return d.join(m, d["doc_id"].eqNullSafe(m["doc_id"]) & (d[key] == m["text_key"]), "left_anti").select(*docs.columns)

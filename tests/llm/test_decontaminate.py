@@ -144,3 +144,14 @@ def test_items_that_share_an_id_or_have_none(spark):
     got = sorted([(r.doc_id, r.item_id, r.start, r.similarity) for r in dc.matches(df, it).collect()], key=repr)
     assert got == sorted([(1, 7, 0, 1.0), (2, 7, 0, 1.0), (3, None, 0, 1.0), (4, 8, 0, 1.0), (None, 7, 0, 1.0)], key=repr)
     assert dc.clean(df, it).count() == 0
+
+
+def test_long_repetitive_text(spark):
+    """A megabyte of five words over and over against an item of the same: few different windows, one row."""
+    words = "lorem ipsum dolor sit amet ".split()
+    text, item = " ".join(words * 40_000), " ".join(words * 12)
+    docs = spark.createDataFrame([(1, text), (2, "other words " + passage(3, 200)), (3, passage(4, 100) + " " + item)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, passage(5, 60))], "item_id long, text string")
+    found = dc.matches(docs, items).select("doc_id", "item_id", "start", "n_words", "similarity").collect()
+    assert sorted(map(tuple, found)) == [(1, 7, 0, 60, 1.0), (3, 7, 100, 60, 1.0)]
+    assert sorted(r.doc_id for r in dc.clean(docs, items).collect()) == [2]
