@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,54 +16,128 @@ from .diff import upsert
 from .lookup import first_nodes
 
 
+class Conflict(RuntimeError):
+    """Other writers were faster, each time."""
+
+
 class Table:
-    """A keyed table in a folder of versions: a write makes a new version, readers follow the newest marker.
+    """A keyed table in a folder of versions: a write makes a new version, readers follow the newest.
+
+    Parquet has no MERGE; a merge is an anti-join with the new rows, a union, and a new version. A version counts once its entry is in
+    the log, ``versions/<n>.json``. An entry is put only if there is none of that number; whoever comes second
+    reads again, and makes its change on top of the other's. So no write is lost, and a lost job leaves no half version to read."""
 
-    Parquet has no MERGE; a merge is an anti-join with the new rows, a union, and a new version. A marker is written
-    after its version's data, so a lost job leaves no half version to read.
-    """
+    TRIES = 10
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str]):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
 
-    def _marks(self) -> DataFrame:
-        return self.spark.read.schema("n long, version string").json(f"{self.path}/versions")
-
-    def _exists(self) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _at(self, path: str) -> tuple:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), p
+
+    def _numbers(self) -> list[int]:
+        fs, p = self._at(f"{self.path}/versions")
+        if not fs.exists(p):
+            return []
+        return sorted(int(f.getPath().getName()[:-5]) for f in fs.listStatus(p) if re.fullmatch(r"\d+\.json", f.getPath().getName()))
+
+    def _entry(self, n: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/versions/{n:020d}.json").first().value)
+
+    def _put(self, n: int, entry: dict) -> bool:
+        """Whether entry ``n`` is now this one; False if there was one."""
+        fs, p = self._at(f"{self.path}/versions/{n:020d}.json")
+        fs.mkdirs(p.getParent())
+        text = json.dumps(entry) + "\n"
+        if fs.getScheme() == "file":  # Hadoop's local files have no create that fails; a link has
+            whole = f"{p.getParent().toUri().getPath()}/.{uuid.uuid4().hex}"
+            with open(whole, "w") as f:
+                f.write(text)
+            try:
+                os.link(whole, p.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(whole)
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            if fs.exists(p):
+                return False
+            raise e
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
 
-    def read(self) -> DataFrame | None:
-        if not self._exists():
-            return None
-        return self.spark.read.parquet(f"{self.path}/{self._marks().orderBy(F.desc('n')).first().version}")
+    def _table(self, n: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{self._entry(n)['version']}")
+
+    def read(self, n: int | None = None) -> DataFrame | None:
+        """The newest version, or version ``n``."""
+        numbers = self._numbers()
+        return self._table(numbers[-1] if n is None else n) if numbers else None
+
+    def commit(self, change: Callable[[DataFrame | None], DataFrame | None]) -> int | None:
+        """Make ``change`` of the newest version a new one, as often as it takes to be the first after it; its number. None for no
+        change leaves all as it is."""
+        for _ in range(self.TRIES):
+            numbers = self._numbers()
+            last = numbers[-1] if numbers else 0
+            new = change(self._table(last) if numbers else None)
+            if new is None:
+                return None
+            version = uuid.uuid4().hex
+            new.write.parquet(f"{self.path}/{version}")
+            if self._put(last + 1, {"n": last + 1, "version": version}):
+                return last + 1
+            fs, p = self._at(f"{self.path}/{version}")
+            fs.delete(p, True)
+        raise Conflict(f"{self.path}: {self.TRIES} times another writer came first")
 
     def write(self, df: DataFrame) -> None:
-        version, n = uuid.uuid4().hex, (self._marks().agg(F.max("n")).first()[0] if self._exists() else 0) + 1
-        df.write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(n, version)], "n long, version string").coalesce(1).write.mode("append").json(f"{self.path}/versions")
+        self.commit(lambda _: df)
 
     def merge(self, new: DataFrame) -> None:
-        base = self.read()
-        if base is None:
+        def change(base: DataFrame | None) -> DataFrame:
+            if base is not None:
+                return upsert(base, new, self.keys)
             rest = [c for c in new.columns if c not in (*self.keys, "ord")]
-            new = new.groupBy(*self.keys).agg(F.max(F.struct("ord", *rest)).alias("n")).select(*self.keys, "n.*") if "ord" in new.columns else new
-            self.write(new)
-        else:
-            self.write(upsert(base, new, self.keys))
+            return new.groupBy(*self.keys).agg(F.max(F.struct("ord", *rest)).alias("n")).select(*self.keys, "n.*") if "ord" in new.columns else new
+
+        self.commit(change)
 
     def delete(self, gone: DataFrame) -> int:
         """Rows deleted: those whose columns equal some row of ``gone``."""
-        base = self.read()
-        if base is None:
-            return 0
-        on = gone.columns
-        n = base.join(gone, on, "left_semi").count()
-        if n:
-            self.write(base.join(gone, on, "left_anti"))
+        n = 0
+
+        def change(base: DataFrame | None) -> DataFrame | None:
+            nonlocal n
+            n = 0 if base is None else base.join(gone, gone.columns, "left_semi").count()
+            return base.join(gone, gone.columns, "left_anti") if n else None
+
+        self.commit(change)
         return n
 
+    def replace(self, column: str, rows: DataFrame) -> None:
+        """All rows whose ``column`` has a value that ``rows`` has go, ``rows`` come: a graph by its id, for one."""
+
+        def change(base: DataFrame | None) -> DataFrame:
+            return rows if base is None else base.join(rows.select(column).distinct(), column, "left_anti").select(*base.columns).unionByName(rows, allowMissingColumns=True)
+
+        self.commit(change)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete the data of all but the newest ``keep`` versions, which readers may still follow; how many went."""
+        old = self._numbers()[:-keep]
+        gone = 0
+        for n in old:
+            for path in (f"{self.path}/{self._entry(n)['version']}", f"{self.path}/versions/{n:020d}.json"):
+                fs, p = self._at(path)
+                gone += fs.delete(p, True)
+        return gone // 2
+
 
 def touching(edges: DataFrame, node: str, outgoing_only: bool = False) -> DataFrame:
     """Edges to delete with a node."""
@@ -163,7 +242,7 @@ class Services:
 
     def save(self, rows: DataFrame) -> None:
         """``rows`` in the order of ``ord``."""
-        self.table.write(replace_services(self.list(), rows))
+        self.table.commit(lambda base: replace_services(self.list() if base is None else base, rows))
 
     def by_id(self, service_id: str) -> DataFrame:
         return self.list().where(F.col("service_id") == service_id)
