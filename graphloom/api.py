@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .functions.constants import PRESETS
 from .functions.scalars import glob_regex
 from .operators import budget, clustering, diff, extract, formats, impact, lookup, ranking, tokens, traverse, usage
+from .operators.adjacency import Adjacency
+from .scratch import cut
 from .sources import files as source_files
 from .sources import graph as graph_source
 
@@ -33,15 +35,16 @@ def check_range(name: str, value: int, low: int, high: int) -> None:
 
 @dataclass
 class CodeGraph:
-    """nodes (id, type, name, path, ord, ...) and edges (source, target, type, line, ord)."""
+    """nodes (id, type, name, path, ord, ...) and edges (source, target, type, line, ord); walks use the stored adjacency if there is one."""
 
     nodes: DataFrame
     edges: DataFrame
+    store: Adjacency | None = None
 
     @classmethod
     def analyze(cls, spark: SparkSession, root: str, patterns: list[str] | None = None) -> CodeGraph:
         """Parse all Python files under ``root``; edges to unknown targets are dropped."""
-        parsed = extract.rows(source_files.scan(spark, root, patterns)).cache()
+        parsed = cut(extract.rows(source_files.scan(spark, root, patterns)), "parsed")
         nodes = extract.nodes(parsed)
         edges = lookup.valid_edges(extract.edges(parsed), nodes)
         return cls(nodes, edges.withColumn("ord", F.xxhash64("source", "target", "type", "line")))
@@ -50,6 +53,10 @@ class CodeGraph:
     def tables(cls, spark: SparkSession, sf_dir: str) -> CodeGraph:
         return cls(graph_source.nodes(spark, sf_dir), graph_source.edges(spark, sf_dir))
 
+    def stored(self, root: str) -> CodeGraph:
+        """The same graph, whose walks read an adjacency under ``root``: a folder of this graph version alone."""
+        return CodeGraph(self.nodes, self.edges, Adjacency(self.nodes, self.edges, root))
+
     def stats(self) -> DataFrame:
         return self.nodes.groupBy("type").agg(F.count("*").alias("n"))
 
@@ -58,22 +65,22 @@ class CodeGraph:
 
     def dependencies(self, start: str, depth: int = 2, direction: str = "outgoing", types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
         check_range("depth", depth, 1, 5)
-        return traverse.khop(self.edges, start, depth, direction, types)
+        return traverse.khop(self.store or self.edges, start, depth, direction, types)
 
     def shortest_path(self, source: str, target: str) -> list[str] | None:
-        return traverse.shortest_path(self.edges, source, target)
+        return traverse.shortest_path(self.store or self.edges, source, target)
 
     def impact(self, changed: list[str]) -> DataFrame:
         """path, distance of affected files, with edge types where direct."""
         known = {r.path for r in self.nodes.where((F.col("type") == "file") & F.col("path").isin(changed)).select("path").distinct().collect()}
         if missing := sorted(set(changed) - known):
             raise LookupError(f"no such file in the graph: {', '.join(missing)}")
-        direct = impact.direct(self.edges, self.nodes, changed)
-        return impact.closure(self.edges, self.nodes, changed).join(direct, "path", "left")
+        direct = impact.direct(self.store or self.edges, self.nodes, changed)
+        return impact.closure(self.store or self.edges, self.nodes, changed).join(direct, "path", "left")
 
     def pr_impact(self, changed: list[str]) -> DataFrame:
         """One row: impacted and direct files, tests, risk."""
-        c = impact.closure(self.edges, self.nodes, changed, rounds=1)
+        c = impact.closure(self.store or self.edges, self.nodes, changed, rounds=1)
         a = c.agg(F.count("*").alias("n_impacted"), F.count_if(F.col("distance") == 1).alias("n_direct"), F.count_if(F.lower("path").contains("test")).alias("n_tests"), F.coalesce(F.max(impact.critical(F.col("path"))), F.lit(False)).alias("critical"))
         return a.withColumn("risk", impact.pr_risk(F.col("n_impacted"), F.lit(len(changed)), F.col("critical")))
 
@@ -95,7 +102,7 @@ class CodeGraph:
 
     def context(self, starts: DataFrame, semantic: DataFrame, depth: int = 2, max_tokens: int = 8000, strategy: str = "adaptive") -> tuple[DataFrame, DataFrame]:
         """Ranked nodes within ``depth`` of ``starts`` (id) and the budget's choice; ``semantic`` is (fqn, s)."""
-        found = traverse.reach(traverse.arcs(self.edges, "both"), starts, depth)
+        found = traverse.reach(self.store.steps("both") if self.store else traverse.arcs(self.edges, "both"), starts, depth)
         n = lookup.first_nodes(self.nodes.select("id", "type", "name", "path", "ord")).join(found, "id")
         n = n.withColumn("tokens", tokens.estimate(F.concat_ws("\n", "path", "name")))
         ranked = ranking.five_factor(n, semantic, F.col("depth"))

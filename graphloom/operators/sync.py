@@ -187,12 +187,13 @@ def write_snapshot(nodes: DataFrame, edges: DataFrame, root: str, repo_id: str,
     delete_snapshot(spark, root, repo_id, sha)
     nodes.write.mode("overwrite").parquet(f"{root}/nodes/{at}")
     edges.write.mode("overwrite").parquet(f"{root}/edges/{at}")
-    spark.createDataFrame([(nodes.count(), edges.count())], "n_nodes long, n_edges long").coalesce(1).write.mode("overwrite").parquet(f"{root}/headers/{at}")
+    spark.createDataFrame([(nodes.count(), edges.count())], "n_nodes long, n_edges long").withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").parquet(f"{root}/headers/{at}")
 
 
 def list_snapshots(spark: SparkSession, root: str, repo_id: str | None = None) -> DataFrame:
+    """Headers, newest first."""
     h = spark.read.parquet(f"{root}/headers")
-    return h.where(F.col("repo_id") == repo_id) if repo_id else h
+    return (h.where(F.col("repo_id") == repo_id) if repo_id else h).orderBy(F.desc("created_at"), "repo_id", "sha")
 
 
 def delete_snapshot(spark: SparkSession, root: str, repo_id: str, sha: str) -> bool:

@@ -35,6 +35,14 @@ def test_khop(graph):
         graph.dependencies("main.py", 6)
 
 
+def test_a_stored_graph_answers_the_same(graph, tmp_path):
+    stored = graph.stored(str(tmp_path / "graph"))
+    for a, b in zip(graph.dependencies("main.py", 2, "both"), stored.dependencies("main.py", 2, "both"), strict=True):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert stored.shortest_path("main.py", "utils.py") == ["main.py", "utils.py"]
+    assert [(r.path, r.distance) for r in stored.impact(["utils.py"]).collect()] == [("main.py", 1)]
+
+
 def test_cycles_paths_and_weights(spark):
     e = spark.createDataFrame([("a", "b", "EXTENDS", 0), ("b", "a", "EXTENDS", 1), ("b", "c", "CALLS", 2), ("c", "d", "IMPORTS", 3), ("a", "d", "IMPORTS", 4)], "source string, target string, type string, ord long")
     assert {r.id: r.depth for r in traverse.reach(traverse.arcs(e), spark.createDataFrame([("a",)], "id string")).collect()} == {"a": 0, "b": 1, "c": 2, "d": 1}
