@@ -106,8 +106,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def snippet(text: Column, most: int = 100) -> Column:
-    """At most ``most`` characters, cut at the last newline if that is beyond 70 % of them."""
+    """At most ``most`` characters: cut at the last newline if that is beyond 70 % of them, else with dots."""
     head = F.substring(text, 1, most)
     at = F.lit(most) - F.instr(F.reverse(head), "\n")  # 0-based place of the last newline
-    cut = F.when(head.contains("\n") & (at > int(most * 0.7)), F.substring(head, F.lit(1), at)).otherwise(head)
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(cut, F.lit("...")))
+    cut = F.when(head.contains("\n") & (at > int(most * 0.7)), F.substring(head, F.lit(1), at)).otherwise(F.concat(head, F.lit("...")))
+    return F.when(F.length(text) <= most, text).otherwise(cut)

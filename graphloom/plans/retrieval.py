@@ -113,7 +113,7 @@ def _(spark, d):
     return x.select("doc_id", F.concat(tokens.truncate(F.col("text"), F.lit(50)), F.lit("\n# ... truncated ...")).alias("content"))
 
 
-@query("snippets", "SELECT doc_id, CASE WHEN length(text) <= 100 THEN text WHEN contains(left(text, 100), chr(10)) AND 100 - strpos(reverse(left(text, 100)), chr(10)) > 70 THEN left(text, 100 - strpos(reverse(left(text, 100)), chr(10))) || '...' ELSE left(text, 100) || '...' END AS snippet FROM documents")
+@query("snippets", "SELECT doc_id, CASE WHEN length(text) <= 100 THEN text WHEN contains(left(text, 100), chr(10)) AND 100 - strpos(reverse(left(text, 100)), chr(10)) > 70 THEN left(text, 100 - strpos(reverse(left(text, 100)), chr(10))) ELSE left(text, 100) || '...' END AS snippet FROM documents")
 def _(spark, d):
     return _t(spark, d, "documents").select("doc_id", snippet(F.col("text")).alias("snippet"))
 
