@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from .functions.constants import PRESETS
 from .functions.scalars import glob_regex
 from .operators import budget, clustering, diff, extract, formats, impact, lookup, ranking, tokens, traverse, usage
+from .operators import search as text_search
 from .operators.adjacency import Adjacency
+from .operators.embed import Embedder
+from .operators.vector_index import VectorIndex
+from .plugins import Analyzer, PythonAnalyzer
 from .scratch import cut
 from .sources import files as source_files
 from .sources import graph as graph_source
@@ -42,11 +46,10 @@ class CodeGraph:
     store: Adjacency | None = None
 
     @classmethod
-    def analyze(cls, spark: SparkSession, root: str, patterns: list[str] | None = None) -> CodeGraph:
-        """Parse all Python files under ``root``; edges to unknown targets are dropped."""
-        parsed = cut(extract.rows(source_files.scan(spark, root, patterns)), "parsed")
-        nodes = extract.nodes(parsed)
-        edges = lookup.valid_edges(extract.edges(parsed), nodes)
+    def analyze(cls, spark: SparkSession, root: str, patterns: list[str] | None = None, analyzer: Analyzer | None = None) -> CodeGraph:
+        """Analyze all files under ``root``, by default with the Python analyzer; edges to unknown targets are dropped."""
+        nodes, edges = (analyzer or PythonAnalyzer()).analyze(source_files.scan(spark, root, patterns))
+        edges = lookup.valid_edges(edges, nodes)
         return cls(nodes, edges.withColumn("ord", F.xxhash64("source", "target", "type", "line")))
 
     @classmethod
@@ -110,6 +113,39 @@ class CodeGraph:
         chosen, _ = budget.allocate(flat, max_tokens, strategy)
         return ranked, ranked.join(chosen.select(F.col("ord").alias("h"), F.col("tokens").alias("taken")), F.xxhash64("id") == F.col("h")).drop("h")
 
+    def local_context(self, entries: list[str], most: int = 50) -> tuple[DataFrame, DataFrame]:
+        """The entries (relevance 1.0) and what they are directly connected with (0.8), ``most`` nodes in all unless there are
+        more entries; neighbours come in the order of ``ord``. Then the edges of entries within that choice."""
+        spark = self.nodes.sparkSession
+        known = lookup.first_nodes(self.nodes.select("id", "type", "path", "ord"))
+        found = {r.id for r in known.where(F.col("id").isin(entries)).select("id").collect()}
+        if missing := [e for e in entries if e not in found]:
+            raise LookupError(f"no such node in the graph: {', '.join(missing)}")
+        starts = spark.createDataFrame([(e,) for e in dict.fromkeys(entries)], "id string")
+        near = traverse.reach(self.store.steps("both") if self.store else traverse.arcs(self.edges, "both"), starts, 1)
+        top = known.join(near, "id").orderBy("depth", "ord", "id").limit(max(most, len(found)))
+        nodes = cut(top.select("id", "type", "path", F.when(F.col("depth") == 0, 1.0).otherwise(0.8).alias("relevance")), "local-context")
+        ids = F.broadcast(nodes.select("id"))  # ``most`` rows, or the entries
+        own = self.edges.where(F.col("source").isin(entries) | F.col("target").isin(entries))
+        return nodes, own.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+
+    def find(self, text: str, mode: str = "hybrid", limit: int = 10, chunks: DataFrame | None = None, key: str = "chunk_id", index: VectorIndex | None = None, entries: list[str] | None = None, depth: int = 2, file_types: list[str] | None = None, paths: list[str] | None = None, embedder: Embedder | None = None) -> DataFrame:
+        """Search by text (``operators/search.py``). Semantic and hybrid modes need ``chunks`` and their ``index``; hybrid counts
+        what is within ``depth`` of ``entries`` as near."""
+        if mode not in text_search.MODES:
+            raise ValueError(f"mode is one of {text_search.MODES}")
+        if mode == "graph":
+            return text_search.graph(self.nodes, text, limit, file_types, paths)
+        if chunks is None or index is None:
+            raise ValueError(f"{mode} search needs chunks and their index")
+        if mode == "semantic":
+            return text_search.semantic(chunks, key, index, text, limit, file_types, paths, embedder)
+        starts = self.nodes.sparkSession.createDataFrame([(e,) for e in dict.fromkeys(entries or [])], "id string")
+        near = traverse.reach(self.store.steps("both") if self.store else traverse.arcs(self.edges, "both"), starts, depth) if entries else starts
+        nodes = self.nodes.join(near.select("id"), "id", "left_semi")
+        near = nodes.select(F.when(F.col("type") == "file", F.col("path")).otherwise(F.col("id")).alias("fqn"))
+        return text_search.hybrid(near, chunks, key, index, text, limit, file_types, paths, embedder)
+
     def diff(self, other: CodeGraph) -> tuple[DataFrame, DataFrame]:
         return diff.node_changes(self.nodes.drop("ord"), other.nodes.drop("ord")), diff.edge_changes(self.edges, other.edges)
 

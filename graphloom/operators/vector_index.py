@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import cut, plain_reads, shared_root
+from ..scratch import cut, discard, plain_reads, shared_root
 from .adjacency import exists, version_of
 
 #: Rows that centroids are fitted on (at most), rounds of fitting, vectors of a block, queries scored at once, and the most lists.
 FIT_ROWS, FIT_ROUNDS, BLOCK, QUERIES, MOST = 20_000, 10, 1000, 256, 4096
 #: Blocks of queries that are broadcast.
 BROADCAST_QUERIES = 1_000
-#: Rounding of distances on the unit sphere.
-EPS = 1e-9
+#: Rounding of distances on the unit sphere, and digits of a similarity: equal vectors have equal ones wherever they are stored.
+EPS, DIGITS = 1e-9, 12
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -66,7 +66,7 @@ class VectorIndex:
 
     def build(self, vectors: DataFrame, key: str, lists: int | None = None) -> VectorIndex:
         """Centroids are fitted on ``FIT_ROWS`` rows at most, chosen by a hash of the id; every row is indexed."""
-        rows = _usable(vectors, key)
+        rows = cut(_usable(vectors, key), "index-rows")  # vectors may come from an embedder, which is called once for each text
         n = rows.count()
         sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("x").collect()
         x = unit(np.array([r.x for r in sample])) if sample else np.zeros((0, 1))
@@ -76,6 +76,7 @@ class VectorIndex:
         self._packed(rows, c).write.partitionBy("list").parquet(data)
         marks = [(i, v.tolist(), data.rpartition("/")[2]) for i, v in enumerate(c)]
         self.spark.createDataFrame(marks, "list int, x array<double>, data string").coalesce(1).write.parquet(f"{self.path}/centroids")
+        discard(rows)
         return self
 
     @staticmethod
@@ -127,7 +128,7 @@ class VectorIndex:
                     need = np.flatnonzero((s - high.as_py() <= reach + EPS) & (low.as_py() - s <= reach + EPS))
                     if not len(need):
                         continue
-                    score = np.asarray(qx.values).reshape(len(qid), -1)[need] @ np.frombuffer(x.as_py()).reshape(len(ids), -1).T
+                    score = np.round(np.asarray(qx.values).reshape(len(qid), -1)[need] @ np.frombuffer(x.as_py()).reshape(len(ids), -1).T, DIGITS)
                     for q, row in zip(qid[need].tolist(), score, strict=True):
                         top = np.lexsort((ids, -row))[:k]
                         out.append({"qid": q, "best": [{"score": float(row[t]), "id": int(ids[t])} for t in top]})
@@ -148,7 +149,7 @@ class VectorIndex:
             first = cut(found, "index-first")
             kth = first.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("least"))
             # of vectors of length 1: distance^2 = 2 - 2 * similarity
-            far = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least")))).otherwise(4.0)
+            far = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("least")) + 4 * 10.0**-DIGITS)).otherwise(4.0)
             rest = _lists(q.join(kth, "qid", "left").select("qid", "x", F.coalesce(far, F.lit(4.0)).alias("known")), c, probes, len(c), wide=False)
             more = self._scored(blocks, rest, k)
             again = first.groupBy("qid").agg(F.collect_list(F.struct("score", "id")).alias("best"))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 from importlib.metadata import entry_points
+from operator import or_
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .operators import extract, recalc
 from .operators.impact import plugin_risk
 from .operators.lookup import file_graph
+from .scratch import cut
 
 
 class ContextPlugin(Protocol):
@@ -27,6 +31,57 @@ class ImpactPlugin(Protocol):
     def analyze_impact(self, files: list[str], nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame: ...
 
 
+class Analyzer(Protocol):
+    """From the files of one language to rows of the graph."""
+
+    language: str
+    suffixes: tuple[str, ...]
+
+    def analyze(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges, before the integrity check, of all of ``files`` (path, content binary)."""
+
+    def analyze_file(self, files: DataFrame, path: str) -> DataFrame:
+        """The nodes of one file."""
+
+    def resolve_references(self, files: DataFrame, ids: DataFrame) -> DataFrame:
+        """source, target, type, line of what the nodes of ``ids`` (id) refer to."""
+
+
+_ANALYZERS: dict[str, type] = {}
+
+
+def analyzer(cls: type) -> type:
+    """Register an analyzer under its language."""
+    _ANALYZERS[cls.language] = cls
+    return cls
+
+
+def analyze_all(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges by all analyzers, each over the files with its suffixes; their columns may differ."""
+    nodes = edges = None
+    for cls in _ANALYZERS.values():
+        own = files.where(reduce(or_, [F.col("path").endswith(s) for s in cls.suffixes]))
+        n, e = cls().analyze(own)
+        nodes = n if nodes is None else nodes.unionByName(n, allowMissingColumns=True)
+        edges = e if edges is None else edges.unionByName(e, allowMissingColumns=True)
+    return nodes, edges
+
+
+@analyzer
+class PythonAnalyzer:
+    language, suffixes = "python", (".py",)
+
+    def analyze(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        parsed = cut(extract.rows(files), "parsed")
+        return extract.nodes(parsed), extract.edges(parsed)
+
+    def analyze_file(self, files: DataFrame, path: str) -> DataFrame:
+        return extract.nodes(extract.rows(files.where(F.col("path") == path)))
+
+    def resolve_references(self, files: DataFrame, ids: DataFrame) -> DataFrame:
+        return recalc.references(files).join(ids.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
+
+
 _CONTEXT: dict[str, type] = {}
 _IMPACT: dict[str, type] = {}
 
