@@ -121,6 +121,7 @@ class CodeGraph:
         found = {r.id for r in known.where(F.col("id").isin(entries)).select("id").collect()}
         if missing := [e for e in entries if e not in found]:
             raise LookupError(f"no such node in the graph: {', '.join(missing)}")
+        check_range("most", most, 1, 100)
         starts = spark.createDataFrame([(e,) for e in dict.fromkeys(entries)], "id string")
         near = traverse.reach(self.store.steps("both") if self.store else traverse.arcs(self.edges, "both"), starts, 1)
         top = known.join(near, "id").orderBy("depth", "ord", "id").limit(max(most, len(found)))
@@ -134,6 +135,8 @@ class CodeGraph:
         what is within ``depth`` of ``entries`` as near."""
         if mode not in text_search.MODES:
             raise ValueError(f"mode is one of {text_search.MODES}")
+        check_range("limit", limit, 1, 100)
+        check_range("depth", depth, 1, 5)
         if mode == "graph":
             return text_search.graph(self.nodes, text, limit, file_types, paths)
         if chunks is None or index is None:
@@ -146,6 +149,10 @@ class CodeGraph:
         near = nodes.select(F.when(F.col("type") == "file", F.col("path")).otherwise(F.col("id")).alias("fqn"))
         return text_search.hybrid(near, chunks, key, index, text, limit, file_types, paths, embedder)
 
+    def clusters(self, vectors: DataFrame, k: int = 8) -> DataFrame:
+        check_range("k", k, 2, 20)
+        return clustering.kmeans(vectors, k)
+
     def diff(self, other: CodeGraph) -> tuple[DataFrame, DataFrame]:
         return diff.node_changes(self.nodes.drop("ord"), other.nodes.drop("ord")), diff.edge_changes(self.edges, other.edges)
 

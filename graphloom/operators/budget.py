@@ -136,3 +136,18 @@ def allocate(nodes: DataFrame, max_tokens: int, strategy: str = "adaptive", rese
     taken = chosen.join(nodes.select("req", "ord", F.col("tokens").alias("whole")), ["req", "ord"]).groupBy("req").agg(F.count("*").alias("nodes_included"), F.sum("tokens").alias("total_tokens"), F.count_if(F.col("tokens") < F.col("whole")).alias("nodes_truncated"))
     stats = given.join(taken, "req", "left").na.fill(0).withColumn("nodes_excluded", F.col("n") - F.col("nodes_included"))
     return chosen, stats.withColumn("budget_used_pct", F.round(F.try_divide(F.col("total_tokens") * 100, F.lit(budget)), 1)).drop("n")
+
+
+#: A chosen node of fewer tokens counts as truncated in reports.
+SMALL = 50
+
+
+def allocation_report(nodes: DataFrame, chosen: DataFrame, max_tokens: int) -> DataFrame:
+    """req and each request's figures: total_tokens, budget_used_pct, nodes_included, nodes_truncated, nodes_excluded, mean_tokens,
+    median_tokens, token_savings, truncation_rate (digits: one); requests of which nothing was chosen have zeros."""
+    given = nodes.groupBy("req").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    own = chosen.groupBy("req").agg(F.sum("tokens").alias("total_tokens"), F.count("*").alias("nodes_included"), F.count_if(F.col("tokens") < SMALL).alias("nodes_truncated"), F.avg("tokens").alias("mean"), F.median("tokens").alias("median"))
+    x = given.join(own, "req", "left").na.fill(0)
+    one = lambda c: F.coalesce(F.round(c, 1), F.lit(0.0))
+    percent = one(F.try_divide(F.col("total_tokens") * 100, F.lit(max_tokens)))
+    return x.select("req", "total_tokens", percent.alias("budget_used_pct"), "nodes_included", "nodes_truncated", (F.col("n") - F.col("nodes_included")).alias("nodes_excluded"), one(F.col("mean")).alias("mean_tokens"), one(F.col("median")).alias("median_tokens"), (F.col("t") - F.col("total_tokens")).alias("token_savings"), one(F.try_divide(F.col("nodes_truncated") * 100, F.col("nodes_included"))).alias("truncation_rate"))

@@ -144,6 +144,13 @@ def touching(edges: DataFrame, node: str, outgoing_only: bool = False) -> DataFr
     return edges.where((F.col("source") == node) | (F.lit(not outgoing_only) & (F.col("target") == node)))
 
 
+def without_touching(edges: DataFrame, node: str, outgoing_only: bool = False) -> tuple[DataFrame, int]:
+    """The edges that stay when a node goes, and how many go."""
+    gone = touching(edges, node, outgoing_only)
+    stay = edges.where(~F.coalesce((F.col("source") == node) | (F.lit(not outgoing_only) & (F.col("target") == node)), F.lit(False)))
+    return stay, gone.count()
+
+
 def with_placeholders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``nodes`` and an ``external`` node for each edge target that is none."""
     missing = edges.select(F.col("target").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..api import CodeGraph
-from ..operators import budget, embed, extract, metrics, recalc, search, vector_index
+from ..operators import budget, embed, extract, formats, metrics, recalc, search, services, traverse, vector_index
 from ..sources.graph import G, adjacency, edges, nodes
 from .filters import PATHS
 from .registry import query
@@ -177,3 +177,97 @@ def _(spark, d):
     n = _candidates(spark, d)
     taken = budget.knapsack(n, 3000).select("req", "ord").join(n, ["req", "ord"]).groupBy("req").agg(F.sum(F.round(F.col("score") * 100).cast("long")).alias("v"))
     return n.select("req").distinct().join(taken, "req", "left").select("req", F.coalesce("v", F.lit(0).cast("long")).alias("value"))
+
+
+@query(
+    "allocation_report",
+    f"""WITH {N}, p AS (SELECT *, floor(19500 * (score / sum(score) OVER (PARTITION BY req)))::BIGINT AS share FROM n), t AS (SELECT req, tokens, CASE WHEN tokens <= share THEN tokens WHEN share > 100 THEN share END AS take FROM p)
+SELECT req, coalesce(sum(take), 0)::BIGINT AS total_tokens, round(coalesce(sum(take), 0) * 100 / 20000, 1)::DOUBLE AS budget_used_pct, count(take) AS nodes_included, count(*) FILTER (WHERE take < 50) AS nodes_truncated, count(*) - count(take) AS nodes_excluded,
+round(coalesce(avg(take), 0), 1)::DOUBLE AS mean_tokens, round(coalesce(median(take), 0), 1)::DOUBLE AS median_tokens, (sum(tokens) - coalesce(sum(take), 0))::BIGINT AS token_savings, coalesce(round(count(*) FILTER (WHERE take < 50) * 100 / nullif(count(take), 0), 1), 0)::DOUBLE AS truncation_rate FROM t GROUP BY req""",
+)
+def _(spark, d):
+    n = _candidates(spark, d)
+    return budget.allocation_report(n, budget.allocate(n, 20000, "proportional")[0], 20000)
+
+
+@query(
+    "shortest_path_nodes",
+    f"""WITH RECURSIVE {G}, a AS (SELECT DISTINCT source AS a, target AS b FROM edges UNION SELECT DISTINCT target, source FROM edges), r(id, n) AS (SELECT 'r:0', 0 UNION SELECT a.b, n + 1 FROM r JOIN a ON a.a = r.id WHERE n < 4 AND NOT EXISTS (SELECT 1 FROM r WHERE id = 'p:7')),
+l AS (SELECT id, min(n) AS n FROM r GROUP BY id), up AS (SELECT a.b AS id, min(a.a) AS parent FROM a JOIN l x ON x.id = a.a JOIN l y ON y.id = a.b AND y.n = x.n + 1 GROUP BY 1),
+w(id, n) AS (SELECT id, n FROM l WHERE id = 'p:7' UNION ALL SELECT up.parent, w.n - 1 FROM w JOIN up ON up.id = w.id WHERE w.n > 0)
+SELECT n::INT AS place, id FROM w""",
+)
+def _(spark, d):
+    """The nodes of a shortest path in order; of several, the one of the smallest parents from its end."""
+    path = traverse.shortest_path(adjacency(spark, d), "r:0", "p:7") or []
+    return spark.createDataFrame(list(enumerate(path)), "place int, id string")
+
+
+@query(
+    "summary_tree",
+    f"""WITH {G}, e AS (SELECT id, sum(i) AS n_in, sum(o) AS n_out FROM (SELECT target AS id, 1 AS i, 0 AS o FROM edges UNION ALL SELECT source, 0, 1 FROM edges) GROUP BY id),
+f AS (SELECT name, coalesce(n_in, 0)::BIGINT AS n_in, coalesce(n_out, 0)::BIGINT AS n_out, row_number() OVER (ORDER BY coalesce(n_in, 0) + coalesce(n_out, 0) DESC, ord) AS k, count(*) OVER () AS n FROM nodes LEFT JOIN e USING (id) WHERE type = 'file')
+SELECT '📊 tables - Dependency Summary' || chr(10) || '   Total: ' || any_value(n) || ' files, ' || (SELECT count(*) FROM edges) || ' edges' || chr(10) || chr(10) || 'Top connected files:' || chr(10) || string_agg(CASE WHEN k = least(10, n) THEN '   └── ' ELSE '   ├── ' END || name || ' (' || n_in || '↓ ' || n_out || '↑)', chr(10) ORDER BY k) FILTER (WHERE k <= 10) || CASE WHEN any_value(n) > 10 THEN chr(10) || '   ... and ' || (any_value(n) - 10) || ' more files' ELSE '' END AS text FROM f""",
+)
+def _(spark, d):
+    return formats.summary_lines(nodes(spark, d), edges(spark, d), "tables")
+
+
+@query("prompt_files", f"WITH {G} SELECT path, '#### ' || path || chr(10) || string_agg('- **' || type || '**: ' || id || ' (relevance: ' || printf('%.2f', (ord % 4) / 4.0) || ')', chr(10) ORDER BY ord) || chr(10) AS text FROM nodes GROUP BY path")
+def _(spark, d):
+    n = nodes(spark, d).withColumns({"relevance": (F.col("ord") % 4) / 4, "content": F.lit(None).cast("string")})
+    return formats.file_sections(n).select("path", "text")
+
+
+@query("prompt_edges", f"WITH {G}, p AS (SELECT id, path FROM nodes WHERE type <> 'file') SELECT e.ord, '- `' || a.path || '` **' || e.type || '** `' || b.path || '`' || chr(10) || '  (line ' || line || ')' || chr(10) AS text FROM edges e JOIN p a ON a.id = source JOIN p b ON b.id = target")
+def _(spark, d):
+    return formats.edge_lines(edges(spark, d), nodes(spark, d).where("type <> 'file'"))
+
+
+#: Lines of source that name services: for each kind of call, by language, with the service that it means (null: none).
+CALLS = {
+    "py": [
+        ("http", "x = requests.get(\"http://user-service-#.local/x\")", "user-service-#"),
+        ("http", "httpx.post('http://db#:5432/x')", "db#"),
+        ("http", "urllib.request.urlopen(\"http://api-#.net/\")", "api-#"),
+        ("grpc", "c = grpc.aio.secure_channel(\"grpc://pay#:50051\")", "pay#"),
+        ("grpc", "c = grpc.aio.insecure_channel('cart#:1')", "cart#"),
+        ("kafka", "producer.send(\"order-events#\")", "order"),
+        ("kafka", "p = KafkaProducer(acks=1, topic=\"ship.done#\")", "ship"),
+        ("import", "from api.users# import x", "users#"),
+        ("import", "import billing#.client", "billing#"),
+        ("http", "requests.get(\"http://plain#.com/\")", None),
+        ("import", "import json.decoder#", None),
+    ],
+    "ts": [
+        ("http", "await axios.put('http://auth-api#:80/x')", "auth-api#"),
+        ("http", "fetch(\"http://gateway#.in/x\")", "gateway#"),
+        ("http", "http.get('http://db#:5432')", "db#"),
+        ("grpc", "const c = new grpc.Client(\"mail#:90\")", "mail#"),
+        ("kafka", "producer.send('bill_paid#')", "bill"),
+        ("kafka", "kafka.producer({ topic: \"stock.low#\" })", "stock"),
+        ("import", "import { a } from '@acme#/lib'", "acme#"),
+        ("import", "import b from \"shared#/lib\"", "shared#"),
+        ("import", "import c from './local#'", None),
+        ("http", "fetch('http://localhost:80/#')", None),
+    ],
+}
+
+
+def _sql(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _calls(language):
+    own = CALLS[language]
+    parts = [f"SELECT p_partkey AS line, replace({_sql(s)}, '#', p_partkey::VARCHAR) AS service, '{kind}' AS kind FROM part WHERE p_partkey % {len(own)} = {i}" for i, (kind, _, s) in enumerate(own) if s]
+
+    @query(f"service_kinds_{language}", " UNION ALL ".join(parts))
+    def _(spark, d):
+        text = F.replace(F.element_at(F.array(*[F.lit(t) for _, t, _ in own]), (F.col("p_partkey") % len(own) + 1).cast("int")), F.lit("#"), F.col("p_partkey").cast("string"))
+        lines = spark.read.parquet(f"{d}/part.parquet").select(F.lit("a").alias("path"), F.col("p_partkey").alias("line"), text.alias("text"))
+        return services.scan(lines, language, F.lit("web-app")).select("line", "service", "kind")
+
+
+for _language in CALLS:
+    _calls(_language)

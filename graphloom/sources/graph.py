@@ -85,6 +85,14 @@ def read_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     return g.drop("nodes", "edges"), n, e
 
 
+def load(spark: SparkSession, path: str, graph_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One of the graphs under ``path``, as ``read_json`` gives it; only its own lists are exploded."""
+    found = [x.where(F.col("graph_id") == graph_id) for x in read_json(spark, path)]
+    if found[0].isEmpty():
+        raise LookupError(f"no graph {graph_id}")
+    return tuple(found)
+
+
 def write_json(nodes_: DataFrame, edges_: DataFrame, path: str, version: str, repo: str) -> None:
     """One JSON object a graph, nodes and edges in the order of ``ord``; both frames have ``graph_id``."""
     cols = [c for c in ("id", "type", "name", "path", "content", "docstring", "lines") if c in nodes_.columns]

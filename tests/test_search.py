@@ -186,3 +186,45 @@ def test_metrics(spark):
     assert got[("graph_nodes_total", 'graph_id="g"', "value")] == 4 and got[("graphs_created_total", "", "value")] == 1
     assert (h["le=0.005"], h["le=0.01"], h["le=0.025"], h["le=10.0"], h["le=+Inf"], h["count"], h["sum"]) == (0, 1, 2, 2, 3, 3, pytest.approx(99.021))
     assert len(got) == 3 + 17
+
+
+def test_prompt_trees_and_counts(spark, tmp_path):
+    from graphloom.operators import budget, formats, sync
+
+    g = graph(spark)
+    n = g.nodes.where("path <> 'get/b.rs'").withColumns({"relevance": F.lit(0.5), "content": F.when(F.col("id") == "K", "class K: pass")})
+    text = formats.prompt(n, g.edges, available=9)
+    assert text.startswith("## Relevant Code Context\n\n### File Structure\n\n#### a.py\n- **file**: a.py (relevance: 0.50)\n- **function**: a.py::get (relevance: 0.50)\n\n#### b.py\n- **class**: K (relevance: 0.50)\n  ```python\nclass K: pass\n  ```\n- **file**: b.py")
+    assert "\n### Dependencies\n\n- `a.py` **IMPORTS** `b.py`\n  (line 1)\n\n- `a.py` **CALLS** `b.py`\n  (line 2)\n\n\n*Note: Context truncated. Total nodes available: 9*" in text
+    assert text.count("gone") == 0 and "- **Code**:\n```python\nclass K: pass\n```\n" in text
+    short = formats.prompt(n, g.edges, max_chars=60)
+    assert short == text[:57] + "..."
+    assert formats.prompt(n.limit(0), g.edges) == "## Relevant Code Context\n"
+    assert formats.impact_tree(g.edges, g.nodes, "x") == "🎯 Impact Analysis: x\n\n   1 direct dependents:\n   └── getter_of_k\n       └── get"
+    assert formats.impact_tree(g.edges, g.nodes, "a.py").endswith("   No dependents found (this is a leaf node)")
+    both = spark.createDataFrame([("b", "a", "CALLS", 1, 0), ("c", "a", "CALLS", 1, 1), ("c", "b", "CALLS", 1, 2), ("a", "c", "CALLS", 1, 3)], g.edges.schema)
+    assert formats.impact_tree(both, g.nodes, "a").split("\n")[2:] == ["   2 direct dependents:", "   ├── b", "   │   └── c"]
+    assert formats.summary_lines(g.nodes, g.edges, "r", 1).first().text == "📊 r - Dependency Summary\n   Total: 2 files, 4 edges\n\nTop connected files:\n   └── a.py (0↓ 2↑)\n   ... and 1 more files"
+    rest, gone = sync.without_touching(g.edges, "K")
+    assert (rest.count(), gone) == (2, 2) and sync.without_touching(g.edges, "K", True)[1] == 1
+    c = spark.createDataFrame([(1, 1, 0.5, 400), (2, 1, 0.5, 10)], "req long, ord long, score double, tokens long")
+    r = {x.req: x for x in budget.allocation_report(c, c.where("req = 2"), 0).collect()}
+    assert (r[1].nodes_excluded, r[1].token_savings, r[1].truncation_rate) == (1, 400, 0.0) and (r[2].truncation_rate, r[2].budget_used_pct) == (100.0, 0.0)
+    with pytest.raises(ValueError, match="limit is 1 to 100"):
+        g.find("x", "graph", 0)
+
+
+def test_graph_by_id(spark, tmp_path):
+    from graphloom.sources import graph as source
+
+    n = spark.createDataFrame([("g1", "a", "file", "a", "a", 0), ("g2", "b", "file", "b", "b", 0)], "graph_id string, id string, type string, name string, path string, ord int")
+    e = spark.createDataFrame([("g1", "a", "a", "CALLS", 1, 0)], "graph_id string, source string, target string, type string, line int, ord int")
+    for k in ("g1", "g2"):
+        source.write_json(n.where(F.col("graph_id") == k), e.where(F.col("graph_id") == k), str(tmp_path / f"all/{k}.d"), k, "r")
+    path = str(tmp_path / "all/*.d")
+    ids = {r.version: r.graph_id for r in source.read_json(spark, path)[0].collect()}
+    _, nodes, edges = source.load(spark, path, ids["g1"])
+    assert [r.id for r in nodes.collect()] == ["a"] and edges.count() == 1
+    assert source.load(spark, path, ids["g2"])[2].count() == 0
+    with pytest.raises(LookupError, match="no graph"):
+        source.load(spark, path, "other")
