@@ -13,6 +13,8 @@ from ..functions.scalars import dirname, join_path
 
 ROW = "path string, kind string, id string, name string, ref string, start_line int, end_line int, docstring string, value long, content string"
 _FIELDS = [f.split()[0] for f in ROW.split(", ")]
+#: Files that a task parses, about: a few seconds of work, however few bytes they come from.
+TASK_FILES = 5_000
 _BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.IfExp, ast.ExceptHandler, ast.Assert, ast.match_case, ast.comprehension)
 
 
@@ -99,6 +101,12 @@ def parse(path: str, content: bytes | None) -> Iterator[tuple]:
     yield from out
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """``files`` (path, content) over as many tasks as there is work. Parsing takes its time by file, and a small table whose rows
+    are made into sources is one partition otherwise."""
+    return files.select("path", "content").repartition(max(1, -(-files.count() // TASK_FILES)), "path")
+
+
 def rows(files: DataFrame) -> DataFrame:
     """ROW for all of ``files`` (path, content binary); a file that can't be parsed is its file row alone."""
 
@@ -108,7 +116,7 @@ def rows(files: DataFrame) -> DataFrame:
             kinds = {"start_line": pa.int32(), "end_line": pa.int32(), "value": pa.int64()}
             yield pa.RecordBatch.from_pydict({f: pa.array([r[i] for r in found], kinds.get(f, pa.string())) for i, f in enumerate(_FIELDS)})
 
-    return files.select("path", "content").mapInArrow(run, ROW)
+    return spread(files).mapInArrow(run, ROW)
 
 
 def nodes(parsed: DataFrame) -> DataFrame:

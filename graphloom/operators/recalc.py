@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import HOT_COMPLEXITY
 from ..functions.scalars import complexity_rank, dirname
+from ..scratch import cut
+from .extract import spread
 
+#: Nodes of a tree that can be references, and those that hold nothing.
+_REFERRING = (ast.Import, ast.ImportFrom, ast.Call, ast.ClassDef)
+_LEAVES = frozenset({ast.Name, ast.Constant, ast.alias, ast.Load, ast.Store, ast.Del, ast.Pass, ast.Break, ast.Continue})
 REFERENCE = "source string, target string, type string, line int"
 #: Folders whose files are no part of a complexity report, beside those with a leading dot.
 IGNORED_FOLDERS = ["__pycache__", "venv", "node_modules", ".git"]
@@ -26,37 +31,40 @@ def _short(e: ast.expr) -> str | None:
     return e.id if isinstance(e, ast.Name) else None
 
 
-def _owners(tree: ast.Module, path: str) -> Iterator[tuple[str, ast.AST]]:
-    """The file, its classes, and its functions that aren't inside others, under the ids of their nodes."""
-    yield path, tree
-    yield from ((x.name, x) for x in ast.walk(tree) if isinstance(x, ast.ClassDef))
-    todo: list[tuple[ast.AST, str | None]] = [(tree, None)]
+def _own_references(x: ast.AST) -> Iterator[tuple[str, str, int]]:
+    """target, type, line of the references that a node of the tree is itself."""
+    found: list[tuple[str | None, str]] = []
+    if isinstance(x, ast.Import):
+        found = [(a.name, "IMPORTS") for a in x.names]
+    elif isinstance(x, ast.ImportFrom):
+        found = [(f"{x.module or ''}.{a.name}", "IMPORTS") for a in x.names]
+    elif isinstance(x, ast.Call):
+        found = [(_short(x.func), "CALLS")]
+    elif isinstance(x, ast.ClassDef):
+        found = [(_short(b), "EXTENDS") for b in x.bases]
+    for target, kind in found:
+        if target:
+            yield target, kind, x.lineno
+
+
+def references_of(tree: ast.Module, path: str) -> Iterator[tuple[str, str, str, int]]:
+    """source, target, type, line of all references within the file, within its classes, and within its functions that aren't
+    inside others, under the ids of their nodes. One pass: each place of the tree knows the nodes around it."""
+    todo: list[tuple[ast.AST, tuple[str, ...], str | None, bool]] = [(tree, (path,), None, False)]
     while todo:
-        x, cls = todo.pop()
-        for child in ast.iter_child_nodes(x):
-            if isinstance(child, ast.ClassDef):
-                todo.append((child, child.name))
-            elif isinstance(child, ast.FunctionDef | ast.AsyncFunctionDef):
-                yield (f"{cls}::{child.name}" if cls else child.name), child
-            else:
-                todo.append((child, cls))
-
-
-def references_of(x: ast.AST) -> Iterator[tuple[str, str, int]]:
-    """target, type, line of all references within a node."""
-    for child in ast.walk(x):
-        found: list[tuple[str | None, str]] = []
-        if isinstance(child, ast.Import):
-            found = [(a.name, "IMPORTS") for a in child.names]
-        elif isinstance(child, ast.ImportFrom):
-            found = [(f"{child.module or ''}.{a.name}", "IMPORTS") for a in child.names]
-        elif isinstance(child, ast.Call):
-            found = [(_short(child.func), "CALLS")]
-        elif isinstance(child, ast.ClassDef):
-            found = [(_short(b), "EXTENDS") for b in child.bases]
-        for target, kind in found:
-            if target:
-                yield target, kind, child.lineno
+        x, around, cls, inside = todo.pop()
+        if isinstance(x, ast.ClassDef):
+            around, cls = (*around, x.name), x.name
+        elif isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef) and not inside:
+            around, inside = (*around, f"{cls}::{x.name}" if cls else x.name), True
+        if isinstance(x, _REFERRING):
+            for r in _own_references(x):
+                yield from ((own, *r) for own in around)
+        for f in x._fields:
+            v = getattr(x, f, None)
+            for child in v if isinstance(v, list) else (v,):
+                if isinstance(child, ast.AST) and type(child) not in _LEAVES:
+                    todo.append((child, around, cls, inside))
 
 
 def references(files: DataFrame) -> DataFrame:
@@ -70,17 +78,17 @@ def references(files: DataFrame) -> DataFrame:
                     tree = ast.parse((content or b"").decode())
                 except (UnicodeDecodeError, SyntaxError, ValueError, RecursionError):
                     continue
-                out += [(own, *r) for own, x in _owners(tree, path) for r in references_of(x)]
+                out += references_of(tree, path)
             kinds = {"source": pa.string(), "target": pa.string(), "type": pa.string(), "line": pa.int32()}
             yield pa.RecordBatch.from_pydict({f: pa.array([r[i] for r in out], k) for i, (f, k) in enumerate(kinds.items())})
 
-    return files.select("path", "content").mapInArrow(run, REFERENCE)
+    return spread(files).mapInArrow(run, REFERENCE)
 
 
 def recalculated(files: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The edges of all nodes of ``files``, each (source, target, type) once at its first line, and the external nodes
     (id, type, name) that stand for targets which ``nodes`` doesn't have."""
-    edges = references(files).groupBy("source", "target", "type").agg(F.min("line").alias("line"))
+    edges = cut(references(files).groupBy("source", "target", "type").agg(F.min("line").alias("line")), "references")  # files are parsed once for both
     missing = edges.select(F.col("target").alias("id")).distinct().join(nodes.select("id").distinct(), "id", "left_anti")
     return edges, missing.select("id", F.lit("external").alias("type"), F.col("id").alias("name"))
 
