@@ -108,8 +108,9 @@ def directory_complexity(parsed: DataFrame) -> DataFrame:
 
 def complexity_report(parsed: DataFrame) -> DataFrame:
     """One row: n_files, n_functions, average (two digits), most, ranks (a count for each of A to F, zeros too), hotspots (the
-    hottest functions: complexity, rank, name, file; ties by file and name). The hottest come from a top-k, not from one list."""
-    own = parsed.where(reported(F.col("path")) & F.col("kind").isin("file", "function"))
+    hottest functions: complexity, rank, name, file; ties by file and name). The hottest come from a top-k, not from one list.
+    Files are parsed once for both."""
+    own = cut(parsed.where(reported(F.col("path")) & F.col("kind").isin("file", "function")).select("kind", "path", "id", "value"), "complexity")
     f = F.when(F.col("kind") == "function", F.col("value"))
     ranks = [F.count_if((F.col("kind") == "function") & (complexity_rank(F.col("value")) == r)).alias(r) for r in "ABCDEF"]
     a = own.agg(F.count_if(F.col("kind") == "file").alias("n_files"), F.count(f).alias("n_functions"), F.coalesce(F.round(F.avg(f), 2), F.lit(0.0)).alias("average"), F.coalesce(F.max(f), F.lit(0)).alias("most"), *ranks)

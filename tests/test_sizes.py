@@ -14,3 +14,16 @@ def test_sources_made_from_one_partition_are_parsed_by_several_tasks(spark, monk
     tasks = found.select(F.spark_partition_id().alias("t")).distinct().count()
     assert found.rdd.getNumPartitions() == 8 and tasks > 4
     assert found.count() == 400 * (5 if parsed is extract.rows else 2)
+
+
+def test_a_complexity_report_parses_each_file_once(spark):
+    parsed, files = spark.sparkContext.accumulator(0), spark.range(300).selectExpr("concat('p/m', id, '.py') AS path", "CAST(concat('def f', id, '(x):\\n    return g(x)\\n') AS BINARY) AS content")
+
+    def counted(batches):
+        for b in batches:
+            parsed.add(b.num_rows)
+            yield b
+
+    rows = extract.rows(files)
+    r = recalc.complexity_report(rows.mapInArrow(counted, rows.schema)).first()
+    assert (r.n_files, r.n_functions) == (300, 300) and parsed.value == 300 * 5
