@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..scratch import cut
 from .density import density as density
 from .density import density_labels as density_labels
+from .density import euclidean
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 42, starts: int = 10) -> DataFrame:
@@ -43,56 +44,85 @@ def labels(nodes: DataFrame, cluster: str = "cluster") -> DataFrame:
     return t.join(common, cluster, "left").select(cluster, "dominant_type", F.coalesce("common_path", F.lit("")).alias("common_path"))
 
 
-#: Vectors of a block: two blocks' distances are a matrix of 8 MB.
-BLOCK = 1000
+#: Vectors of a block: two blocks' distances are a matrix of 8 MB. Values of a block's sums, at most, and blocks of a side of a tile.
+BLOCK, SUMS, SIDE = 1000, 1_000_000, 16
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """block, own (the rows' clusters as numbers), x (their vectors, packed)."""
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """block, own (the rows' clusters as numbers, ascending), x (their vectors, packed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                x = np.array(part.column("x").to_pylist(), dtype="<f8")
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "own": pa.array([part.column("c").to_pylist()], pa.list_(pa.int32())), "x": pa.array([x.tobytes()], pa.binary())})
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                c = np.array(part.column("c").to_pylist(), dtype=np.int32)
+                order = np.argsort(c, kind="stable")
+                x = np.array(part.column("x").to_pylist(), dtype="<f8").reshape(len(c), -1)[order]
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "own": pa.array([c[order].tolist()], pa.list_(pa.int32())), "x": pa.array([x.tobytes()], pa.binary())})
                 block += 1
 
     return rows.mapInArrow(run, "block long, own array<int>, x binary")
 
 
+def _add_sums(to: np.ndarray, far: np.ndarray, clusters: np.ndarray) -> None:
+    """Add to ``to`` (rows by clusters) the sums of ``far`` over the columns of each of ``clusters`` (ascending)."""
+    at = np.flatnonzero(np.r_[True, clusters[1:] != clusters[:-1]])
+    to[:, clusters[at]] += np.add.reduceat(far, at, axis=1)
+
+
+def _tile(pieces: pa.Table, k: int) -> pa.Table:
+    """block, sums (rows by clusters, packed) of all pairs of a block of side 0 and one of side 1, each pair once; a tile of the
+    diagonal has its blocks on side 0 only."""
+    sides: tuple[list, list] = ([], [])
+    for r in zip(*[pieces.column(c) for c in ("block", "side", "own", "x")], strict=True):
+        own = np.asarray(r[2].values)
+        sides[r[1].as_py()].append((r[0].as_py(), own, np.frombuffer(r[3].as_py(), "<f8").reshape(len(own), -1), np.zeros((len(own), k))))
+    left, right = (sorted(s, key=lambda b: b[0]) for s in sides)
+    for i, (_, own, x, sums) in enumerate(left):
+        for j, (_, other, y, back) in enumerate(right or left):
+            if right or i <= j:
+                far = euclidean(x, y)
+                _add_sums(sums, far, other)
+                if right or i < j:
+                    _add_sums(back, np.ascontiguousarray(far.T), own)
+    out = left + right
+    return pa.table({"block": pa.array([b[0] for b in out], pa.int64()), "own": pa.array([b[1].tolist() for b in out], pa.list_(pa.int32())), "sums": pa.array([b[3].tobytes() for b in out], pa.binary())})
+
+
 def silhouette(vectors: DataFrame, cluster: str = "cluster") -> float:
     """Mean silhouette by euclidean distance; 0 for fewer than two clusters. Rows without cluster or vector don't count.
 
-    Exact: each block of rows meets each other block, and only sums by row and cluster leave a pair of blocks. The work
-    grows with the square of the rows, memory doesn't."""
+    Exact: each pair of blocks of rows meets once, in a tile of ``SIDE`` by ``SIDE`` blocks, and only sums by row and cluster
+    leave a tile. The work grows with the square of the rows, a task's memory is a tile's."""
     rows = vectors.where(F.col(cluster).isNotNull() & F.col("embedding").isNotNull())
     sizes = rows.groupBy(cluster).count().orderBy(cluster).collect()  # as many as clusters
     if len(sizes) < 2:
         return 0.0
-    names = rows.sparkSession.createDataFrame([(r[0], i, r[1]) for i, r in enumerate(sizes)], rows.select(F.col(cluster).alias("name")).schema.add("c", "integer").add("n", "long"))
+    names = rows.sparkSession.createDataFrame([(r[0], i) for i, r in enumerate(sizes)], rows.select(F.col(cluster).alias("name")).schema.add("c", "integer"))
     numbered = rows.join(F.broadcast(names), F.col(cluster) == F.col("name")).select("c", F.col("embedding").cast("array<double>").alias("x"))
-    blocks = cut(_blocks(numbered), "silhouette-blocks")
-    ids = [r.block for r in blocks.select("block").collect()]
-    k = len(sizes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                own, other = np.array(r["own"]), np.array(r["other"])
-                x, y = (np.frombuffer(r[c], "<f8").reshape(len(o), -1) for c, o in (("x", own), ("y", other)))
-                far = np.sqrt(sum((x[:, i, None] - y[None, :, i]) ** 2 for i in range(x.shape[1])))
-                sums = np.stack([far[:, other == c].sum(axis=1) for c in range(k)], axis=1).reshape(-1)
-                row, c = np.divmod(np.arange(len(sums)), k)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([r["block"]] * len(sums), pa.int64()), "row": pa.array(row, pa.int32()), "own": pa.array(own[row], pa.int32()), "c": pa.array(c, pa.int32()), "s": pa.array(sums)})
-
-    meets = blocks.withColumn("to", F.explode(F.array(*map(F.lit, ids)))).join(blocks.select(F.col("block").alias("to"), F.col("own").alias("other"), F.col("x").alias("y")), "to")
-    sums = meets.select("block", "own", "x", "other", "y").mapInArrow(run, "block long, row int, own int, c int, s double").groupBy("block", "row", "own", "c").agg(F.sum("s").alias("s"))
-    sums = sums.join(F.broadcast(names.select("c", "n")), "c")
-    mine = F.max(F.when(F.col("own") == F.col("c"), F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1))))
-    near = F.min(F.when(F.col("own") != F.col("c"), F.col("s") / F.col("n")))
-    each = sums.groupBy("block", "row").agg(mine.alias("a"), near.alias("b"))
-    return each.agg(F.avg(F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")))).first()[0]
+    k, n = len(sizes), np.array([r["count"] for r in sizes], dtype=float)
+    blocks = cut(_blocks(numbered, max(1, min(BLOCK, SUMS // k))), "silhouette-blocks")
+    ids = sorted(r.block for r in blocks.select("block").collect())
+    band = rows.sparkSession.createDataFrame([(b, i // SIDE) for i, b in enumerate(ids)], "block long, band int")
+    bands = F.array(*map(F.lit, range(-(-len(ids) // SIDE))))
+    meets = blocks.join(F.broadcast(band), "block").withColumn("to", F.explode(bands))
+    meets = meets.select(F.least("band", "to").alias("a"), F.greatest("band", "to").alias("b"), (F.col("band") > F.col("to")).cast("int").alias("side"), "block", "own", "x")
+    tiles = -(-len(ids) // SIDE) * (-(-len(ids) // SIDE) + 1) // 2
+    sums = meets.repartition(tiles, "a", "b").groupBy("a", "b").applyInArrow(lambda t: _tile(t, k), "block long, own array<int>, sums binary")
+
+    def rated(t: pa.Table) -> pa.Table:
+        own = np.asarray(t.column("own")[0].values)
+        s = sum(np.frombuffer(x.as_py(), "<f8").reshape(len(own), k) for x in t.column("sums"))
+        mine, each = n[own], np.arange(len(own))
+        a, mean = s[each, own] / np.maximum(mine - 1, 1), s / n
+        mean[each, own] = np.inf
+        b = mean.min(axis=1)
+        most = np.maximum(a, b)
+        rate = np.where((mine < 2) | (most == 0), 0.0, (b - a) / np.where(most == 0, 1.0, most))
+        return pa.table({"rate": pa.array([float(rate.sum())]), "n": pa.array([len(own)], pa.int64())})
+
+    total = sums.groupBy("block").applyInArrow(rated, "rate double, n long").agg(F.sum("rate"), F.sum("n")).first()
+    return total[0] / total[1]

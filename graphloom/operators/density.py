@@ -1,8 +1,8 @@
 """Density clusters (HDBSCAN) of groups of any size.
 
 Exact, in blocks: core distances from nearest-neighbour lists that blocks of vectors merge pair by pair, then Boruvka rounds
-for the minimum spanning tree of mutual reachability, each a pass over pairs of blocks that keeps one best edge for each component.
-Edges are ordered by (length, smaller id, larger id), so the tree is the only one. The time grows with the square of a
+for the minimum spanning tree of mutual reachability, each a pass over pairs of blocks that keeps one best edge for each component
+but the largest, which the others join. Matrix products tell which distances can count; those are worked out exactly. Edges are ordered by (length, smaller id, larger id), so the tree is the only one. The time grows with the square of a
 group, a task's memory with two blocks. Only the tree (24 bytes an edge) and the ids of a group meet in one task, which sorts
 and condenses it.
 """
@@ -34,6 +34,45 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def of_pairs(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The same distances, to the last bit, of single pairs of rows."""
+    out = np.zeros(len(i))
+    for d in range(x.shape[1]):
+        gap = x[i, d] - y[j, d]
+        out += gap * gap
+    return np.sqrt(out)
+
+
+def about(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by a matrix product, and for each row of ``x`` a bound of their error, and of the exact ones'."""
+    sx, sy = (np.einsum("ij,ij->i", v, v) for v in (x, y))
+    square = x @ y.T
+    square *= -2
+    square += sx[:, None]
+    square += sy[None, :]
+    return square, 8 * (x.shape[1] + 8) * np.finfo(float).eps * (sx + sy.max())
+
+
+def euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances by a matrix product; those that it can't tell well, of nearly equal vectors, are worked out one by one."""
+    square, error = about(x, y)
+    if not np.isfinite(error).all():
+        return distances(x, y)
+    i, j = np.nonzero(square <= 1e4 * error[:, None])
+    if len(i) > square.size // 8:
+        return distances(x, y)
+    np.maximum(square, 0, out=square)
+    far = np.sqrt(square, out=square)
+    far[i, j] = of_pairs(x, y, i, j)
+    return far
+
+
+def _candidates(square: np.ndarray, limit: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``square`` that may be within ``limit`` (by row, squared) if both are off by ``error``."""
+    limit = np.where(np.isfinite(limit), limit * (1 + 1e-13) + 2 * error, -1.0)
+    return np.nonzero(square <= limit[:, None])
+
+
 def condensed(n: int, tree: list[tuple[float, int, int]], min_cluster_size: int) -> np.ndarray:
     """Cluster of each of ``n`` points, -1 for noise: the tree (ascending) condensed by ``min_cluster_size``, clusters by excess of mass."""
     if n < 2 * min_cluster_size:
@@ -155,6 +194,28 @@ def _matrix(x: bytes, n: int) -> np.ndarray:
     return np.frombuffer(x, dtype="<f8").reshape(n, -1)
 
 
+def _nearer(best: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``best`` (the least distances of each row so far, ascending) after rows of ``y`` have been met. A matrix product
+    tells which distances can count, and only these are worked out."""
+    k = best.shape[1]
+    square, error = about(x, y)
+    if np.isfinite(error).all():
+        limit = best[:, -1] ** 2
+        if len(y) >= k and not np.isfinite(limit).all():
+            limit = np.minimum(limit, np.maximum(np.partition(square, k - 1, axis=1)[:, k - 1], 0))
+        if np.isfinite(limit).all():
+            i, j = _candidates(square, limit, error)
+            if len(i) <= square.size // 8:
+                far = of_pairs(x, y, i, j)
+                order = np.lexsort((far, i))
+                i, far = i[order], far[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                new = np.full_like(best, np.inf)
+                new[i[rank < k], rank[rank < k]] = far[rank < k]
+                return np.sort(np.concatenate([best, new], axis=1), axis=1)[:, :k]
+    return np.sort(np.concatenate([best, distances(x, y)], axis=1), axis=1)[:, :k]
+
+
 def _cores(blocks: DataFrame, k: int) -> DataFrame:
     """block, core: the distance to the ``k``-th nearest vector, itself included, of each of its vectors."""
 
@@ -167,8 +228,7 @@ def _cores(blocks: DataFrame, k: int) -> DataFrame:
                     if at is not None:
                         yield done()
                     at, best = block.as_py(), np.full((len(ids), k), np.inf)
-                far = distances(_matrix(x.as_py(), len(ids)), _matrix(y.as_py(), len(o_ids)))
-                best = np.sort(np.concatenate([best, far], axis=1), axis=1)[:, :k]
+                best = _nearer(best, _matrix(x.as_py(), len(ids)), _matrix(y.as_py(), len(o_ids)))
         if at is not None:
             yield done()
 
@@ -181,8 +241,29 @@ def _cores(blocks: DataFrame, k: int) -> DataFrame:
     return runs.groupBy("block").agg(F.collect_list("near").alias("near")).mapInArrow(merge, "block long, core array<double>")
 
 
-def _shortest(state: DataFrame) -> DataFrame:
-    """comp, w, a, b, other: for each component the first edge, in order, that leaves it."""
+def _leaving(x: np.ndarray, y: np.ndarray, core: np.ndarray, o_core: np.ndarray, comp: np.ndarray, o_comp: np.ndarray, theirs: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``x``, the place in ``y`` of each one's first edge, in order, to another component, and its length; rows
+    that have none, or a longer one than ``w``, may be missing."""
+    square, error = about(x, y)
+    if np.isfinite(error).all():
+        np.maximum(square, (core**2)[:, None], out=square)
+        np.maximum(square, (o_core**2)[None, :], out=square)
+        square[comp[:, None] == o_comp[None, :]] = np.inf
+        i, j = _candidates(square, np.minimum(square.min(axis=1), w**2), error)
+        if len(i) <= square.size // 8:
+            reach = np.maximum(of_pairs(x, y, i, j), np.maximum(core[i], o_core[j]))
+            order = np.lexsort((theirs[j], reach, i))
+            i, j, reach = i[order], j[order], reach[order]
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+            return i[first], j[first], reach[first]
+    reach = np.maximum(distances(x, y), np.maximum(core[:, None], o_core[None, :]))
+    reach[comp[:, None] == o_comp[None, :]] = np.inf
+    best, rows = reach.argmin(axis=1), np.arange(len(x))  # the first of equals has the smaller id
+    return rows, best, reach[rows, best]
+
+
+def _shortest(state: DataFrame, largest: int) -> DataFrame:
+    """comp, w, a, b, other: for each component but the ``largest`` the first edge, in order, that leaves it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = own = w = to = comp_to = None
@@ -205,13 +286,15 @@ def _shortest(state: DataFrame) -> DataFrame:
                 theirs, their_comp = np.asarray(o_ids.values), np.asarray(o_comp.values)
                 if own[1].min() == own[1].max() == their_comp.min() == their_comp.max():
                     continue
-                reach = distances(_matrix(x.as_py(), len(own[0])), _matrix(y.as_py(), len(theirs)))
-                reach = np.maximum(reach, np.maximum(np.asarray(core.values)[:, None], np.asarray(o_core.values)[None, :]))
-                reach[own[1][:, None] == their_comp[None, :]] = np.inf
-                best = reach.argmin(axis=1)  # the first of equals has the smaller id
-                new = reach[np.arange(len(best)), best]
-                better = (new < w) | ((new == w) & np.isfinite(new) & (theirs[best] < to))
-                w[better], to[better], comp_to[better] = new[better], theirs[best][better], their_comp[best][better]
+                some = np.flatnonzero(own[1] != largest)
+                if not len(some):
+                    continue
+                x, y = _matrix(x.as_py(), len(own[0])), _matrix(y.as_py(), len(theirs))
+                i, best, new = _leaving(x[some], y, np.asarray(core.values)[some], np.asarray(o_core.values), own[1][some], their_comp, theirs, w[some])
+                i = some[i]
+                better = (new < w[i]) | ((new == w[i]) & np.isfinite(new) & (theirs[best] < to[i]))
+                i, best, new = i[better], best[better], new[better]
+                w[i], to[i], comp_to[i] = new, theirs[best], their_comp[best]
         if at is not None:
             yield done()
 
@@ -220,11 +303,12 @@ def _shortest(state: DataFrame) -> DataFrame:
     return found.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("comp", "e.*")
 
 
-def _merged(hooks: DataFrame) -> DataFrame:
-    """comp, root: components after each has joined its ``other``. Only two at a time can have chosen each other."""
+def _merged(hooks: DataFrame, largest: int) -> DataFrame:
+    """comp, root: components after each has joined its ``other``. Only two at a time can have chosen each other; the ``largest``
+    has chosen none."""
     back = hooks.select(F.col("comp").alias("other"), F.col("other").alias("back"))
     up = hooks.join(back, "other", "left").select("comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other")).alias("root"))
-    up = cut(up, "density-up")
+    up = cut(up.union(hooks.sparkSession.createDataFrame([(largest, largest)], "comp long, root long")), "density-up")
     while True:
         over = up.select(F.col("comp").alias("root"), F.col("root").alias("top"))
         new = cut(up.join(over, "root").select("comp", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "density-up")
@@ -241,12 +325,14 @@ def spanning_tree(blocks: DataFrame, min_cluster_size: int) -> DataFrame:
     tree = None
     while True:
         comp = points.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "comp"))), lambda s: s["comp"]).alias("comp"))
-        best = cut(_shortest(fixed.join(comp, "block")), "density-best")
+        largest = points.groupBy("comp").count().orderBy(F.desc("count"), "comp").first()
+        largest = largest.comp if largest else -1
+        best = cut(_shortest(fixed.join(comp, "block"), largest), "density-best")
         if best.isEmpty():
             return tree
         new = best.select("a", "b", "w").distinct()
         tree = new if tree is None else tree.union(new)
-        points = cut(points.join(_merged(best), "comp").select("block", "pos", F.col("root").alias("comp")), "density-points")
+        points = cut(points.join(_merged(best, largest), "comp").select("block", "pos", F.col("root").alias("comp")), "density-points")
 
 
 def density(vectors: DataFrame, group: str | None, key: str, min_cluster_size: int = 5, block: int = BLOCK) -> DataFrame:

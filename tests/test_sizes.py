@@ -1,9 +1,10 @@
 """Work that grows with the tables is dealt over tasks, and no step holds or moves more than its share."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import extract, recalc
+from graphloom.operators import clustering, density, extract, recalc
 
 
 @pytest.mark.parametrize("parsed", [extract.rows, recalc.references])
@@ -27,3 +28,39 @@ def test_a_complexity_report_parses_each_file_once(spark):
     rows = extract.rows(files)
     r = recalc.complexity_report(rows.mapInArrow(counted, rows.schema)).first()
     assert (r.n_files, r.n_functions) == (300, 300) and parsed.value == 300 * 5
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_distances_by_products_are_the_exact_ones(monkeypatch, shift):
+    """Only distances that can count are worked out one by one: nearest ones and edges equal those of all distances to the last bit."""
+    rnd = np.random.default_rng(3)
+    x, y = rnd.normal(size=(300, 32)) + shift, rnd.normal(size=(400, 32)) + shift
+    y[:50] = x[:50]  # copies
+    y[50:60] = x[0]
+    far, core, o_core = density.distances(x, y), rnd.random(300) * 7, rnd.random(400) * 7
+    comp, o_comp, theirs = rnd.integers(0, 5, 300), rnd.integers(0, 5, 400), np.arange(1000, 1400)
+    reach = np.maximum(far, np.maximum(core[:, None], o_core[None, :]))
+    reach[comp[:, None] == o_comp[None, :]] = np.inf
+    worked = []
+    for name in ("of_pairs", "distances"):
+        monkeypatch.setattr(density, name, lambda *a, f=getattr(density, name): worked.append(out := f(*a)) or out)
+    best = density._nearer(density._nearer(np.full((300, 5), np.inf), x, y[:200]), x, y[200:])
+    assert (best == np.sort(far, axis=1)[:, :5]).all()
+    rows, to, w = density._leaving(x, y, core, o_core, comp, o_comp, theirs, np.full(300, np.inf))
+    assert (rows == np.arange(300)).all() and (to == reach.argmin(axis=1)).all() and (w == reach.min(axis=1)).all()
+    assert shift or sum(o.size for o in worked) < far.size / 4
+    assert np.abs(density.euclidean(x, y) - far).max() < (1e-9 if not shift else 1e-3) and (density.euclidean(x, y)[far == 0] == 0).all()
+
+
+def test_each_pair_of_blocks_meets_once_in_a_silhouette(spark, monkeypatch):
+    rnd = np.random.default_rng(1)
+    x, c = rnd.normal(size=(90, 3)).round(1), rnd.integers(0, 4, 90)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    each = []
+    for i in range(90):
+        a, b = far[i, c == c[i]].sum() / max((c == c[i]).sum() - 1, 1), min(far[i, c == o].mean() for o in set(c) - {c[i]})
+        each.append(0 if (c == c[i]).sum() < 2 else (b - a) / max(a, b))
+    monkeypatch.setattr(clustering, "BLOCK", 7)
+    monkeypatch.setattr(clustering, "SIDE", 2)
+    v = spark.createDataFrame([(int(k), r.tolist()) for k, r in zip(c, x, strict=True)], "cluster int, embedding array<double>")
+    assert clustering.silhouette(v) == pytest.approx(np.mean(each), abs=1e-9)
