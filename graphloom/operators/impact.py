@@ -7,26 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CRITICAL_PATHS
 from ..functions.scalars import basename, dirname, join_path, stem
+from ..scratch import cut
 from .adjacency import Adjacency, Picked
 from .lookup import file_graph
 from .traverse import reach
 
 
-def _users(graph: DataFrame | Adjacency, nodes: DataFrame | None, leave_out: list[str] | None) -> Picked | DataFrame:
-    """Steps from a file to those that use it; of a stored adjacency, or of edges and nodes."""
+def _users(graph: DataFrame | Adjacency, nodes: DataFrame | None, leave_out: list[str] | None, whole: bool = False) -> Picked | DataFrame:
+    """Steps from a file to those that use it; of an adjacency, or of edges and nodes."""
     if isinstance(graph, Adjacency):
-        return graph.file_steps(leave_out)
+        return graph.file_steps(leave_out, whole)
     steps = file_graph(graph, nodes).withColumnsRenamed({"path": "a", "by_path": "b"})
     return steps.where(~F.col("b").isin(leave_out)) if leave_out else steps
 
 
 def direct(graph: DataFrame | Adjacency, nodes: DataFrame | None, changed: list[str]) -> DataFrame:
     """path, edge_types: files outside ``changed`` that use a changed file; types of the edges to the first node by which a file was found."""
-    steps = _users(graph, nodes, changed)
+    steps = _users(graph, nodes, changed, whole=True)
     if isinstance(steps, DataFrame):
         g = steps.where(F.col("a").isin(changed))
     else:
-        g = steps.of(graph.spark.createDataFrame([(c,) for c in dict.fromkeys(changed)], "a string"), len(changed))
+        g = cut(steps.of(graph.spark.createDataFrame([(c,) for c in dict.fromkeys(changed)], "a string"), len(changed)).select("a", "b", "edge_type", "node_ord", "edge_ord"), "impact")
     rank = F.array_position(F.array(*map(F.lit, changed)), F.col("a"))
     first = g.groupBy("b").agg(F.min(F.struct(rank.alias("r"), "node_ord", "edge_ord")).alias("f"))
     own = g.join(first, "b").where(F.col("node_ord") == F.col("f.node_ord"))

@@ -131,7 +131,7 @@ def _(spark, d):
 @query("impact_visual_split", f"{R}own AS (SELECT id FROM nodes WHERE path = 'r:1'), v(id, depth) AS (SELECT id, 0 FROM own UNION SELECT e.source, depth + 1 FROM v JOIN edges e ON e.target = v.id WHERE depth < 3 AND e.source NOT IN (FROM own)) SELECT id, CASE WHEN min(depth) = 1 THEN 'direct' ELSE 'indirect' END AS kind FROM v WHERE depth > 0 GROUP BY id")
 def _(spark, d):
     own = nodes(spark, d).where("path = 'r:1'").select("id")
-    steps = Picked((adjacency(spark, d).back, lambda met: met.join(own.withColumnRenamed("id", "b"), "b", "left_anti")))
+    steps = Picked((adjacency(spark, d).steps("incoming"), lambda met: met.join(own.withColumnRenamed("id", "b"), "b", "left_anti")))
     return traverse.reach(steps, own, 3).where("depth > 0").select("id", F.when(F.col("depth") == 1, "direct").otherwise("indirect").alias("kind"))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import clustering, density, extract, recalc
+from graphloom.operators import adjacency, clustering, density, extract, impact, recalc, traverse
 
 
 @pytest.mark.parametrize("parsed", [extract.rows, recalc.references])
@@ -64,3 +64,18 @@ def test_each_pair_of_blocks_meets_once_in_a_silhouette(spark, monkeypatch):
     monkeypatch.setattr(clustering, "SIDE", 2)
     v = spark.createDataFrame([(int(k), r.tolist()) for k, r in zip(c, x, strict=True)], "cluster int, embedding array<double>")
     assert clustering.silhouette(v) == pytest.approx(np.mean(each), abs=1e-9)
+
+
+def test_a_walk_over_tables_writes_no_graph(spark, tmp_path):
+    """Edges are scanned for a frontier, and equal those of the stored graph."""
+    edges = spark.createDataFrame([(f"v{i}", f"v{j}", "CALLS", 1, i * 40 + j) for i in range(40) for j in (i * 7 % 40, (i + 3) % 40)], "source string, target string, type string, line int, ord long")
+    nodes = spark.createDataFrame([(f"v{i}", f"p{i // 2}", i) for i in range(40)] + [("v0", "p30", 40)], "id string, path string, ord long")
+    edges.write.parquet(str(tmp_path / "t"))
+    scanned = adjacency.opened(spark, "scanned", [str(tmp_path / "t")], lambda: nodes, lambda: spark.read.parquet(str(tmp_path / "t")))
+    stored = adjacency.Adjacency(nodes, edges, str(tmp_path / "graph"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for way in traverse.DIRECTIONS:
+        assert [rows(x) for x in traverse.khop(scanned, "v3", 3, way)] == [rows(x) for x in traverse.khop(stored, "v3", 3, way)]
+    assert rows(impact.direct(scanned, None, ["p1", "p2"])) == rows(impact.direct(stored, None, ["p1", "p2"]))
+    assert rows(impact.closure(scanned, None, ["p1"], None)) == rows(impact.closure(stored, None, ["p1"], None))
+    assert not any(t.ready() for t in scanned._stored.values()) and all(t.ready() for t in stored._stored.values())
