@@ -55,6 +55,19 @@ def _rows(column: pa.Array) -> np.ndarray:
     return unit(np.array(column.to_pylist(), dtype=float)) if len(column) else np.zeros((0, 0))
 
 
+def _sampled(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``FIT_ROWS`` of ``n`` rows by a hash of the id. Only rows below a bound of the hash, about a quarter too many, go to
+    the top: else each partition would send ``FIT_ROWS`` rows of its own."""
+    first, share = rows, 1.25 * FIT_ROWS / max(n, 1)
+    while share < 1:
+        below = rows.where(F.xxhash64("id") < int(-(2**63) + share * 2**64))
+        if below.count() >= FIT_ROWS:
+            first = below
+            break
+        share *= 2
+    return first.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS)
+
+
 class VectorIndex:
     """Lists under ``path``: blocks (list, ids, x, low, high), written by ``build``."""
 
@@ -68,7 +81,7 @@ class VectorIndex:
         """Centroids are fitted on ``FIT_ROWS`` rows at most, chosen by a hash of the id; every row is indexed."""
         rows = cut(_usable(vectors, key), "index-rows")  # vectors may come from an embedder, which is called once for each text
         n = rows.count()
-        sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("x").collect()
+        sample = _sampled(rows, n).select("x").collect()
         x = unit(np.array([r.x for r in sample])) if sample else np.zeros((0, 1))
         k = min(len(x), lists or max(1, min(MOST, int(np.sqrt(n)))))
         c = fitted(x, k) if k else x
