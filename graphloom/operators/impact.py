@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import CRITICAL_PATHS
 from ..functions.scalars import basename, dirname, join_path, stem
 from ..scratch import cut
-from .adjacency import Adjacency, Picked
+from .adjacency import Adjacency, Picked, few
 from .lookup import file_graph
 from .traverse import reach
 
@@ -44,6 +44,21 @@ def closure(graph: DataFrame | Adjacency, nodes: DataFrame | None, changed: list
     return found.where("depth > 0").select(F.col("id").alias("path"), F.col("depth").alias("distance"))
 
 
+def within_two(direct: DataFrame) -> DataFrame:
+    """changed, by_path: each pair within two steps of ``direct`` (changed, by_path; distinct), a file and itself left out.
+
+    Files between that use the same files are as one: what uses any of them is made distinct before it meets what they
+    use, so that many hubs with the same users don't multiply. Equal sets go by their size and two 64-bit sums of hashes."""
+    h = F.xxhash64("changed")
+    ways = direct.groupBy(F.col("by_path").alias("mid")).agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(h, "changed")).alias("x"))
+    kinds = cut(ways.join(ways.groupBy("n", "s", "x").agg(F.min("mid").alias("kind")), ["n", "s", "x"]).select("mid", "kind"), "kinds")
+    after = direct.select(F.col("changed").alias("mid"), F.col("by_path").alias("to")).join(kinds, "mid").select("kind", "to").distinct()
+    met = after.select("kind").distinct()
+    before = cut(direct.withColumnRenamed("by_path", "kind").join(met, "kind", "left_semi"), "before")
+    further = after.join(few(before, before.count()), "kind").where("to <> changed").select("changed", F.col("to").alias("by_path"))
+    return direct.select("changed", "by_path").union(further).distinct()
+
+
 def tests_of(affected: DataFrame, files: DataFrame) -> DataFrame:
     """path, test: the first of five candidate paths that is a file (path)."""
     p = F.col("path")

@@ -7,7 +7,7 @@ from ..operators import impact, paths, traverse
 from ..operators.adjacency import Picked
 from ..operators.cache import ResultCache
 from ..operators.lookup import file_graph, first_nodes, induced
-from ..scratch import scratch
+from ..scratch import cut, scratch
 from ..sources.graph import G, adjacency, edges, nodes, transitions
 from .registry import query
 
@@ -116,10 +116,9 @@ def _(spark, d):
 
 @query("pr_risk", f"WITH {G}, {FG}, d AS (SELECT DISTINCT path AS changed, by_path FROM f WHERE path <> by_path), t AS (SELECT DISTINCT d.changed, f.by_path FROM d JOIN f ON f.path = d.by_path WHERE f.by_path <> d.changed), a AS (SELECT changed, by_path FROM d UNION SELECT changed, by_path FROM t), n AS (SELECT changed, count(*) AS n FROM a GROUP BY changed) SELECT changed, n AS n_impacted, CASE WHEN n <= 5 THEN 'low' ELSE 'medium' END AS risk FROM n")
 def _(spark, d):
-    f = file_graph(edges(spark, d), nodes(spark, d)).select("path", "by_path").distinct()
-    direct = f.where("path <> by_path").withColumnRenamed("path", "changed")
-    further = direct.withColumnRenamed("by_path", "path").join(f, "path").where("by_path <> changed").select("changed", "by_path")
-    n = direct.union(further).distinct().groupBy("changed").agg(F.count("*").alias("n_impacted"), F.max(impact.critical(F.col("by_path"))).alias("critical"))
+    f = file_graph(edges(spark, d), nodes(spark, d)).where("path <> by_path")
+    direct = cut(f.select(F.col("path").alias("changed"), "by_path").distinct(), "direct")
+    n = impact.within_two(direct).groupBy("changed").agg(F.count("*").alias("n_impacted"), F.max(impact.critical(F.col("by_path"))).alias("critical"))
     return n.select("changed", "n_impacted", impact.pr_risk(F.col("n_impacted"), F.lit(1), F.col("critical")).alias("risk"))
 
 

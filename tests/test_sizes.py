@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import adjacency, clustering, density, extract, impact, recalc, traverse
+from graphloom.operators import adjacency, clustering, density, extract, impact, recalc, traverse, vector_index
 
 
 @pytest.mark.parametrize("parsed", [extract.rows, recalc.references])
@@ -79,3 +79,29 @@ def test_a_walk_over_tables_writes_no_graph(spark, tmp_path):
     assert rows(impact.direct(scanned, None, ["p1", "p2"])) == rows(impact.direct(stored, None, ["p1", "p2"]))
     assert rows(impact.closure(scanned, None, ["p1"], None)) == rows(impact.closure(stored, None, ["p1"], None))
     assert not any(t.ready() for t in scanned._stored.values()) and all(t.ready() for t in stored._stored.values())
+
+
+def test_a_sample_comes_from_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "FIT_ROWS", 50)
+    rows = spark.range(4000).repartition(20)
+    tops = []
+    order = type(rows).orderBy
+    monkeypatch.setattr(type(rows), "orderBy", lambda df, *c: tops.append(df.count()) or order(df, *c))
+    got = {r.id for r in vector_index._sampled(rows, 4000).collect()}
+    assert got == {r.id for r in order(rows, F.xxhash64("id"), "id").limit(50).collect()}
+    assert tops[0] < 200
+    assert vector_index._sampled(spark.range(30), 30).count() == 30 and vector_index._sampled(spark.range(0), 0).count() == 0
+    assert vector_index._sampled(spark.range(1, 2).crossJoin(spark.range(4000).select(F.lit(1))).select("id"), 4000).count() == 50  # one id
+
+
+def test_hubs_with_the_same_users_do_not_multiply(spark, monkeypatch):
+    """25 files that use the same 25, each used by 200: pairs equal plain ones, and no join makes more rows than there are pairs."""
+    pairs = [(f"n{i}", f"b{j}") for i in range(25) for j in range(25)] + [(f"b{j}", f"c{k}") for j in range(25) for k in range(200)] + [("r", f"n{i}") for i in range(25)]
+    pairs += [("c7", "n3"), ("c8", "c9"), ("c9", "c8")]
+    want = set(pairs) | {(a, d) for a, b in pairs for c, d in pairs if b == c and a != d}
+    unions = []
+    union = type(spark.range(0)).union
+    monkeypatch.setattr(type(spark.range(0)), "union", lambda a, b: unions.append(b.count()) or union(a, b))
+    got = impact.within_two(spark.createDataFrame(pairs, "changed string, by_path string")).collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert unions[0] < 2 * len(want)
