@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import dealt
+
 
 def node_changes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """key, change: added, removed or changed (any other shared column differs, null-safe)."""
@@ -17,8 +19,8 @@ def node_changes(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 def edge_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """source, target, type, change, as sets: lines and repetitions don't count; ``ord`` is the first of an edge."""
     key = ["source", "target", "type"]
-    sides = old.withColumn("side", F.lit(1)).unionByName(new.withColumn("side", F.lit(2)))
-    seen = sides.groupBy(*key).agg(F.bit_or("side").alias("s"), F.min("ord").alias("ord"))
+    sides = old.select(*key, "ord").withColumn("side", F.lit(1)).unionByName(new.select(*key, "ord").withColumn("side", F.lit(2)))
+    seen = dealt(sides, sides.count(), *key).groupBy(*key).agg(F.bit_or("side").alias("s"), F.min("ord").alias("ord"))
     return seen.where("s < 3").select(*key, F.when(F.col("s") == 1, "removed").otherwise("added").alias("change"), "ord")
 
 

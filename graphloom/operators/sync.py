@@ -12,6 +12,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import dealt
+
 from .diff import upsert
 from .lookup import first_nodes
 
@@ -179,7 +181,8 @@ def change_counts(changes: DataFrame, before: DataFrame, after: DataFrame) -> Da
 def edge_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row: added, removed and kept edges as sets of (source, target, type)."""
     key = ["source", "target", "type"]
-    s = old.select(*key, F.lit(1).alias("s")).union(new.select(*key, F.lit(2))).groupBy(*key).agg(F.bit_or("s").alias("s"))
+    sides = old.select(*key, F.lit(1).alias("s")).union(new.select(*key, F.lit(2)))
+    s = dealt(sides, sides.count(), *key).groupBy(*key).agg(F.bit_or("s").alias("s"))
     return s.agg(F.count_if(F.col("s") == 2).alias("added"), F.count_if(F.col("s") == 1).alias("removed"), F.count_if(F.col("s") == 3).alias("kept"))
 
 

@@ -66,3 +66,13 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.cut_path)
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Rows that a task aggregates by key, about, where few of them are equal: some 100 MB.
+KEYED_ROWS = 500_000
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``df`` (``n`` rows, about) by ``keys``, in as many partitions as a group-by's tasks have memory for. The number of
+    partitions grows with the rows, and no task aggregates before the shuffle, where its share is a file's split."""
+    return df.repartition(max(1, -(-n // KEYED_ROWS)), *keys)

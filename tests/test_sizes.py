@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import adjacency, clustering, density, extract, impact, recalc, traverse, vector_index
+from graphloom.operators import adjacency, clustering, density, diff, extract, impact, recalc, sync, traverse, vector_index
+from graphloom import scratch
 
 
 @pytest.mark.parametrize("parsed", [extract.rows, recalc.references])
@@ -105,3 +106,14 @@ def test_hubs_with_the_same_users_do_not_multiply(spark, monkeypatch):
     got = impact.within_two(spark.createDataFrame(pairs, "changed string, by_path string")).collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
     assert unions[0] < 2 * len(want)
+
+
+@pytest.mark.parametrize("changes", [diff.edge_changes, sync.edge_changes])
+def test_edges_are_compared_in_shares_that_do_not_grow(spark, monkeypatch, changes):
+    monkeypatch.setattr(scratch, "KEYED_ROWS", 100)
+    e = spark.range(2000).coalesce(1).selectExpr("concat('a', id) AS source", "'b' AS target", "'CALLS' AS type", "1 AS line", "id AS ord")
+    found = changes(e.where("ord % 10 <> 0"), e.where("ord % 7 <> 0"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [source" in plan and ", 36" in plan  # 1800 and 1714 rows
+    counts = [found.where(f"change = '{c}'").count() for c in ("added", "removed")] if "change" in found.columns else list(found.first()[:2])
+    assert counts == [171, 257]
