@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import ENTRY_FILES
+from ..scratch import dealt
 
 
 def first_nodes(nodes: DataFrame, key: str = "id") -> DataFrame:
@@ -14,13 +15,23 @@ def first_nodes(nodes: DataFrame, key: str = "id") -> DataFrame:
     return nodes.groupBy(key).agg(F.min(F.struct("ord", *rest)).alias("n")).select(key, "n.*")
 
 
+def _resolved(edges: DataFrame, nodes: DataFrame, rows: int | None) -> DataFrame:
+    """``edges`` and ``found``, true where the target is a node. With ``rows``, the number of both together, about, they are
+    dealt by it and meet in one join, else in the session's number of tasks (for frames that are costly to count). A semi
+    join would go below a union of edges and become one for each of its tables."""
+    ids = nodes.select(F.col("id").alias("target"))
+    if rows is not None:
+        edges, ids = dealt(edges, rows, "target"), dealt(ids, rows, "target")
+    return edges.join(ids.distinct().withColumn("found", F.lit(True)), "target", "left")
+
+
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose target is a node; the source isn't looked at."""
     return edges.join(nodes.select(F.col("id").alias("target")).distinct(), "target", "left_semi")
 
 
-def dangling_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return edges.join(nodes.select(F.col("id").alias("target")).distinct(), "target", "left_anti")
+def dangling_edges(edges: DataFrame, nodes: DataFrame, rows: int | None = None) -> DataFrame:
+    return _resolved(edges, nodes, rows).where("found IS NULL").drop("found")
 
 
 def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import extension, first_pattern
 from ..operators.impact import critical
 from ..operators.lookup import dangling_edges, default_entries, induced, valid_edges
-from ..sources.graph import G, edges, nodes
+from ..sources.graph import G, edges, n_rows, nodes
 from .registry import query
 
 #: Synthetic source paths of the documents table: folders, test files and extensions.
@@ -49,7 +49,7 @@ def _(spark, d):
 
 @query("integrity_dangling", f"WITH {G}, k AS (SELECT id FROM nodes WHERE ord % 5 <> 0) SELECT source, target, type, line FROM edges WHERE target NOT IN (FROM k)")
 def _(spark, d):
-    return dangling_edges(edges(spark, d), nodes(spark, d).where("ord % 5 <> 0")).select("source", "target", "type", "line")
+    return dangling_edges(edges(spark, d), nodes(spark, d).where("ord % 5 <> 0"), n_rows(spark, d)).select("source", "target", "type", "line")
 
 
 @query("search_filters", f"WITH {FILES} SELECT doc_id, path FROM files WHERE list_contains(['py', 'go'], lower(string_split(path, '.')[-1])) AND (contains(path, 'src1') OR contains(path, 'api/'))")

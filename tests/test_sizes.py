@@ -5,6 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import adjacency, clustering, density, diff, extract, impact, recalc, sync, traverse, vector_index
+from graphloom.plans import filters  # noqa: F401
+from graphloom.plans.registry import QUERIES
+from graphloom.sources import graph
 from graphloom import scratch
 
 
@@ -117,3 +120,14 @@ def test_edges_are_compared_in_shares_that_do_not_grow(spark, monkeypatch, chang
     assert "RepartitionByExpression [source" in plan and ", 36" in plan  # 1800 and 1714 rows
     counts = [found.where(f"change = '{c}'").count() for c in ("added", "removed")] if "change" in found.columns else list(found.first()[:2])
     assert counts == [171, 257]
+
+
+@pytest.mark.parametrize("name, wanted", [("integrity_dangling", False)])
+def test_targets_are_looked_up_in_shares_that_do_not_grow(spark, sf_dir, monkeypatch, name, wanted):
+    monkeypatch.setattr(scratch, "KEYED_ROWS", 1000)
+    found, n, e = QUERIES[name](spark, sf_dir), graph.nodes(spark, sf_dir), graph.edges(spark, sf_dir)
+    rows, kept = graph.n_rows(spark, sf_dir), {r.id for r in n.where("ord % 5 <> 0").collect()}
+    assert n.count() + e.count() <= rows < 1.5 * (n.count() + e.count())
+    assert found.rdd.getNumPartitions() == -(-rows // 1000) > 10
+    want = sorted(tuple(r)[:4] for r in e.collect() if (r.target in kept) == wanted)
+    assert sorted(map(tuple, found.collect())) == want and want
