@@ -25,9 +25,9 @@ def _resolved(edges: DataFrame, nodes: DataFrame, rows: int | None) -> DataFrame
     return edges.join(ids.distinct().withColumn("found", F.lit(True)), "target", "left")
 
 
-def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def valid_edges(edges: DataFrame, nodes: DataFrame, rows: int | None = None) -> DataFrame:
     """Edges whose target is a node; the source isn't looked at."""
-    return edges.join(nodes.select(F.col("id").alias("target")).distinct(), "target", "left_semi")
+    return _resolved(edges, nodes, rows).where("found").drop("found")
 
 
 def dangling_edges(edges: DataFrame, nodes: DataFrame, rows: int | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ def _(spark, d):
 
 @query("integrity_valid", f"WITH {G}, k AS (SELECT id FROM nodes WHERE ord % 5 <> 0) SELECT source, target, type, line FROM edges WHERE target IN (FROM k)")
 def _(spark, d):
-    return valid_edges(edges(spark, d), nodes(spark, d).where("ord % 5 <> 0")).select("source", "target", "type", "line")
+    return valid_edges(edges(spark, d), nodes(spark, d).where("ord % 5 <> 0"), n_rows(spark, d)).select("source", "target", "type", "line")
 
 
 @query("integrity_dangling", f"WITH {G}, k AS (SELECT id FROM nodes WHERE ord % 5 <> 0) SELECT source, target, type, line FROM edges WHERE target NOT IN (FROM k)")

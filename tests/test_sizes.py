@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import adjacency, clustering, density, diff, extract, impact, recalc, sync, traverse, vector_index
+from graphloom.operators import adjacency, clustering, density, diff, extract, impact, lookup, recalc, sync, traverse, vector_index
 from graphloom.plans import filters  # noqa: F401
 from graphloom.plans.registry import QUERIES
 from graphloom.sources import graph
@@ -122,7 +122,7 @@ def test_edges_are_compared_in_shares_that_do_not_grow(spark, monkeypatch, chang
     assert counts == [171, 257]
 
 
-@pytest.mark.parametrize("name, wanted", [("integrity_dangling", False)])
+@pytest.mark.parametrize("name, wanted", [("integrity_dangling", False), ("integrity_valid", True)])
 def test_targets_are_looked_up_in_shares_that_do_not_grow(spark, sf_dir, monkeypatch, name, wanted):
     monkeypatch.setattr(scratch, "KEYED_ROWS", 1000)
     found, n, e = QUERIES[name](spark, sf_dir), graph.nodes(spark, sf_dir), graph.edges(spark, sf_dir)
@@ -131,3 +131,14 @@ def test_targets_are_looked_up_in_shares_that_do_not_grow(spark, sf_dir, monkeyp
     assert found.rdd.getNumPartitions() == -(-rows // 1000) > 10
     want = sorted(tuple(r)[:4] for r in e.collect() if (r.target in kept) == wanted)
     assert sorted(map(tuple, found.collect())) == want and want
+
+
+@pytest.mark.parametrize("rows", [None, 500])
+def test_repeated_and_missing_ids_are_looked_up_once(spark, monkeypatch, rows):
+    monkeypatch.setattr(scratch, "KEYED_ROWS", 100)
+    nodes = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "id string")
+    edges = spark.createDataFrame([("x", "a", 1), ("x", "a", 1), ("a", "c", 2), (None, "b", 3), ("x", None, 4)], "source string, target string, line int")
+    edges = edges.union(edges.where("line < 3"))
+    got = [sorted(r.line for r in f(edges, nodes, rows).collect()) for f in (lookup.valid_edges, lookup.dangling_edges)]
+    assert got == [[1, 1, 1, 1, 3], [2, 2, 4]]
+    assert lookup.valid_edges(edges, nodes, rows).columns == ["target", "source", "line"]
