@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.adjacency import Adjacency, opened
+from ..scratch import dealt
 
 NAMES = ["save_order", "get_order", "validate", "main", "teardown", "process_all", "test_get", "authenticate", "misc"]
 ORD = 1_000_000_000_000
@@ -50,7 +51,8 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, target, type, line, ord: a multigraph, an order calls a part once for each of its lines."""
-    pairs = _t(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    lines = _t(spark, sf_dir, "lineitem")
+    pairs = dealt(lines.select("l_partkey", "l_suppkey"), lines.count(), "l_partkey", "l_suppkey").distinct()
     parts = [
         (_t(spark, sf_dir, "nation"), _id("n", "n_nationkey"), _id("r", "n_regionkey"), "EXTENDS", F.lit(1), F.col("n_nationkey").cast("long")),
         (_t(spark, sf_dir, "supplier"), _id("s", "s_suppkey"), _id("n", "s_nationkey"), "IMPORTS", F.lit(1), F.col("s_suppkey")),

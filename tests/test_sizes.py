@@ -142,3 +142,13 @@ def test_repeated_and_missing_ids_are_looked_up_once(spark, monkeypatch, rows):
     got = [sorted(r.line for r in f(edges, nodes, rows).collect()) for f in (lookup.valid_edges, lookup.dangling_edges)]
     assert got == [[1, 1, 1, 1, 3], [2, 2, 4]]
     assert lookup.valid_edges(edges, nodes, rows).columns == ["target", "source", "line"]
+
+
+def test_pairs_of_parts_and_suppliers_are_told_apart_in_shares_that_do_not_grow(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(scratch, "KEYED_ROWS", 500)
+    pairs = graph.edges(spark, sf_dir).where("source LIKE 'p:%'")
+    assert "RepartitionByExpression [l_partkey" in (plan := pairs._jdf.queryExecution().optimizedPlan().toString()) and ", 12" in plan  # 6000 lines
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    want = {(f"p:{r.l_partkey}", f"s:{r.l_suppkey}") for r in lines.collect()}
+    got = [tuple(r) for r in pairs.select("source", "target").collect()]
+    assert len(got) == len(want) and set(got) == want
