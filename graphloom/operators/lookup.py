@@ -15,14 +15,14 @@ def first_nodes(nodes: DataFrame, key: str = "id") -> DataFrame:
     return nodes.groupBy(key).agg(F.min(F.struct("ord", *rest)).alias("n")).select(key, "n.*")
 
 
-def _resolved(edges: DataFrame, nodes: DataFrame, rows: int | None) -> DataFrame:
-    """``edges`` and ``found``, true where the target is a node. With ``rows``, the number of both together, about, they are
+def _resolved(edges: DataFrame, nodes: DataFrame, rows: int | None, end: str = "target") -> DataFrame:
+    """``edges`` and ``found``, true where the ``end`` is a node. With ``rows``, the number of both together, about, they are
     dealt by it and meet in one join, else in the session's number of tasks (for frames that are costly to count). A semi
     join would go below a union of edges and become one for each of its tables."""
-    ids = nodes.select(F.col("id").alias("target"))
+    ids = nodes.select(F.col("id").alias(end))
     if rows is not None:
-        edges, ids = dealt(edges, rows, "target"), dealt(ids, rows, "target")
-    return edges.join(ids.distinct().withColumn("found", F.lit(True)), "target", "left")
+        edges, ids = dealt(edges, rows, end), dealt(ids, rows, end)
+    return edges.join(ids.distinct().withColumn("found", F.lit(True)), end, "left")
 
 
 def valid_edges(edges: DataFrame, nodes: DataFrame, rows: int | None = None) -> DataFrame:
@@ -34,10 +34,9 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame, rows: int | None = None)
     return _resolved(edges, nodes, rows).where("found IS NULL").drop("found")
 
 
-def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
+def induced(edges: DataFrame, kept: DataFrame, rows: int | None = None) -> DataFrame:
     """Edges with both ends in ``kept`` (id)."""
-    ids = kept.select("id").distinct()
-    return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return valid_edges(_resolved(edges, kept, rows, "source").where("found").drop("found"), kept, rows)
 
 
 def both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:

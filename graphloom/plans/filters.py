@@ -39,7 +39,7 @@ def _(spark, d):
 
 @query("induced_subgraph", f"WITH {G}, k AS (SELECT DISTINCT id FROM nodes WHERE type <> 'function') SELECT source, target, type FROM edges WHERE source IN (FROM k) AND target IN (FROM k)")
 def _(spark, d):
-    return induced(edges(spark, d), nodes(spark, d).where("type <> 'function'")).select("source", "target", "type")
+    return induced(edges(spark, d), nodes(spark, d).where("type <> 'function'"), n_rows(spark, d)).select("source", "target", "type")
 
 
 @query("integrity_valid", f"WITH {G}, k AS (SELECT id FROM nodes WHERE ord % 5 <> 0) SELECT source, target, type, line FROM edges WHERE target IN (FROM k)")

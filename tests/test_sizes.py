@@ -152,3 +152,12 @@ def test_pairs_of_parts_and_suppliers_are_told_apart_in_shares_that_do_not_grow(
     want = {(f"p:{r.l_partkey}", f"s:{r.l_suppkey}") for r in lines.collect()}
     got = [tuple(r) for r in pairs.select("source", "target").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_an_induced_graph_is_cut_in_shares_that_do_not_grow(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(scratch, "KEYED_ROWS", 1000)
+    found, e = QUERIES["induced_subgraph"](spark, sf_dir), graph.edges(spark, sf_dir)
+    assert found.rdd.getNumPartitions() == -(-graph.n_rows(spark, sf_dir) // 1000)
+    kept = {r.id for r in graph.nodes(spark, sf_dir).where("type <> 'function'").collect()}
+    want = sorted((r.source, r.target, r.type) for r in e.collect() if r.source in kept and r.target in kept)
+    assert sorted(map(tuple, found.collect())) == want and want
