@@ -33,6 +33,56 @@ def test_density_by_groups(spark):
         assert [got[i] for i in own] == [(g, c) for c in density.density_labels(x[own])]
 
 
+def test_density_of_copies_and_ties(spark):
+    """Equal vectors are searched once; which of equal edges are in the tree still goes by ids."""
+    rng = np.random.default_rng(5)
+    x = [rng.integers(0, side, (n, 2)).astype(float) for n, side in ((150, 4), (150, 12), (90, 30), (60, 2))]  # many copies, some, few, and little else
+    x.append(np.r_[np.zeros((80, 2)), blobs(6, 60, 3, 0.2, 2), np.zeros((40, 2)), np.ones((3, 2)) * 1e-3, -np.zeros((5, 2))])
+    x.append(np.repeat(rng.normal(size=(40, 2)), 3, axis=0)[rng.permutation(120)])
+    groups = np.repeat(range(len(x)), [len(v) for v in x])
+    got = {r.id: r.cluster for r in density.density(frame(spark, np.concatenate(x), groups), "repo", "id", block=32).collect()}
+    for g, v in enumerate(x):
+        assert [got[i] for i in np.flatnonzero(groups == g)] == density.density_labels(v).tolist(), g
+
+
+def test_density_meets_each_pair_once(spark, monkeypatch):
+    """Rounds after the lists meet only vectors whose lists don't tell: all products are fewer than one of all with all."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(f, size):
+        def run(*a):
+            met.add(size(*a))
+            return f(*a)
+
+        return run
+
+    sizes = {"_meet": lambda a, b: len(a.ids) * len(b.ids), "_nearer": lambda best, x, y: len(x) * len(y), "_leaving": lambda x, y, *_: len(x) * len(y)}
+    for name, size in sizes.items():
+        monkeypatch.setattr(density, name, counted(getattr(density, name, None), size), raising=False)
+    got = {r.id: r.cluster for r in density.density(frame(spark, x), None, "id", block=50).collect()}
+    assert [got[i] for i in range(900)] == density.density_labels(x).tolist()
+    assert 900 * 900 / 2 <= met.value < 900 * 900
+
+
+@pytest.mark.parametrize(("scale", "shift"), [(1, 0), (1, 1e6), (1e-25, 0), (1e25, 0), (1e100, 0)])
+def test_lists_of_a_tile_are_the_exact_ones(scale, shift):
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(300, 16)) + shift) * scale
+    x[290:] = x[:10] * (1 + 1e-9)
+    a, b = (density._Side(np.arange(len(v)) + at, np.ones(len(v), int), v, np.full(len(v), np.inf), 7) for v, at in ((x[:120], 0), (x[120:], 120)))
+    for p, q in ((a, a), (a, b), (b, b)):
+        density._meet(p, q)
+    far = density.distances(x, x)
+    np.fill_diagonal(far, np.inf)
+    for side in (a, b):
+        side.fold()
+        assert (side.found["far"].reshape(-1, 7) == np.sort(far, axis=1)[side.ids, :7]).all()
+        assert (side.found["far"] == far[side.ids[side.found["row"]], side.found["id"]]).all()
+
+
 def test_density_without_rows(spark):
     none = spark.createDataFrame([(1, 0, None)], "id long, repo int, embedding array<double>")
     assert density.density(none, None, "id").count() == 0
