@@ -277,22 +277,41 @@ class _Side:
         return -(np.maximum(square, 0) * (1 + 1e-13) + error) / 2
 
 
+def _places(may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few that are true, eight at a time."""
+    flat = may.reshape(-1)
+    if len(flat) % 8:
+        at = np.flatnonzero(flat)
+    else:
+        some = np.flatnonzero(flat.view(np.uint64))
+        eight, at = np.nonzero(flat.reshape(-1, 8)[some])
+        at += some[eight] * 8
+    return np.divmod(at, may.shape[1])
+
+
+def _near(a: _Side, b: _Side, both: bool) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows of ``a`` and ``b`` that may be within the limits of ``a``, or of one of ``both``, by products in single precision; None if these
+    can't tell."""
+    if a.square.max() + b.square.max() >= 1e36:
+        return None
+    eps = (a.x.shape[1] + 16) * float(np.finfo(np.float32).eps)
+    p = a.left @ b.right.T
+    may = p >= a.bound(p, eps * (a.square + b.square.max()) + 1e-36).astype(np.float32)[:, None]
+    if both:
+        may |= p >= b.bound(p.T, eps * (b.square + a.square.max()) + 1e-36).astype(np.float32)[None, :]
+    return _places(may) if np.count_nonzero(may) <= may.size // 8 else None
+
+
 def _meet(a: _Side, b: _Side) -> None:
     """Each of two blocks, or one with itself, meets the other's vectors."""
-    eps = (a.x.shape[1] + 16) * float(np.finfo(np.float32).eps)
-    i = None
-    if a.square.max() + b.square.max() < 1e36:
-        p = a.left @ b.right.T
-        may = p >= a.bound(p, eps * (a.square + b.square.max()) + 1e-36).astype(np.float32)[:, None]
-        if a is not b:
-            may |= p >= b.bound(p.T, eps * (b.square + a.square.max()) + 1e-36).astype(np.float32)[None, :]
-        i, j = np.divmod(np.flatnonzero(may), len(b.ids))
-    if i is None or len(i) > len(a.ids) * len(b.ids) // 8:  # single precision can't tell
+    near = _near(a, b, a is not b)
+    if near is None:
         square, error = about(a.x, b.x)
         square -= 2 * error.max()
         may = square <= a.limit[:, None] ** 2 * (1 + 1e-13) if np.isfinite(error).all() else np.full(square.shape, True)
         may |= square <= b.limit[None, :] ** 2 * (1 + 1e-13)
-        i, j = np.nonzero(may)
+        near = np.nonzero(may)
+    i, j = near
     far = of_pairs(a.x, b.x, i, j) if len(i) <= len(a.ids) * len(b.ids) // 8 else distances(a.x, b.x)[i, j]
     a.add(b, i, j, far)
     if a is not b:
@@ -435,16 +454,21 @@ def _leaving(x: np.ndarray, y: np.ndarray, core: np.ndarray, o_core: np.ndarray,
         i, j = _candidates(square, np.minimum(square.min(axis=1), w**2), error)
         if len(i) <= square.size // 8:
             reach = np.maximum(of_pairs(x, y, i, j), np.maximum(core[i], o_core[j]))
-            order = np.lexsort((theirs[j], reach, i))
-            i, j, reach = i[order], j[order], reach[order]
-            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
-            return i[first], j[first], reach[first]
+            return _firsts(i, j, reach, theirs)
     reach = np.maximum(distances(x, y), np.maximum(core[:, None], o_core[None, :]))
     reach[comp[:, None] == o_comp[None, :]] = np.inf
     best, rows = reach.argmin(axis=1), np.arange(len(x))  # the first of equals has the smaller id
     return rows, best, reach[rows, best]
 
 
+def _firsts(i: np.ndarray, j: np.ndarray, reach: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first of each row's edges, in order."""
+    order = np.lexsort((theirs[j], reach, i))
+    i, j, reach = i[order], j[order], reach[order]
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else []
+    return i[first], j[first], reach[first]
+
+
 def _found(state: DataFrame, wanted: int, size: int, packed: str) -> DataFrame:
     """comp, w, a, b, other: the first edge, in order, from the wanted rows (``limit`` isn't null) of each component to another, if
     it isn't longer than the limit. ``state``: blocks with core, comp and limit."""
@@ -467,12 +491,20 @@ def _found(state: DataFrame, wanted: int, size: int, packed: str) -> DataFrame:
             sides[r[0].as_py()].append((ids, core, comp, limit, _matrix(r[5].as_py(), len(ids), packed)))
         ids, core, comp, w, x = (np.concatenate(c) for c in zip(*sides[0], strict=True)) if sides[0] and sides[1] else (np.empty(0, np.int64),) * 5
         w, to, other = w.astype(float), np.full(len(ids), np.iinfo(np.int64).max), np.zeros(len(ids), dtype=np.int64)
+        right = [(*r, _Side(r[0], r[0], r[4], np.empty(0), 1)) for r in sides[1]]
         for at in range(0, len(ids), size):
             part = slice(at, at + size)
-            for theirs, o_core, o_comp, _, y in sides[1]:
+            own = _Side(ids[part], ids[part], x[part], np.empty(0), 1)
+            for theirs, o_core, o_comp, _, y, side in right:
                 if comp[part].min() == comp[part].max() == o_comp.min() == o_comp.max():
                     continue
-                i, best, new = _leaving(x[part], y, core[part], o_core, comp[part], o_comp, theirs, w[part])
+                own.limit = w[part]
+                near = _near(own, side, False) if np.isfinite(own.limit).all() else None
+                if near is None:
+                    i, best, new = _leaving(x[part], y, core[part], o_core, comp[part], o_comp, theirs, w[part])
+                else:
+                    i, j = (v[comp[part][near[0]] != o_comp[near[1]]] for v in near)
+                    i, best, new = _firsts(i, j, np.maximum(of_pairs(x[part], y, i, j), np.maximum(core[part][i], o_core[j])), theirs)
                 i = i + at
                 better = np.isfinite(new) & ((new < w[i]) | ((new == w[i]) & (theirs[best] < to[i])))
                 i, best, new = i[better], best[better], new[better]
